@@ -8,18 +8,18 @@ from joulemill.registry import query
 
 
 @query("prj_01_select", "PRJ-01 PRJ-30", """
-SELECT o_orderkey AS order_key, o_custkey AS cust_key, round(o_totalprice * 1.1, 2) AS gross FROM orders""")
+SELECT o_orderkey AS order_key, o_custkey AS cust_key, round(o_totalprice * 1.1, 4) AS gross FROM orders""")
 def select(t):
     return t.orders.select(F.col("o_orderkey").alias("order_key"), F.col("o_custkey").alias("cust_key"),
-                           F.round(F.col("o_totalprice") * 1.1, 2).alias("gross"))
+                           F.round(F.col("o_totalprice") * 1.1, 4).alias("gross"))
 
 
 @query("prj_02_select_expr", "PRJ-02 COL-1", """
-SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 2) AS net,
- round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS charge, 'line' AS kind FROM lineitem""")
+SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 6) AS net,
+ round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 7) AS charge, 'line' AS kind FROM lineitem""")
 def select_expr(t):
-    return t.lineitem.selectExpr("l_orderkey", "l_linenumber", "round(l_extendedprice * (1 - l_discount), 2) AS net",
-                                 "round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS charge").withColumn("kind", F.lit("line"))
+    return t.lineitem.selectExpr("l_orderkey", "l_linenumber", "round(l_extendedprice * (1 - l_discount), 6) AS net",
+                                 "round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 7) AS charge").withColumn("kind", F.lit("line"))
 
 
 @query("prj_03_filter", "PRJ-03 PRJ-23 PRJ-25 PRJ-27 PRJ-28", """

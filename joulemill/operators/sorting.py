@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from joulemill.operators.ordered import positions
@@ -26,12 +27,8 @@ def sort_within_partitions(t):
             if keys:
                 good = good and keys == sorted(keys) and (last is None or last <= keys[0])
                 last, n = keys[-1], n + len(keys)
-        yield pdf.iloc[:0].assign(n=[], good=[]) if n == 0 else _one(n, good)
-
-    def _one(n, good):
-        import pandas as pd
-
-        return pd.DataFrame({"n": [n], "good": [good]})
+        if n:
+            yield pd.DataFrame({"n": [n], "good": [good]})
 
     local = t.orders.select("o_custkey", "o_orderkey").repartition(8, "o_custkey").sortWithinPartitions("o_custkey", "o_orderkey")
     return local.mapInPandas(check, "n long, good boolean").agg(F.sum("n").alias("n"), F.bool_and("good").alias("sorted"))
