@@ -163,13 +163,13 @@ def q10(t):
 
 @query("tpch_11_important_stock", "TPCH-11", f"""
 WITH {SUPPLY}, v AS (SELECT l_partkey, sum(cost * avail) AS stock_value FROM supply JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_name IN ('NATION_15', 'NATION_2', 'NATION_7') GROUP BY 1)
-SELECT l_partkey, round(stock_value, 2) AS stock_value FROM v WHERE stock_value > (SELECT sum(stock_value) * 0.005 FROM v)""")
+SELECT l_partkey, round(stock_value, 2) AS stock_value FROM v WHERE stock_value > (SELECT sum(stock_value) * 2 / count(*) FROM v)""")
 def q11(t):
     s = t.supplier.join(t.nation.filter(F.col("n_name").isin("NATION_15", "NATION_2", "NATION_7")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"))
     lines = t.lineitem.join(s, "l_suppkey", "left_semi")
     pairs = lines.groupBy("l_partkey", "l_suppkey").agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("cost"), F.sum("l_quantity").alias("avail"))
     v = pairs.groupBy("l_partkey").agg(F.sum(F.col("cost") * F.col("avail")).alias("stock_value"))
-    bar = v.agg((F.sum("stock_value") * 0.005).alias("bar"))
+    bar = v.agg((F.sum("stock_value") * 2 / F.count("*")).alias("bar"))
     return v.crossJoin(F.broadcast(bar)).filter("stock_value > bar").select("l_partkey", F.round("stock_value", 2).alias("stock_value"))
 
 
