@@ -268,7 +268,7 @@ def group_values(t):
 
 
 @query("ps_19_rolling", "PS-19", f"""
-SELECT event_id, count(v) OVER w AS n, coalesce(round(CASE WHEN count(v) OVER w >= 3 THEN sum(v) OVER w END, 4), -1) AS sum, coalesce(CASE WHEN count(v) OVER w >= 3 THEN min(v) OVER w END, -1) AS min, coalesce(CASE WHEN count(v) OVER w >= 3 THEN max(v) OVER w END, -1) AS max, coalesce(round(CASE WHEN count(v) OVER w >= 3 THEN avg(v) OVER w END, 5), -1) AS mean,
+SELECT event_id, count(v) OVER w AS n, coalesce(round(CASE WHEN count(v) OVER w >= 3 THEN sum(v) OVER w END, 4), -1) AS sum, coalesce(CASE WHEN count(v) OVER w >= 3 THEN min(v) OVER w END, -1) AS min, coalesce(CASE WHEN count(v) OVER w >= 3 THEN max(v) OVER w END, -1) AS max, coalesce(round(CASE WHEN count(v) OVER w >= 3 THEN avg(v) OVER w END + 1e-9, 5), -1) AS mean,
  coalesce(round(CASE WHEN count(v) OVER w >= 3 THEN stddev_samp(v) OVER w END, 4), -1) AS std, coalesce(round(CASE WHEN count(v) OVER w >= 3 THEN var_samp(v) OVER w END, 7), -1) AS var, coalesce(round(CASE WHEN count(v) OVER w >= 3 THEN quantile_cont(v, 0.5) OVER w END, 4), -1) AS q, coalesce(round(CASE WHEN count(v) OVER w >= 3 THEN skewness(v) OVER w END, 4), -1) AS skew,
  coalesce(round(CASE WHEN count(v) OVER w >= 4 THEN kurtosis(v) OVER w END, 3), -1) AS kurt FROM {GAPS} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""")
 def rolling(t):
@@ -276,16 +276,16 @@ def rolling(t):
     stats = {k: k for k in ("sum", "min", "max", "mean", "std", "var", "quantile", "skew", "kurt")}
     out = ops.rolling(e, ["user_id"], by_time(), "v", 7, {f"r_{k}": k for k in stats}, min_periods=3)
     out = ops.rolling(out, ["user_id"], by_time(), "v", 7, {"n": "count"}, min_periods=0)
-    return out.select("event_id", F.col("n").cast("long").alias("n"), nn("r_sum", "sum", 4), nn("r_min", "min"), nn("r_max", "max"), nn("r_mean", "mean", 5), nn("r_std", "std", 4), nn("r_var", "var", 7), nn("r_quantile", "q", 4), nn("r_skew", "skew", 4), nn("r_kurt", "kurt", 3))
+    return out.select("event_id", F.col("n").cast("long").alias("n"), nn("r_sum", "sum", 4), nn("r_min", "min"), nn("r_max", "max"), nn(F.col("r_mean") + 1e-9, "mean", 5), nn("r_std", "std", 4), nn("r_var", "var", 7), nn("r_quantile", "q", 4), nn("r_skew", "skew", 4), nn("r_kurt", "kurt", 3))
 
 
 @query("ps_20_expanding", "PS-20", """
-SELECT event_id, count(value) OVER w AS n, round(sum(value) OVER w, 4) AS sum, min(value) OVER w AS min, max(value) OVER w AS max, round(avg(value) OVER w, 5) AS mean, coalesce(round(stddev_samp(value) OVER w, 4), -1) AS std, coalesce(round(var_samp(value) OVER w, 7), -1) AS var,
+SELECT event_id, count(value) OVER w AS n, round(sum(value) OVER w, 4) AS sum, min(value) OVER w AS min, max(value) OVER w AS max, round(avg(value) OVER w + 1e-9, 5) AS mean, coalesce(round(stddev_samp(value) OVER w, 4), -1) AS std, coalesce(round(var_samp(value) OVER w, 7), -1) AS var,
  CASE WHEN count(*) OVER w > 10 THEN round(skewness(value) OVER w, 4) ELSE -1 END AS skew, CASE WHEN count(*) OVER w > 10 THEN round(kurtosis(value) OVER w, 3) ELSE -1 END AS kurt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def expanding(t):
     out = ops.expanding(t.events, ["user_id"], by_time(), "value", {f"e_{k}": k for k in ("count", "sum", "min", "max", "mean", "std", "var", "skew", "kurt")})
     many = F.col("e_count") > 10
-    return out.select("event_id", F.col("e_count").cast("long").alias("n"), r("e_sum", "sum", 4), F.col("e_min").alias("min"), F.col("e_max").alias("max"), r("e_mean", "mean", 5), nn("e_std", "std", 4), nn("e_var", "var", 7),
+    return out.select("event_id", F.col("e_count").cast("long").alias("n"), r("e_sum", "sum", 4), F.col("e_min").alias("min"), F.col("e_max").alias("max"), r(F.col("e_mean") + 1e-9, "mean", 5), nn("e_std", "std", 4), nn("e_var", "var", 7),
                       F.when(many, F.round("e_skew", 4)).otherwise(-1.0).alias("skew"), F.when(many, F.round("e_kurt", 3)).otherwise(-1.0).alias("kurt"))
 
 
@@ -311,10 +311,10 @@ def ewm(t):
 WITH b AS (SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS bin, value FROM events),
 g AS (SELECT event_type, bin, min(value) AS lo, max(value) AS hi, sum(value) AS s, avg(value) AS m, stddev_samp(value) AS sd, var_samp(value) AS vr, count(*) AS n FROM b GROUP BY ALL),
 c AS (SELECT event_type, unnest(generate_series(min(bin), max(bin), INTERVAL 6 HOUR)) AS bin FROM b GROUP BY 1)
-SELECT event_type, strftime(c.bin, '%Y-%m-%d %H:%M') AS bin, coalesce(lo, -1) AS lo, coalesce(hi, -1) AS hi, round(coalesce(s, 0), 4) AS s, coalesce(round(m, 5), -1) AS m, coalesce(round(sd, 4), -1) AS sd, coalesce(round(vr, 7), -1) AS vr, coalesce(n, 0) AS n FROM c LEFT JOIN g USING (event_type, bin)""")
+SELECT event_type, strftime(c.bin, '%Y-%m-%d %H:%M') AS bin, coalesce(lo, -1) AS lo, coalesce(hi, -1) AS hi, round(coalesce(s, 0), 4) AS s, coalesce(round(m + 1e-9, 5), -1) AS m, coalesce(round(sd, 4), -1) AS sd, coalesce(round(vr, 7), -1) AS vr, coalesce(n, 0) AS n FROM c LEFT JOIN g USING (event_type, bin)""")
 def resample(t):
     out = ops.resample(t.events, ["event_type"], "ts", "value", 6 * 3600)
-    return out.select("event_type", F.date_format("bin", "yyyy-MM-dd HH:mm").alias("bin"), nn("min", "lo"), nn("max", "hi"), r("sum", "s", 4), nn("mean", "m", 5), nn("std", "sd", 4), nn("var", "vr", 7), "n")
+    return out.select("event_type", F.date_format("bin", "yyyy-MM-dd HH:mm").alias("bin"), nn("min", "lo"), nn("max", "hi"), r("sum", "s", 4), nn(F.col("mean") + 1e-9, "m", 5), nn("std", "sd", 4), nn("var", "vr", 7), "n")
 
 
 @query("ps_23_series", "PS-23", """

@@ -326,7 +326,7 @@ def input_helpers(t):
     path = scratch(t.spark, "helpers")
     t.region.select(F.col("r_name").alias("value")).repartition(1).write.text(path)
     spark = t.spark
-    parts = {"lines": spark.read.text(path).agg(F.count("*")), "whole": spark.read.text(path, wholetext=True).agg(F.sum(F.size(F.split(F.rtrim("value"), "\n")))), "binary": spark.read.format("binaryFile").load(path + "/*.txt").agg(F.sum("length")),
+    parts = {"lines": spark.read.text(path).agg(F.count("*")), "whole": spark.read.text(path, wholetext=True).agg(F.sum(F.regexp_count("value", F.lit("\n")))), "binary": spark.read.format("binaryFile").load(path + "/*.txt").agg(F.sum("length")),
              "range": spark.range(t.orders.count()).agg(F.count("*")), "collection": spark.createDataFrame([(r["r_name"],) for r in t.region.collect()], "name string").agg(F.count("*"))}
     out = None
     for name, df in parts.items():
