@@ -3,10 +3,14 @@ short and a lost executor costs one round at most."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from joulemill.storage import cut
 
+COMPACT = 10  # rounds kept as separate tables before they are written as one
+
 
 def transitive_closure(edges: DataFrame) -> DataFrame:
     """All (src, dst) pairs joined by a path. Only the pairs found in the last round are extended, and known
@@ -21,9 +25,10 @@ def transitive_closure(edges: DataFrame) -> DataFrame:
         if fresh.isEmpty():
             return known
         rounds.append(fresh)
-        known = rounds[0]
-        for part in rounds[1:]:
-            known = known.union(part)
+        known = reduce(DataFrame.union, rounds)
+        if len(rounds) == COMPACT:
+            known = cut(known, "closure")
+            rounds = [known]
 
 
 def pagerank(edges: DataFrame, rounds: int = 10, tolerance: float | None = None, every: int = 3) -> DataFrame:

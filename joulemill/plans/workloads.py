@@ -144,12 +144,12 @@ def shortest_paths(t):
 
 
 @query("wl_14_older_followers", "WL-14", f"""
-WITH {GRAPH} SELECT dst AS id, count(*) AS followers, round(avg(c_acctbal), 4) AS mean FROM g JOIN customer ON c_custkey = src WHERE src > dst GROUP BY 1""")
+WITH {GRAPH} SELECT dst AS id, count(*) AS followers, round(avg(c_acctbal) + 1e-9, 4) AS mean FROM g JOIN customer ON c_custkey = src WHERE src > dst GROUP BY 1""")
 def older_followers(t):
     """Messages along the edges from higher to lower vertices, combined per receiver."""
     g = order_graph(t).distinct().filter("src > dst")
     return g.join(t.customer.select(F.col("c_custkey").alias("src"), "c_acctbal"), "src").groupBy(F.col("dst").alias("id")).agg(
-        F.count("*").alias("followers"), F.round(F.avg("c_acctbal"), 4).alias("mean"))
+        F.count("*").alias("followers"), F.round(F.avg("c_acctbal") + 1e-9, 4).alias("mean"))
 
 
 @query("wl_15_property_graph", "WL-15", f"""

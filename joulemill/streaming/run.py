@@ -23,7 +23,7 @@ def table_stream(t: Tables, name: str, **options) -> DataFrame:
     return df.withColumn("ts", F.col("ts").cast("timestamp")) if name == "events" else df
 
 
-def event_stream(t: Tables, delay: str = "10 minutes", closed: bool = True) -> DataFrame:
+def event_stream(t: Tables, delay: str | None = "10 minutes", closed: bool = True) -> DataFrame:
     """The events with a watermark. ``closed`` adds one late sentinel row (user -1, a day after the end), which
     moves the watermark past every real event, so append-mode results are complete; it never leaves itself."""
     e = table_stream(t, "events").select("event_id", "ts", "user_id", "event_type", "value")
@@ -33,7 +33,7 @@ def event_stream(t: Tables, delay: str = "10 minutes", closed: bool = True) -> D
             F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(-1).cast("long").alias("user_id"),
             F.lit("end").alias("event_type"), F.lit(0.0).alias("value")).write.parquet(path)
         e = e.unionByName(t.spark.readStream.schema(t.spark.read.parquet(path).schema).parquet(path))
-    return e.withWatermark("ts", delay)
+    return e.withWatermark("ts", delay) if delay else e
 
 
 @contextmanager

@@ -12,16 +12,25 @@ from joulemill.operators.ordered import framed, running
 from joulemill.storage import cut, scratch
 
 
-def gap_sessions(events: DataFrame, key: str, gap_ms: int) -> DataFrame:
+def gap_sessions(events: DataFrame, key: str, gap_ms: int, delay: str) -> DataFrame:
     """Sessions by inactivity with hand-kept state and event-time timeouts (append mode).
 
-    Chunks of a key are folded into (start, end, count) intervals as they arrive, so the state of a key is
-    its open sessions, not its events. ``events`` has the key, ``ts`` with a watermark.
+    Events of a key (with ``ts``, no watermark yet) are folded into (start, end, count) intervals batch by
+    batch before the shuffle, so a hot key ships intervals; its state is its open sessions, not its events.
     """
-    def fold(starts, ends, counts):
-        order = np.argsort(starts, kind="stable")
+    def shrink(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if pdf.empty:
+                continue
+            pdf = pdf.sort_values([key, "ms"])
+            k, ms = pdf[key].to_numpy(), pdf["ms"].to_numpy()
+            new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (np.diff(ms) >= gap_ms)])
+            last = np.r_[new[1:] - 1, len(ms) - 1]
+            yield pd.DataFrame({key: k[new], "ts": pd.to_datetime(ms[last], unit="ms"), "start_ms": ms[new], "end_ms": ms[last], "n": last - new + 1})
+
+    def fold(parts):
         out: list[list[int]] = []
-        for s, e, n in zip(starts[order], ends[order], counts[order]):
+        for s, e, n in sorted(parts):
             if out and s - out[-1][1] < gap_ms:
                 out[-1][1], out[-1][2] = max(out[-1][1], int(e)), out[-1][2] + int(n)
             else:
@@ -31,12 +40,7 @@ def gap_sessions(events: DataFrame, key: str, gap_ms: int) -> DataFrame:
     def step(k, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         held = list(zip(*state.get)) if state.exists else []
         for pdf in chunks:
-            ms = np.sort(pdf["ms"].to_numpy())
-            if len(ms):
-                new = np.flatnonzero(np.diff(ms, prepend=ms[0] - gap_ms - 1) >= gap_ms)
-                last = np.append(new[1:] - 1, len(ms) - 1)
-                parts = list(zip(ms[new], ms[last], last - new + 1)) + [tuple(h) for h in held]
-                held = fold(*[np.array(x) for x in zip(*parts)])
+            held = fold([*map(tuple, held), *zip(pdf["start_ms"], pdf["end_ms"], pdf["n"])])
         mark = state.getCurrentWatermarkMs()
         done = [h for h in held if h[1] + gap_ms <= mark]
         left = [h for h in held if h[1] + gap_ms > mark]
@@ -47,7 +51,8 @@ def gap_sessions(events: DataFrame, key: str, gap_ms: int) -> DataFrame:
             state.remove()
         yield pd.DataFrame({key: [k[0]] * len(done), "start_ms": [h[0] for h in done], "end_ms": [h[1] for h in done], "n": [h[2] for h in done]})
 
-    return events.select(key, "ts", F.unix_millis("ts").alias("ms")).groupBy(key).applyInPandasWithState(
+    small = events.select(key, F.unix_millis("ts").alias("ms")).mapInPandas(shrink, f"{key} long, ts timestamp, start_ms long, end_ms long, n long")
+    return small.withWatermark("ts", delay).groupBy(key).applyInPandasWithState(
         step, f"{key} long, start_ms long, end_ms long, n long", "starts array<long>, ends array<long>, counts array<long>", "append", "EventTimeTimeout")
 
 
