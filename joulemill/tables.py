@@ -9,6 +9,10 @@ NAMES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
+# Runtime settings the plans rely on: instants are read in UTC, and a skewed join is split even when a later
+# aggregate on the same key then needs one more exchange.
+SESSION = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}
+
 
 class Tables:
     """``t.orders`` reads ``<folder>/orders.parquet``; nothing is cached, so scans stay prunable.
@@ -20,8 +24,9 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = str(folder).rstrip("/")
-        if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        for key, value in SESSION.items():
+            if spark.conf.get(key, None) != value:
+                spark.conf.set(key, value)
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
