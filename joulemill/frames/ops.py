@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from joulemill.operators.ordered import GROUP_ROWS, framed, hottest, positions, running, with_totals
+from joulemill.operators.ordered import GROUP_ROWS, framed, positions, ranks, running, with_totals
 
 
 def floordiv(a: Column, b: Column) -> Column:
@@ -169,8 +169,6 @@ def resample(df: DataFrame, keys: Sequence[str], ts: str, value: str, seconds: i
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, tie: str, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Pearson correlation of the average ranks, rows with a null on either side left out."""
-    from joulemill.operators.ordered import ranks
-
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y, tie)
     rx = ranks(pairs, keys, x, tie, group_rows=group_rows).select(*keys, y, tie, F.col("avg_rank").alias("_rx"))
     both = ranks(rx, keys, y, tie, group_rows=group_rows).withColumnRenamed("avg_rank", "_ry")

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Window, functions as F
 
 from joulemill.frames import ops
-from joulemill.operators.ordered import attach, framed, one_per_key, percentiles, positions, ranks, running, top_per_key, with_totals
+from joulemill.operators.ordered import framed, one_per_key, percentiles, positions, ranks, top_per_key
 from joulemill.registry import query
 from joulemill.storage import cut, scratch
 

@@ -7,11 +7,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from joulemill.operators.ordered import positions, top_per_key
+from joulemill.operators.ordered import positions
 from joulemill.operators.temporal import salted_totals
 from joulemill.plans import graphs
 from joulemill.registry import query
-from joulemill.storage import at_most, checked_broadcast, cut, scratch
+from joulemill.storage import checked_broadcast, cut, scratch
 
 
 def words(df, text="text"):

@@ -75,17 +75,18 @@ def close_sessions(numbered: DataFrame, gap_us: int, closing: str) -> DataFrame:
 def two_condition_sessions(events: DataFrame, gap_us: int, delay_us: int, closing: str) -> DataFrame:
     """Stream sessions that end by a gap or by a closing event, out-of-order rows merged, late rows dropped.
 
-    Each micro-batch is joined with the events of the sessions still open (a table per batch number, so a
-    repeated batch starts from the same state) and sessionised by the distributed window helpers; sessions
+    Each micro-batch is joined with the events of the sessions still open (state and watermark are tables per
+    batch number, so a repeated batch starts from the same point) and sessionised by the distributed window helpers; sessions
     that end before the watermark are final. After the stream ends, one more step uses its last watermark.
     """
     spark, root = events.sparkSession, scratch(events.sparkSession, "sessions")
     columns = ["user_id", "us", "event_id", "event_type"]
     empty = spark.createDataFrame([], "user_id long, us long, event_id long, event_type string")
-    state: dict = {"mark": None, "top": None, "number": -1}
+    done = {"number": -1}
 
     def step(rows: DataFrame, number: int) -> None:
-        mark = state["mark"]
+        top = spark.read.schema("top long").parquet(f"{root}/top/{number - 1}").first()["top"] if number else None
+        mark = None if top is None else top - delay_us
         if mark is not None:
             rows = rows.filter(F.col("us") >= mark)
         held = spark.read.schema(empty.schema).parquet(f"{root}/open/{number - 1}") if number else empty
@@ -95,12 +96,10 @@ def two_condition_sessions(events: DataFrame, gap_us: int, delay_us: int, closin
         sessions.filter(final).write.mode("overwrite").parquet(f"{root}/out/batch={number}")
         still = sessions.filter(~final).select("user_id", "session")
         numbered.join(still, ["user_id", "session"], "left_semi").select(*columns).write.mode("overwrite").parquet(f"{root}/open/{number}")
-        top = numbered.agg(F.max("us")).first()[0]
-        state["top"] = max(x for x in (top, state["top"]) if x is not None) if (top or state["top"]) else None
-        state["mark"] = state["top"] - delay_us if state["top"] is not None else None
-        state["number"] = number
+        numbered.agg(F.greatest(F.max("us"), F.lit(top).cast("long")).alias("top")).write.mode("overwrite").parquet(f"{root}/top/{number}")
+        done["number"] = number
 
     rows = events.select("user_id", F.unix_micros("ts").alias("us"), "event_id", "event_type")
     rows.writeStream.foreachBatch(lambda b, i: step(b, i)).option("checkpointLocation", root + "-state").trigger(availableNow=True).start().awaitTermination()
-    step(empty, state["number"] + 1)
+    step(empty, done["number"] + 1)
     return spark.read.schema("user_id long, session long, start_us long, end_us long, n long").parquet(f"{root}/out/*").drop("session")
