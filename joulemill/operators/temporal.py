@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -100,9 +101,11 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, hot_rows: int, split
     sub-keys; only the matching small rows are copied. At most rows / hot_rows keys can be hot."""
     hot = cut(big.groupBy(key).count().filter(F.col("count") > hot_rows).select(key, F.lit(True).alias("_hot")), "hot")
     hot = checked_broadcast(hot)
-    # by row number, not by content: copies of one row must spread too (``big`` is a scan, so retries agree)
+    # by row number, not by content: copies of one row must spread too. Numbered on ``big`` itself, before any
+    # shuffle, so that a task run again gives its rows the same numbers
     spread = F.pmod(F.monotonically_increasing_id(), F.lit(splits))
-    left = big.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0).cast("long"))).drop("_hot")
+    left = big.withColumn("_spread", spread).join(hot, key, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), F.col("_spread")).otherwise(F.lit(0).cast("long"))).drop("_hot", "_spread")
     every = F.sequence(F.lit(0).cast("long"), F.lit(splits - 1).cast("long"))
     right = small.join(hot, key, "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0).cast("long"))))).drop("_hot")
