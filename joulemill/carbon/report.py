@@ -8,7 +8,7 @@ from joulemill.carbon.logs import finished, first_jobs, seconds
 from joulemill.operators.ordered import with_totals
 
 CARBON_JOBS = 100  # jobs summed for a run's total
-# (model, baseline) pairs of the comparison; the mapped models stand in for cap, danish, default and decima
+# (model, baseline) pairs of the comparison, over event types standing in for models
 CARBON_PAIRS = [("click", "view"), ("purchase", "view"), ("purchase", "signup")]
 TIME_PAIRS = [("click", "view"), ("purchase", "signup")]
 

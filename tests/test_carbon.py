@@ -41,7 +41,7 @@ def results(tmp_path):
         (1, "2024-12-23 22:59:53.000000", "2024-12-23 23:00:20.500000", "19.5", "\"[('59:58', 'p-exec-1'), ('00:03', 'p-exec-1')]\""),
         (2, "2024-12-23 23:01:00.000000", "", "", "[]"),
     ]
-    for model, folder, tag in (("cap", "alibaba_25_DE", "0"), ("default", "alibaba_25_CAISO_prev", "3"), ("default", "sparktc_10", "0")):
+    for model, folder, tag in (("green", "alibaba_25_DE", "0"), ("default", "alibaba_25_CAISO_prev", "3"), ("default", "sparktc_10", "0")):
         d = tmp_path / model / folder
         d.mkdir(parents=True)
         (d / f"times_{tag}.csv").write_text(text + "\n".join(",".join(map(str, r)) for r in rows) + "\n")
@@ -51,14 +51,14 @@ def results(tmp_path):
 def test_run_logs(spark, results):
     runs = logs.read_run_logs(spark, results)
     keys = {tuple(r) for r in runs.select("model", "job_type", "jobs", "trace", "suffix", "tag").distinct().collect()}
-    assert keys == {("cap", "alibaba", 25, "DE", "", "0"), ("default", "alibaba", 25, "CAISO", "prev", "3"), ("default", "sparktc", 10, "", "", "0")}
-    done = logs.with_duration(logs.finished(runs.filter("model = 'cap'"))).orderBy("job_id").collect()
+    assert keys == {("green", "alibaba", 25, "DE", "", "0"), ("default", "alibaba", 25, "CAISO", "prev", "3"), ("default", "sparktc", 10, "", "", "0")}
+    done = logs.with_duration(logs.finished(runs.filter("model = 'green'"))).orderBy("job_id").collect()
     assert [r["job_id"] for r in done] == [0, 1]
     assert done[0]["duration_s"] == pytest.approx(27.949862) and done[0]["duration"].total_seconds() == pytest.approx(27.949862)
 
 
 def test_sample_times(spark, results):
-    runs = logs.finished(logs.read_run_logs(spark, results).filter("model = 'cap'"))
+    runs = logs.finished(logs.read_run_logs(spark, results).filter("model = 'green'"))
     got = logs.restore_sample_time(logs.explode_samples(runs)).select("at", F.date_format("sample_time", "HH:mm:ss").alias("s"), "outside").collect()
     assert {(r["at"], r["s"], r["outside"]) for r in got} == {("37:31", "22:37:31", False), ("37:33", "22:37:33", False), ("59:58", "22:59:58", False), ("00:03", "23:00:03", False)}
 
