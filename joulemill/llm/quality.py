@@ -34,8 +34,8 @@ def bucket(pair: Column) -> Column:
 def with_buckets(df: DataFrame) -> DataFrame:
     """Adds ``_w`` (words) and ``_b`` (hashed n-grams) from ``text``."""
     df = bind(df, _w=words(F.col("text")))
-    df = bind(df, _e=F.transform("_w", lambda w: F.right(w, F.lit(ENDING))))
-    return bind(df, _b=F.transform("_e", lambda e, i: bucket(F.concat_ws(" ", e, F.get("_e", i + 1))))).drop("_e")
+    ending = lambda w: F.substring(w, -ENDING, ENDING)
+    return bind(df, _b=F.transform("_w", lambda w, i: bucket(F.concat_ws(" ", ending(w), ending(F.get("_w", i + 1))))))
 
 
 def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -57,10 +57,9 @@ def statistics(df: DataFrame) -> DataFrame:
     neighbour in that order has the same hash, and covered words are counted over the gaps between repeated windows. The two cut
     windows at the end of the text hash fewer words, so they match none."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = bind(df, _h=F.transform("_w", lambda w: F.xxhash64(w)), _l=F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
-    window = lambda h, i: F.struct(F.xxhash64(h, F.get("_h", i + 1), F.get("_h", i + 2)).alias("h"), i.alias("i"))
-    df = bind(df, _g=F.sort_array(F.transform("_h", window)))
-    same = lambda x, k: F.coalesce((F.get("_g", k - 1)["h"] == x["h"]) | (F.get("_g", k + 1)["h"] == x["h"]), F.lit(False))
+    window = lambda w, i: F.struct(F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i"))
+    df = bind(df, _g=F.sort_array(F.transform("_w", window)), _l=F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
+    same = lambda x, k: (x["h"] == F.get("_g", k + 1)["h"]) | (x["h"] == F.get("_g", k - 1)["h"])
     df = bind(df, _r=F.sort_array(F.transform(F.filter("_g", same), lambda x: x["i"])))
     gaps = F.transform("_r", lambda i, k: F.least(F.lit(3), F.get("_r", k + 1) - i))
     covered = F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
@@ -71,7 +70,7 @@ def statistics(df: DataFrame) -> DataFrame:
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
-    ).drop("_h", "_g", "_r", "_l")
+    ).drop("_g", "_r", "_l")
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
