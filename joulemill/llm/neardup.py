@@ -151,7 +151,7 @@ def link(docs: DataFrame, classes: DataFrame) -> DataFrame:
         if step < PIVOTS:
             pairs = open_.join(mixed_keys, "key").filter((F.col("component") != F.col("pivot.component")) & fits(F.col("n"), F.col("pivot.n"))).select(F.col("cls").alias("x"), F.col("pivot.cls").alias("y"))
         else:
-            rest = open_.join(mixed_keys.select("key"), "key")
+            rest = open_.join(mixed_keys.select("key"), "key").select("cls", "key", "n", "component")
             left, right = rest.toDF("cls", "key", "n", "component"), rest.toDF("cls2", "key", "n2", "component2")
             pairs = left.join(right, "key").filter((F.col("cls") < F.col("cls2")) & (F.col("component") != F.col("component2")) & fits(F.col("n"), F.col("n2"))).select(F.col("cls").alias("x"), F.col("cls2").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

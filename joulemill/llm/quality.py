@@ -8,12 +8,12 @@ letters: endings carry punctuation, markup, case and inflection, and keep the ta
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from joulemill.llm.registry import query, table
-from joulemill.llm.words import BLANKS, SQL_WORDS, bind, words
+from joulemill.llm.words import BLANKS, bind, words
 
-BUCKETS = 65_536  # two bytes of the hash; also the bound on everything that is broadcast
+BUCKETS = 65_536  # hash values of an n-gram; also the bound on what is broadcast
 ENDING = 3  # letters of a word that enter an n-gram
 TRUSTED_ROWS = 20_000  # bound on the labelled documents that make the target
 THRESHOLD = -0.25  # mean log-likelihood ratio, in nats per n-gram
@@ -27,15 +27,11 @@ def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def bucket(pair: Column) -> Column:
-    return F.conv(F.substring(F.md5(pair.cast("binary")), 1, 4), 16, 10).cast("int")
-
-
 def with_buckets(df: DataFrame) -> DataFrame:
     """Adds ``_w`` (words) and ``_b`` (hashed n-grams) from ``text``."""
     df = bind(df, _w=words(F.col("text")))
     ending = lambda w: F.substring(w, -ENDING, ENDING)
-    return bind(df, _b=F.transform("_w", lambda w, i: bucket(F.concat_ws(" ", ending(w), ending(F.get("_w", i + 1))))))
+    return bind(df, _b=F.transform("_w", lambda w, i: F.pmod(F.xxhash64(ending(w), ending(F.get("_w", i + 1))), F.lit(BUCKETS)).cast("int")))
 
 
 def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -53,15 +49,18 @@ def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> Data
 
 
 def statistics(df: DataFrame) -> DataFrame:
-    """Adds the text statistics. Repeated windows are found by sorting (hash of three words, place): a window is repeated when its
-    neighbour in that order has the same hash, and covered words are counted over the gaps between repeated windows. The two cut
-    windows at the end of the text hash fewer words, so they match none."""
+    """Adds the text statistics. Repeated windows are found by sorting (hash of three words, place), packed into one long with as many bits
+    for the place as the text needs: a window is repeated when a neighbour in that order has the same hash. Covered words are counted
+    over the gaps between repeated windows. The two cut windows at the end of the text hash fewer words, so they match none."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    window = lambda w, i: F.struct(F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i"))
-    df = bind(df, _g=F.sort_array(F.transform("_w", window)), _l=F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
-    same = lambda x, k: (x["h"] == F.get("_g", k + 1)["h"]) | (x["h"] == F.get("_g", k - 1)["h"])
-    df = bind(df, _r=F.sort_array(F.transform(F.filter("_g", same), lambda x: x["i"])))
-    gaps = F.transform("_r", lambda i, k: F.least(F.lit(3), F.get("_r", k + 1) - i))
+    shift = lambda name, x: F.call_function(name, x, F.col("_bits"))
+    df = bind(df, _bits=F.length(F.bin(F.size("_w"))), _l=F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
+    window = lambda w, i: shift("shiftleft", F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2))).bitwiseOR(i.cast("long"))
+    df = bind(df, _g=F.sort_array(F.transform("_w", window)))
+    same = lambda x, k: (shift("shiftrightunsigned", x.bitwiseXOR(F.get("_g", k + 1))) == 0) | (shift("shiftrightunsigned", x.bitwiseXOR(F.get("_g", k - 1))) == 0)
+    place = lambda x: x.bitwiseAND(shift("shiftleft", F.lit(1).cast("long")) - 1)
+    df = bind(df, _r=F.sort_array(F.transform(F.filter("_g", same), place)))
+    gaps = F.transform("_r", lambda i, k: F.least(F.lit(3).cast("long"), F.get("_r", k + 1) - i))
     covered = F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
     return df.select(
         "*",
@@ -70,7 +69,7 @@ def statistics(df: DataFrame) -> DataFrame:
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
-    ).drop("_g", "_r", "_l")
+    ).drop("_bits", "_g", "_r", "_l")
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -90,30 +89,9 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
-#: Shared by the query and the pipeline; reads the tables ``documents`` and ``labels``.
-SQL_JUDGED = rf"""
-q_words AS (SELECT doc_id, text, lang, source, n_chars, {SQL_WORDS} AS w FROM documents),
-q_row AS (SELECT row_number() OVER () AS r, * FROM q_words),
-q_good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-q_pairs AS (SELECT r, doc_id, unnest(list_transform(range(1, len(w) + 1), lambda i: ('0x' || left(md5(concat_ws(' ', right(w[i], {ENDING}), right(w[i + 1], {ENDING}))), 4))::INT)) AS b FROM q_row),
-q_counts AS (SELECT b, count(*) AS raw, count(g.doc_id) AS target FROM q_pairs LEFT JOIN q_good g USING (doc_id) GROUP BY b),
-q_total AS (SELECT coalesce(sum(raw), 0) AS n_raw, coalesce(sum(target), 0) AS n_target FROM q_counts),
-q_weight AS (SELECT b, ln((target + 1) / (n_target + {BUCKETS})) - ln((raw + 1) / (n_raw + {BUCKETS})) AS x FROM q_counts, q_total),
-q_score AS (SELECT r, avg(x) AS score FROM q_pairs JOIN q_weight USING (b) GROUP BY r),
-q_windows AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM q_row),
-q_twice AS (SELECT r, i FROM q_windows QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
-q_cover AS (SELECT r, sum(least(3, coalesce(nxt - i, 3)))::BIGINT AS n_repeat_words FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM q_twice) GROUP BY r),
-q_stats AS (SELECT q.*, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
-  (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-  (len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
-  coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(score, 0) AS score
-  FROM q_row q LEFT JOIN q_cover USING (r) LEFT JOIN q_score USING (r)),
-q_flags AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM q_stats),
-judged AS (SELECT *, NOT base_failed AND score >= {THRESHOLD} AS kept FROM q_flags)"""
-
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
-@query("op10_quality_rules", f"WITH {SQL_JUDGED} SELECT {', '.join(COLUMNS)} FROM judged")
+@query("op10_quality_rules")
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge(table(spark, folder, "documents"), table(spark, folder, "labels")).select(COLUMNS)
