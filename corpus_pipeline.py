@@ -1,27 +1,56 @@
-"""Training-data pipeline over ``documents``: quality rules, near-duplicates, personal data, mixing, packing."""
+"""Training-data pipeline over ``documents``: quality rules, near-duplicates, personal data, mixing to target weights, packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last return the columns of
+``documents``; the last returns the pieces and their places.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from joulemill.llm import quality
+from joulemill.llm import mixing, neardup, packing, pii, quality
 from joulemill.llm.registry import table
+from joulemill.storage import cut
 
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the quality rules reject."""
     return quality.judge(docs, table(spark, sf_dir, "labels")).filter("kept").select(DOCUMENT)
 
 
-STAGES = [("quality_rules", rules)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near-duplicates. Only ids are shuffled to find the others, and they leave
+    by an anti join; documents without an id are kept, and of rows that repeat an id all or none."""
+    found = cut(neardup.near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "dropped")
+    return docs.join(found, "doc_id", "left_anti").select(DOCUMENT)
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data; ``n_chars`` follows the new text."""
+    return pii.pseudonymise(docs, pii.DEMO_KEY).withColumn("n_chars", F.length("text").cast("long")).select(DOCUMENT)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or drops documents until the sources have their target weights."""
+    return mixing.mix(docs).select(DOCUMENT)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences: one row for each piece of a document."""
+    return packing.pack_documents(docs, packing.vocabulary())
+
+
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("pii", pseudonyms), ("mixing", mixture), ("packing", packed)]
 
+#: The n-gram hash, the pseudonyms and the tokenizer are beyond SQL; tests/llm/test_pipeline.py checks the stages by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn; each is written to the shared folder and read again, so a lost executor costs one stage at most."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
