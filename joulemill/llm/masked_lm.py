@@ -30,8 +30,8 @@ WIDTH = 24
 STRIDE = 48
 ROUNDS = 4
 GROUPS = 64  # the networks of a round are added up in so many groups, then the groups' sums
-BATCH = 512
-RATE = 0.05
+BATCH = 256
+RATE = 0.1
 PLACES = 1 << 15  # places scored at once
 REMEMBERED = 300_000
 BLANKS = re.compile("[\x20\x09-\x0d]+")
@@ -106,7 +106,7 @@ def log_likelihood(net: dict[str, np.ndarray], around: np.ndarray, centre: np.nd
 def train(net: dict[str, np.ndarray], data: np.ndarray, rate: float, seed: int) -> dict[str, np.ndarray]:
     """One pass of mini-batch gradient steps with per-weight rates over rows (neighbours ..., centre)."""
     net = {k: v.copy() for k, v in net.items()}
-    speed = {k: np.full(v.shape, 1e-2, dtype=np.float32) for k, v in net.items()}
+    speed = {k: np.full(v.shape, 1e-6, dtype=np.float32) for k, v in net.items()}
 
     def step(name: str, index, gradient: np.ndarray) -> None:
         speed[name][index] += gradient * gradient

@@ -1,8 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Toxic and ordinary texts get a model each, of letters given the four before them: words are inflected, so an expression is known by its letters. Both
-discount their own counts and back off to one distribution that they share, a Kneser-Ney model on the number of
-different left neighbours in all training texts; what is too rare to tell the classes apart therefore cancels. The score is the difference of
+Toxic and ordinary texts get a model each, of letters given the three before them: words are inflected, so an expression is known by its letters. Both
+discount their counts and back off to shorter contexts, by the number of different left neighbours; the shortest contexts are
+counted over both classes, so what is rare in both gets nearly the same probability. The score is the difference of
 the two log-likelihoods per letter, mapped to 0..1 by a logistic curve.
 """
 
@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from joulemill.llm.registry import query, table
 
-ORDER, LETTER_BITS = 5, 8
+ORDER, LETTER_BITS = 4, 8
 DISCOUNT = 0.75
-MIN_COUNT = 3  # sequences rarer than this in the sample are left to the shared distribution
+SHARED = 1  # orders that are counted over both classes
+MIN_COUNT = 2  # sequences rarer than this in the sample are left to the shorter contexts
 TRAIN_ROWS = 20_000  # bound on the labelled rows that are learnt from
 CALIBRATE = 3  # the fold, doc_id's crc32 mod 4, that sets the curve; the counts come from folds 0 and 1
 HELD_OUT = 2
@@ -93,48 +94,72 @@ def counts(docs: DataFrame) -> pd.DataFrame:
     return sums.filter(F.col("ordinary") + F.col("toxic") >= MIN_COUNT).toPandas()
 
 
-def shared(keys: np.ndarray) -> np.ndarray:
-    """Kneser-Ney probability of the last letter of each sequence given one letter of context less, from the set of sequences: how
-    many different left neighbours a shorter sequence has, discounted and interpolated down to equal chances."""
-    p = np.full(len(keys), 1.0 / 256)
-    for order in range(1, ORDER):
-        short = keys & ((1 << (LETTER_BITS * order)) - 1)
-        distinct = np.unique(keys & ((1 << (LETTER_BITS * (order + 1))) - 1))  # with one more letter to the left
-        ends, n = np.unique(distinct & ((1 << (LETTER_BITS * order)) - 1), return_counts=True)
-        context, at = np.unique(ends >> LETTER_BITS, return_inverse=True)
-        total, kinds = np.bincount(at, weights=n), np.bincount(at)
-        row, c = np.searchsorted(ends, short), np.searchsorted(context, short >> LETTER_BITS)
-        p = np.maximum(n[row] - DISCOUNT, 0) / total[c] + DISCOUNT * kinds[c] / total[c] * p
-    return p
+def low(keys: np.ndarray, order: int) -> np.ndarray:
+    """The last ``order`` letters of each sequence."""
+    return keys & ((1 << (LETTER_BITS * order)) - 1)
 
 
-def model(sums: pd.DataFrame) -> dict[str, np.ndarray]:
-    """Log ratio of the two models for every known sequence, and for every known context what an unknown sequence after it gets."""
+def model(sums: pd.DataFrame) -> list[dict[str, np.ndarray]]:
+    """Interpolated Kneser-Ney models of both classes, one table for each order: log-probabilities of the last letter (``p``, toxic and
+    ordinary) for every known sequence and the log of the weight that a context leaves to the next lower order (``rest``).
+
+    The highest order counts occurrences, the others different left neighbours. Orders up to SHARED count over both classes."""
     sums = sums.sort_values("gram")
-    keys = sums["gram"].to_numpy(dtype=np.int64)
-    if not len(keys):
-        return {"keys": keys, "ratio": np.empty(0), "contexts": keys, "rest": np.empty(0)}
-    back = shared(keys)
-    contexts, at = np.unique(keys >> LETTER_BITS, return_inverse=True)
-    logs, rests = [], []
-    for name in ("toxic", "ordinary"):
-        n = sums[name].to_numpy(dtype=float)
-        total, kinds = np.bincount(at, weights=n), np.bincount(at, weights=n > 0)
+    full, n = sums["gram"].to_numpy(dtype=np.int64), sums[["toxic", "ordinary"]].to_numpy(dtype=float).T
+    tables: list[dict[str, np.ndarray]] = []
+    for order in range(1, ORDER + 1):
+        keys = np.unique(low(full, order))
+        if order == ORDER:
+            counts = n
+        else:
+            left = [np.unique(low(full[c > 0], order + 1)) for c in n]
+            left = [np.union1d(*left)] * 2 if order <= SHARED else left
+            counts = np.stack([np.bincount(np.searchsorted(keys, low(x, order)), minlength=len(keys)) for x in left]).astype(float)
+        contexts, at = np.unique(keys >> LETTER_BITS, return_inverse=True)
+        total = np.stack([np.bincount(at, weights=c, minlength=len(contexts)) for c in counts])
+        kinds = np.stack([np.bincount(at, weights=c > 0, minlength=len(contexts)) for c in counts])
         rest = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-        logs.append(np.log(np.maximum(n - DISCOUNT, 0) / np.maximum(total[at], 1) + rest[at] * back))
-        rests.append(np.log(rest))
-    return {"keys": keys, "ratio": logs[0] - logs[1], "contexts": contexts, "rest": rests[0] - rests[1]}
+        below = np.exp(tables[-1]["p"][:, np.searchsorted(tables[-1]["keys"], low(keys, order - 1))]) if tables else np.full((2, len(keys)), 1 / 256)
+        p = np.maximum(counts - DISCOUNT, 0) / np.maximum(total, 1)[:, at] + rest[:, at] * below
+        tables.append({"keys": keys, "p": np.log(p), "contexts": contexts, "rest": np.log(rest)})
+    tables[-1]["ratio"] = tables[-1]["p"][0] - tables[-1]["p"][1]
+    return tables
 
 
-def found(keys: np.ndarray, values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def found(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each x in the sorted keys, and whether it is there."""
     if not len(keys):
-        return np.zeros(len(x)), np.zeros(len(x), dtype=bool)
+        return np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=bool)
     at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-    hit = keys[at] == x
-    return np.where(hit, values[at], 0.0), hit
-
-
-def evidence(docs: DataFrame, fitted: dict[str, np.ndarray]) -> DataFrame:
+    return at, keys[at] == x
+
+
+def log_p(tables: list[dict[str, np.ndarray]], x: np.ndarray, order: int) -> np.ndarray:
+    """Log-probability of the last letter of each sequence of ``order`` letters, by class."""
+    if not order:
+        return np.full((2, len(x)), -np.log(256.0))
+    table, out = tables[order - 1], np.empty((2, len(x)))
+    at, hit = found(table["keys"], x)
+    out[:, hit] = table["p"][:, at[hit]]
+    miss = x[~hit]
+    if len(miss):
+        context, known = found(table["contexts"], miss >> LETTER_BITS)
+        rest = np.where(known, table["rest"][:, context], 0.0) if len(table["contexts"]) else 0.0
+        out[:, ~hit] = rest + log_p(tables, low(miss, order - 1), order - 1)
+    return out
+
+
+def ratios(tables: list[dict[str, np.ndarray]], x: np.ndarray) -> np.ndarray:
+    """Log ratio of the two models for each sequence."""
+    at, hit = found(tables[-1]["keys"], x)
+    out = tables[-1]["ratio"][at] if len(tables[-1]["keys"]) else np.zeros(len(x))
+    if not hit.all():
+        p = log_p(tables, x[~hit], ORDER)
+        out[~hit] = p[0] - p[1]
+    return out
+
+
+def evidence(docs: DataFrame, fitted: list[dict[str, np.ndarray]]) -> DataFrame:
     """(doc_id, evidence): mean log ratio per letter of every row's whole text; 0 without letters."""
     out = pa.schema([("doc_id", pa.int64()), ("evidence", pa.float64())])
 
@@ -146,8 +171,7 @@ def evidence(docs: DataFrame, fitted: dict[str, np.ndarray]) -> DataFrame:
                 total, n = 0.0, 0
                 for piece in pieces(text.as_py() or ""):
                     x = grams(piece, letters)
-                    ratio, hit = found(fitted["keys"], fitted["ratio"], x)
-                    total += float(ratio.sum() + found(fitted["contexts"], fitted["rest"], x[~hit] >> LETTER_BITS)[0].sum())
+                    total += float(ratios(fitted, x).sum())
                     n += len(x)
                 means.append(total / n if n else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(means, pa.float64())], schema=out)

@@ -68,7 +68,7 @@ def test_recall_on_many_cells(spark, monkeypatch):
     centres = draw.normal(size=(12, 16))
     v = centres[draw.integers(0, 12, 3000)] + draw.normal(size=(3000, 16)) * 0.4
     v[:900] = v[0]  # a hot vector
-    v = v.astype(np.float32).astype(float)
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32).astype(float)
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
     got = ann.nearest(df, df.filter("vec_id % 20 = 0")).collect()
     want = brute(np.arange(3000), v, range(0, 3000, 20))
