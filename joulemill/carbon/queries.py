@@ -22,11 +22,10 @@ priced AS (SELECT s.*, t.idx, t.ci FROM samples s CROSS JOIN origin
 job_runs AS (SELECT model, tag, job_id, min(ts) AS start_time, CASE WHEN count(*) > 1 THEN max(ts) END AS end_time,
   sum(ci) / 60 AS carbon_footprint, count(*) AS samples FROM priced GROUP BY ALL),
 done AS (SELECT * FROM job_runs WHERE end_time IS NOT NULL),
-kept AS (SELECT * FROM done QUALIFY row_number() OVER (PARTITION BY model, tag ORDER BY job_id) <= 100),
-totals AS (SELECT model, tag, sum(carbon_footprint) AS total_carbon FROM kept GROUP BY ALL),
+totals AS (SELECT model, tag, sum(carbon_footprint) AS total_carbon FROM done GROUP BY ALL),
 spans AS (SELECT model, tag,
   (epoch_us(max_by(end_time, job_id)) - epoch_us(min_by(start_time, job_id))) / 1e6 AS end_to_end_s,
-  (epoch_us(max(end_time)) - epoch_us(min(start_time))) / 1e6 AS makespan_s FROM kept GROUP BY ALL)
+  (epoch_us(max(end_time)) - epoch_us(min(start_time))) / 1e6 AS makespan_s FROM done GROUP BY ALL)
 """
 STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 STAMP_SQL = "%Y-%m-%d %H:%M:%S.%f"
@@ -126,7 +125,7 @@ def against_baseline(t):
 
 @query("co_11_job_means", "CO-11", BASE + """
 , r AS (SELECT model, tag, avg(carbon_footprint) AS c, avg((epoch_us(end_time) - epoch_us(start_time)) / 1e6) AS s
-  FROM kept GROUP BY ALL)
+  FROM done GROUP BY ALL)
 SELECT model, round(avg(c), 5) AS job_carbon, round(avg(s), 3) AS job_seconds FROM r GROUP BY 1""")
 def job_means(t):
     out = report.job_means(acc.runs_of(t.events))

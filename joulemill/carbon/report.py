@@ -4,23 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from joulemill.carbon.logs import finished, first_jobs, seconds
+from joulemill.carbon.logs import finished, seconds
 from joulemill.operators.ordered import with_totals
 
-CARBON_JOBS = 100  # jobs summed for a run's total
 # (model, baseline) pairs of the comparison, over event types standing in for models
 CARBON_PAIRS = [("click", "view"), ("purchase", "view"), ("purchase", "signup")]
 TIME_PAIRS = [("click", "view"), ("purchase", "signup")]
 
 
-def run_totals(runs: DataFrame, n: int = CARBON_JOBS) -> DataFrame:
-    return first_jobs(finished(runs), n).groupBy("model", "tag").agg(F.sum("carbon_footprint").alias("total_carbon"))
+def run_totals(runs: DataFrame) -> DataFrame:
+    return finished(runs).groupBy("model", "tag").agg(F.sum("carbon_footprint").alias("total_carbon"))
 
 
-def end_to_end(runs: DataFrame, n: int = CARBON_JOBS) -> DataFrame:
+def end_to_end(runs: DataFrame) -> DataFrame:
     """Per run: end of the last submitted job minus start of the first one, and the true makespan beside it."""
-    jobs = first_jobs(finished(runs), n)
-    return jobs.groupBy("model", "tag").agg(
+    return finished(runs).groupBy("model", "tag").agg(
         F.max_by("end_time", "job_id").alias("last_end"),
         F.min_by("start_time", "job_id").alias("first_start"),
         F.max("end_time").alias("latest_end"),
@@ -56,10 +54,9 @@ def against_baseline(models: DataFrame, metric: str, pairs: list[tuple[str, str]
     )
 
 
-def job_means(runs: DataFrame, n: int = CARBON_JOBS) -> DataFrame:
+def job_means(runs: DataFrame) -> DataFrame:
     """Mean carbon and completion time per job in each run, then averaged over runs."""
-    jobs = first_jobs(finished(runs), n)
-    per_run = jobs.groupBy("model", "tag").agg(
+    per_run = finished(runs).groupBy("model", "tag").agg(
         F.avg("carbon_footprint").alias("job_carbon"),
         F.avg(seconds(F.col("end_time"), F.col("start_time"))).alias("job_seconds"),
     )

@@ -31,29 +31,34 @@ def scalar(t):
 
 
 @query("udm_03_vectorised", "UDM-03 WL-25", """
-SELECT p_partkey, p_size * p_retailprice AS product, p_size + 1 AS plus, round(p_size / 50.0, 6) AS scaled, p_size % 2 = 0 AS even, length(p_name) AS n FROM part""")
+SELECT p_partkey, round(p_retailprice * (1 - 0.01 * least(p_size, 30)), 6) AS rebated, split_part(p_brand, '#', 2)::BIGINT AS brand,
+ round(p_retailprice / greatest(p_size, 1), 6) AS per_unit, split_part(p_name, ' ', 1) AS first, len(string_split(p_name, ' '))::BIGINT AS words FROM part""")
 def vectorised(t):
-    """Series to Series, iterator of series, iterator of several series, and series to frame."""
+    """Series to Series, iterator of series, iterator of several series, and series to frame, each for a figure of the price list."""
+    import re
+
     @F.pandas_udf("double")
-    def product(a: pd.Series, b: pd.Series) -> pd.Series:
-        return a * b
+    def rebated(price: pd.Series, size: pd.Series) -> pd.Series:
+        return (price * (1 - 0.01 * size.clip(upper=30))).round(6)
 
     @F.pandas_udf("long")
-    def plus(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s + 1
+    def brand(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        number = re.compile(r"#(\d+)")  # compiled once for all batches of a task
+        for names in batches:
+            yield names.str.extract(number, expand=False).astype("int64")
 
     @F.pandas_udf("double")
-    def scaled(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in batches:
-            yield (a / b).round(6)
+    def per_unit(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for price, size in batches:
+            yield (price / size.where(size > 0, 1)).round(6)
 
-    @F.pandas_udf("even boolean, n long")
-    def facts(size: pd.Series, name: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"even": size % 2 == 0, "n": name.str.len()})
+    @F.pandas_udf("first string, words long")
+    def parted(names: pd.Series) -> pd.DataFrame:
+        parts = names.str.split(" ")
+        return pd.DataFrame({"first": parts.str[0], "words": parts.str.len()})
 
-    x = t.part.select("p_partkey", product("p_size", "p_retailprice").alias("product"), plus("p_size").alias("plus"), scaled("p_size", F.lit(50.0)).alias("scaled"), facts("p_size", "p_name").alias("f"))
-    return x.select("p_partkey", "product", "plus", "scaled", "f.even", "f.n")
+    x = t.part.select("p_partkey", rebated("p_retailprice", "p_size").alias("rebated"), brand("p_brand").alias("brand"), per_unit("p_retailprice", "p_size").alias("per_unit"), parted("p_name").alias("n"))
+    return x.select("p_partkey", "rebated", "brand", "per_unit", "n.first", "n.words")
 
 
 @query("udm_03_series_to_scalar", "UDM-03 UDM-10", """
@@ -72,14 +77,16 @@ def series_to_scalar(t):
 
 
 @query("udm_04_grouped_map", "UDM-04 RD-01", """
-WITH d AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, sum(value) AS v FROM events GROUP BY ALL)
-SELECT user_id, day, round(v - avg(v) OVER (PARTITION BY user_id), 5) AS centred FROM d""")
+WITH d AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, round(sum(value), 6) AS v FROM events GROUP BY ALL)
+SELECT user_id, day, round(v / max(v) OVER (PARTITION BY user_id), 5) AS of_best, rank() OVER (PARTITION BY user_id ORDER BY v DESC) - 1 AS better_days FROM d""")
 def grouped_map(t):
-    def centre(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(centred=(pdf["v"] - pdf["v"].mean()).round(5))[["user_id", "day", "centred"]]
+    """Each user's days against the best one; a group is a row per day."""
+    def compare(days: pd.DataFrame) -> pd.DataFrame:
+        best_first = days["v"].rank(method="min", ascending=False).astype("int64")
+        return pd.DataFrame({"user_id": days["user_id"], "day": days["day"], "of_best": (days["v"] / days["v"].max()).round(5), "better_days": best_first - 1})
 
-    d = t.events.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.sum("value").alias("v"))
-    return d.groupBy("user_id").applyInPandas(centre, "user_id long, day string, centred double")
+    d = t.events.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.round(F.sum("value"), 6).alias("v"))
+    return d.groupBy("user_id").applyInPandas(compare, "user_id long, day string, of_best double, better_days long")
 
 
 @query("udm_05_cogrouped_map", "UDM-05 UDM-06", """
@@ -115,63 +122,44 @@ def map_batches(t):
 
 
 @query("udm_02_table_functions", "UDM-02 UDM-11 WL-24", """
-SELECT 'squares' AS f, count(*) AS n, sum(i * i)::BIGINT AS total FROM part, range(1, (p_size % 5) + 1) r(i)
-UNION ALL SELECT 'words', count(*), sum(length(w))::BIGINT FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part)
-UNION ALL SELECT 'dates', count(*), sum(day(d))::BIGINT FROM (SELECT unnest(generate_series(min(o_orderdate), min(o_orderdate) + INTERVAL 4 DAY, INTERVAL 1 DAY)) AS d FROM orders)
-UNION ALL SELECT 'counted', count(*), count(*) FROM nation UNION ALL SELECT 'filtered', count(*), sum(n_nationkey)::BIGINT FROM nation WHERE n_nationkey > 5""")
+WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), shouted AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM w),
+b AS (SELECT user_id, value, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS held FROM events WHERE event_type = 'purchase')
+SELECT 'longest' AS f, count(*) AS n, sum(place)::BIGINT AS total FROM (SELECT doc_id, min(place) AS place FROM shouted WHERE length(word) >= 12 GROUP BY 1)
+UNION ALL SELECT 'months', count(*), sum(month(m))::BIGINT FROM (SELECT unnest(generate_series(date_trunc('month', o_orderdate), date_trunc('month', o_orderdate + INTERVAL 75 DAY), INTERVAL 1 MONTH)) AS m FROM orders)
+UNION ALL SELECT 'milestones', count(*), count(DISTINCT user_id) FROM b WHERE floor(held / 500) > floor((held - value) / 500)""")
 def table_functions(t):
-    """Table functions in SQL: lateral ones per row, a counter per partition, and one over a table argument."""
-    import datetime as dt
-
-    @F.udtf(returnType="i int, square int")
-    class Squares:
-        def eval(self, top: int):
-            for i in range(1, top + 1):
-                yield i, i * i
-
-    @F.udtf(returnType="word string")
-    class Words:
-        def eval(self, text: str):
-            for w in text.split(" "):
-                yield (w,)
-
-    @F.udtf(returnType="d date")
-    class Dates:
-        def eval(self, first: str, last: str):
-            day = dt.date.fromisoformat(first)
-            while day <= dt.date.fromisoformat(last):
-                yield (day,)
-                day += dt.timedelta(days=1)
-
-    @F.udtf(returnType="n int")
-    class Counter:
+    """Table functions in SQL: two lateral ones over a row each, and a running one over a partitioned and ordered table argument.
+
+    ``jm_first_long`` finds the first word of a length and its place, ``jm_months`` lists the months that an order is open in, and
+    ``jm_milestones`` emits a row whenever a user's running spending passes a multiple of a step; it holds one number per user."""
+
+    @F.udtf(returnType="word string, place int")
+    class FirstLong:
+        def eval(self, text: str, length: int):
+            hit = next(((w, i) for i, w in enumerate(text.split(" "), 1) if len(w) >= length), None)
+            if hit:
+                yield hit
+
+    @F.udtf(returnType="month int")
+    class Months:
+        def eval(self, year: int, month: int, last_year: int, last_month: int):
+            for k in range(12 * year + month, 12 * last_year + last_month + 1):
+                yield ((k - 1) % 12 + 1,)
+
+    @F.udtf(returnType="user_id long, reached double")
+    class Milestones:
         def __init__(self):
-            self.n = 0
-
-        def eval(self, row: Row):
-            self.n += 1
-
-        def terminate(self):
-            yield (self.n,)
+            self.held = 0.0
 
-    @F.udtf(returnType="k int")
-    class Above:
         def eval(self, row: Row):
-            if row["n_nationkey"] > 5:
-                yield (row["n_nationkey"],)
+            before, self.held = self.held // 500, self.held + row["value"]
+            if self.held // 500 > before:
+                yield row["user_id"], self.held
 
-    spark = t.views("part", "nation")
-    for name, cls in (("jm_squares", Squares), ("jm_words", Words), ("jm_dates", Dates), ("jm_counter", Counter), ("jm_above", Above)):
+    spark = t.views("documents", "orders", "events")
+    for name, cls in (("jm_first_long", FirstLong), ("jm_months", Months), ("jm_milestones", Milestones)):
         spark.udtf.register(name, cls)
-    lo = t.orders.agg(F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("a"), F.date_format(F.min("o_orderdate") + F.expr("INTERVAL 4 DAYS"), "yyyy-MM-dd").alias("b"))
-    lo.createOrReplaceTempView("jm_span")
-    forms = {
-        "squares": "SELECT s.square AS x FROM part, LATERAL jm_squares(p_size % 5) s", "words": "SELECT length(w.word) AS x FROM part, LATERAL jm_words(p_name) w",
-        "dates": "SELECT day(d.d) AS x FROM jm_span, LATERAL jm_dates(a, b) d", "filtered": "SELECT k AS x FROM jm_above(TABLE(SELECT * FROM nation))",
-    }
-    out = None
-    for f, sql in forms.items():
-        part = spark.sql(sql).agg(F.lit(f).alias("f"), F.count("*").alias("n"), F.sum("x").cast("long").alias("total"))
-        out = part if out is None else out.union(part)
-    counted = spark.sql("SELECT sum(n) AS n FROM jm_counter(TABLE(SELECT n_nationkey FROM nation))").select(F.lit("counted").alias("f"), F.col("n").cast("long").alias("n"), F.col("n").cast("long").alias("total"))
-    return out.union(counted)
+    return spark.sql("""
+        SELECT 'longest' AS f, count(*) AS n, sum(place) AS total FROM documents, LATERAL jm_first_long(text, 12)
+        UNION ALL SELECT 'months', count(*), sum(month) FROM (SELECT o_orderdate AS a, o_orderdate + INTERVAL 75 DAYS AS b FROM orders), LATERAL jm_months(year(a), month(a), year(b), month(b))
+        UNION ALL SELECT 'milestones', count(*), count(DISTINCT user_id) FROM jm_milestones(TABLE(SELECT user_id, value, ts, event_id FROM events WHERE event_type = 'purchase') PARTITION BY user_id ORDER BY (ts, event_id))""")

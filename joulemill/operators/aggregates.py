@@ -10,18 +10,28 @@ from joulemill.storage import cut
 from joulemill.tables import Tables
 
 
-@query("agm_01_group_by", "AGM-01 AGM-05 AGM-06 AGM-07 AGM-08 AGM-09 AGM-10 AGM-11", """
+@query("agm_01_group_by", "AGM-01", """
 SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean_q, round(avg(l_tax), 6) AS avg_tax, max(l_extendedprice) AS max_p,
  min(l_extendedprice) AS min_p, round(sum(l_quantity), 2) AS sum_q, max(l_linenumber) AS top_line FROM lineitem GROUP BY 1""")
 def group_by(t):
-    """The short forms on a grouping, put side by side by key."""
-    g = t.lineitem.groupBy("l_returnflag")
-    out = g.count().withColumnRenamed("count", "n")
-    for df, name, new in ((g.mean("l_quantity"), "avg(l_quantity)", "mean_q"), (g.avg("l_tax"), "avg(l_tax)", "avg_tax"),
-                          (g.max("l_extendedprice"), "max(l_extendedprice)", "max_p"), (g.min("l_extendedprice"), "min(l_extendedprice)", "min_p"),
-                          (g.sum("l_quantity"), "sum(l_quantity)", "sum_q"), (g.agg({"l_linenumber": "max"}), "max(l_linenumber)", "top_line")):
-        out = out.join(df.withColumnRenamed(name, new), "l_returnflag")
-    return out.withColumns({"mean_q": F.round("mean_q", 6), "avg_tax": F.round("avg_tax", 6), "sum_q": F.round("sum_q", 2)})
+    """All aggregates of a grouping in one pass."""
+    return t.lineitem.groupBy("l_returnflag").agg(
+        F.count("*").alias("n"), F.round(F.mean("l_quantity"), 6).alias("mean_q"), F.round(F.avg("l_tax"), 6).alias("avg_tax"), F.max("l_extendedprice").alias("max_p"),
+        F.min("l_extendedprice").alias("min_p"), F.round(F.sum("l_quantity"), 2).alias("sum_q"), F.max("l_linenumber").alias("top_line"))
+
+
+@query("agm_05_short_forms", "AGM-05 AGM-06 AGM-07 AGM-08 AGM-09 AGM-10 AGM-11", """
+SELECT c_nationkey, count(*) AS n, round(avg(c_acctbal), 6) AS mean, round(avg(c_acctbal), 6) AS avg, max(c_acctbal) AS max, min(c_acctbal) AS min, round(sum(c_acctbal), 2) AS sum, max(c_custkey) AS last
+FROM customer GROUP BY 1""")
+def short_forms(t):
+    """The methods of a grouping, put side by side by key, on the smaller table; each is a pass of its own."""
+    g = t.customer.select("c_nationkey", "c_acctbal", "c_custkey").groupBy("c_nationkey")
+    parts = [g.count().toDF("c_nationkey", "n"), g.mean("c_acctbal").toDF("c_nationkey", "mean"), g.avg("c_acctbal").toDF("c_nationkey", "avg"), g.max("c_acctbal").toDF("c_nationkey", "max"),
+             g.min("c_acctbal").toDF("c_nationkey", "min"), g.sum("c_acctbal").toDF("c_nationkey", "sum"), g.agg({"c_custkey": "max"}).toDF("c_nationkey", "last")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, "c_nationkey")
+    return out.withColumns({"mean": F.round("mean", 6), "avg": F.round("avg", 6), "sum": F.round("sum", 2)})
 
 
 SETS = "coalesce(l_returnflag, '*') AS flag, coalesce(l_linestatus, '*') AS status, grouping_id(l_returnflag, l_linestatus) AS gid, count(*) AS n, round(sum(l_quantity), 2) AS q"

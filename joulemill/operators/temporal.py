@@ -77,13 +77,15 @@ def points_in_spans(
 ) -> DataFrame:
     """Join every point with the spans [start, end] that hold it (numeric columns, equal ``keys``).
 
-    A span of length d goes to level ceil(log2(d / base)), whose cells are at least d wide, so it touches at
-    most two cells. A point looks up one cell per level in use (at most 64). The rest is an equi-join
+    A span of length d goes to the lowest level whose cells, base * 2^level wide, are at least d wide, so it touches at
+    most two cells; the logarithm is corrected by comparing widths, since a float may fall short by one. A point looks up one cell per level in use (at most 64). The rest is an equi-join
     with a residual filter, whatever the mix of span lengths.
     """
     keys = list(keys)
     length = F.greatest(F.col(end) - F.col(start), F.lit(base))
-    leveled = spans.withColumn("_level", F.ceil(F.log2(length / F.lit(base)) - F.lit(1e-9)).cast("int"))
+    guess = F.greatest(F.ceil(F.log2(length / F.lit(base))).cast("int") - 1, F.lit(0))
+    wide = lambda level: F.call_function("shiftleft", F.lit(base).cast("long"), level) >= length
+    leveled = spans.withColumn("_guess", guess).withColumn("_level", F.when(wide(F.col("_guess")), F.col("_guess")).when(wide(F.col("_guess") + 1), F.col("_guess") + 1).otherwise(F.col("_guess") + 2)).drop("_guess")
     levels = sorted(r[0] for r in leveled.select("_level").distinct().collect())  # few by construction
     if not levels:
         levels = [0]
@@ -98,14 +100,17 @@ def points_in_spans(
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, hot_rows: int, splits: int = 16, how: str = "inner") -> DataFrame:
     """Equi-join in which keys with more than ``hot_rows`` rows on the big side are spread over ``splits``
-    sub-keys; only the matching small rows are copied. At most rows / hot_rows keys can be hot."""
+    sub-keys; only the matching small rows are copied. At most rows / hot_rows keys can be hot. Joins that keep unmatched small
+    rows are refused: their copies would come out once for each sub-key. Rows with a null key match nothing and are spread, too."""
+    if how not in ("inner", "left", "left_outer", "leftouter", "left_semi", "semi", "leftsemi", "left_anti", "anti", "leftanti"):
+        raise ValueError(f"a salted join can't be {how}")
     hot = cut(big.groupBy(key).count().filter(F.col("count") > hot_rows).select(key, F.lit(True).alias("_hot")), "hot")
     hot = checked_broadcast(hot)
     # by row number, not by content: copies of one row must spread too. Numbered on ``big`` itself, before any
     # shuffle, so that a task run again gives its rows the same numbers
     spread = F.pmod(F.monotonically_increasing_id(), F.lit(splits))
     left = big.withColumn("_spread", spread).join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.col("_spread")).otherwise(F.lit(0).cast("long"))).drop("_hot", "_spread")
+        "_salt", F.when(F.col("_hot") | F.col(key).isNull(), F.col("_spread")).otherwise(F.lit(0).cast("long"))).drop("_hot", "_spread")
     every = F.sequence(F.lit(0).cast("long"), F.lit(splits - 1).cast("long"))
     right = small.join(hot, key, "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0).cast("long"))))).drop("_hot")

@@ -70,10 +70,11 @@ def q2(t):
 SELECT l_orderkey, round(sum({NET}), 2) AS revenue, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
 WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1997-03-15' AND l_shipdate > TIMESTAMP '1997-03-15' GROUP BY ALL ORDER BY revenue DESC, l_orderkey LIMIT 10""")
 def q3(t):
-    """Lines are summed per order before the join, so a hot order meets its row once."""
+    """The orders come first and thin the lines out; the lines left are summed per order, so a hot order meets its row once."""
     c = t.customer.filter("c_mktsegment = 'BUILDING'").select("c_custkey")
     o = t.orders.filter(F.col("o_orderdate") < day("1997-03-15")).join(c, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
-    l = t.lineitem.filter(F.col("l_shipdate") > day("1997-03-15")).groupBy("l_orderkey").agg(money(F.sum(net()), "revenue"))
+    wanted = t.lineitem.filter(F.col("l_shipdate") > day("1997-03-15")).join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    l = wanted.groupBy("l_orderkey").agg(money(F.sum(net()), "revenue"))
     return l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "revenue", "o_orderdate").orderBy(
         F.desc("revenue"), "l_orderkey").limit(10).withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
 
@@ -83,7 +84,8 @@ SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP
  AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate + INTERVAL 60 DAY) GROUP BY 1""")
 def q4(t):
     o = t.orders.filter((F.col("o_orderdate") >= day("1997-07-01")) & (F.col("o_orderdate") < day("1997-10-01")))
-    l = t.lineitem.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("l_shipdate"))  # a late line exists iff the last one is late
+    wanted = t.lineitem.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    l = wanted.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("l_shipdate"))  # a late line exists iff the last one is late
     return o.join(l, (F.col("o_orderkey") == F.col("l_orderkey")) & late(), "left_semi").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
@@ -157,7 +159,8 @@ SELECT c_custkey, c_name, round(sum({NET}), 2) AS revenue, c_acctbal, n_name FRO
 WHERE o_orderdate >= TIMESTAMP '1997-10-01' AND o_orderdate < TIMESTAMP '1998-01-01' AND l_returnflag = 'R' GROUP BY ALL ORDER BY revenue DESC, c_custkey LIMIT 20""")
 def q10(t):
     o = t.orders.filter((F.col("o_orderdate") >= day("1997-10-01")) & (F.col("o_orderdate") < day("1998-01-01"))).select("o_orderkey", "o_custkey")
-    returned = t.lineitem.filter("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.sum(net()).alias("net"))
+    wanted = t.lineitem.filter("l_returnflag = 'R'").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    returned = wanted.groupBy("l_orderkey").agg(F.sum(net()).alias("net"))
     spent = returned.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(money(F.sum("net"), "revenue"))
     return spent.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         "c_custkey", "c_name", "revenue", "c_acctbal", "n_name").orderBy(F.desc("revenue"), "c_custkey").limit(20)
@@ -273,7 +276,7 @@ SELECT s_name, count(*) AS n FROM x JOIN y USING (l_orderkey) JOIN supplier ON s
 def q21(t):
     """Exists / not exists per order become one aggregate: several suppliers, exactly one of them late."""
     o = t.orders.filter("o_orderstatus = 'F'").select("o_orderkey", "o_orderdate")
-    last = t.lineitem.groupBy("l_orderkey", "l_suppkey").agg(F.max("l_shipdate").alias("l_shipdate"))
+    last = t.lineitem.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").groupBy("l_orderkey", "l_suppkey").agg(F.max("l_shipdate").alias("l_shipdate"))
     x = last.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_suppkey", late().cast("int").alias("late"))
     y = x.groupBy("l_orderkey").agg(F.count("*").alias("suppliers"), F.sum("late").alias("lates"), F.max_by("l_suppkey", "late").alias("l_suppkey")).filter("suppliers > 1 AND lates = 1")
     return y.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("s_name").agg(F.count("*").alias("n"))

@@ -41,7 +41,7 @@ def results(tmp_path):
         (1, "2024-12-23 22:59:53.000000", "2024-12-23 23:00:20.500000", "19.5", "\"[('59:58', 'p-exec-1'), ('00:03', 'p-exec-1')]\""),
         (2, "2024-12-23 23:01:00.000000", "", "", "[]"),
     ]
-    for model, folder, tag in (("green", "alibaba_25_DE", "0"), ("default", "alibaba_25_CAISO_prev", "3"), ("default", "sparktc_10", "0")):
+    for model, folder, tag in (("green", "steady_25_DE", "0"), ("default", "steady_25_CAISO_prev", "3"), ("default", "closure_10", "0")):
         d = tmp_path / model / folder
         d.mkdir(parents=True)
         (d / f"times_{tag}.csv").write_text(text + "\n".join(",".join(map(str, r)) for r in rows) + "\n")
@@ -51,7 +51,7 @@ def results(tmp_path):
 def test_run_logs(spark, results):
     runs = logs.read_run_logs(spark, results)
     keys = {tuple(r) for r in runs.select("model", "job_type", "jobs", "trace", "suffix", "tag").distinct().collect()}
-    assert keys == {("green", "alibaba", 25, "DE", "", "0"), ("default", "alibaba", 25, "CAISO", "prev", "3"), ("default", "sparktc", 10, "", "", "0")}
+    assert keys == {("green", "steady", 25, "DE", "", "0"), ("default", "steady", 25, "CAISO", "prev", "3"), ("default", "closure", 10, "", "", "0")}
     done = logs.with_duration(logs.finished(runs.filter("model = 'green'"))).orderBy("job_id").collect()
     assert [r["job_id"] for r in done] == [0, 1]
     assert done[0]["duration_s"] == pytest.approx(27.949862) and done[0]["duration"].total_seconds() == pytest.approx(27.949862)
@@ -72,7 +72,8 @@ def test_report(spark):
     assert {r["model"]: r["total_carbon_share"] for r in report.normalized(totals, "total_carbon").collect()} == {"view": 1.0, "click": 0.5}
     saved = report.against_baseline(totals, "total_carbon", [("click", "view")], True).first()
     assert saved["percent"] == 50.0
-    assert {r["total_carbon"] for r in report.run_totals(runs, 1).collect()} == {4.0, 5.0}
+    many = spark.range(150).selectExpr("'view' AS model", "'0' AS tag", "int(id) AS job_id", "timestamp_seconds(id) AS start_time", "timestamp_seconds(id + 60) AS end_time", "2.0D AS carbon_footprint")
+    assert report.run_totals(many).first()["total_carbon"] == 300.0 and report.end_to_end(many).first()["end_to_end_s"] == 209.0  # no job is left out
 
 
 def test_trace_wraps(spark):

@@ -132,3 +132,24 @@ def test_resample_edges(spark):
     right = {str(r["bin"]): r["sum"] for r in ops.resample(df, ["k"], "ts", "v", 3600, "right", "right").collect()}
     assert left == {"2024-01-01 00:00:00": 1.0, "2024-01-01 01:00:00": 2.0, "2024-01-01 02:00:00": 0.0, "2024-01-01 03:00:00": 4.0}
     assert right == {"2024-01-01 00:00:00": 1.0, "2024-01-01 01:00:00": 2.0, "2024-01-01 02:00:00": 0.0, "2024-01-01 03:00:00": 0.0, "2024-01-01 04:00:00": 4.0}
+
+
+def test_points_in_spans_at_cell_borders(spark):
+    """Lengths around powers of two, zero and the scale of microseconds: the float logarithm must not lose a cell."""
+    spans = [(0, 2**31 - 1, 2**32), (1, 7, 7), (2, 10**15, 10**15 + 10**12)]
+    spans += [(10 * k + d + 5, start, start + 2**k + d) for k in (0, 1, 5, 20, 31, 40) for d in (-1, 0, 1) for start in (0, 3, 2**k - 1)]
+    points = sorted({p for _, lo, hi in spans for p in (lo - 1, lo, lo + 1, (lo + hi) // 2, hi - 1, hi, hi + 1)} | {2**31 + 5, 2**32 - 7})
+    for base in (1, 3_600):
+        got = points_in_spans(spark.createDataFrame([(p,) for p in points], "x long"), spark.createDataFrame(spans, "s long, lo long, hi long"), "x", "lo", "hi", base=base)
+        want = sorted((p, s, lo, hi) for p in points for s, lo, hi in spans if lo <= p <= hi)
+        assert sorted((r["x"], r["s"], r["lo"], r["hi"]) for r in got.collect()) == want
+
+
+def test_salted_join_kinds(spark):
+    rows = spark.createDataFrame([(7, i) for i in range(300)] + [(i, i) for i in range(20)] + [(None, i) for i in range(50)], "k long, v long")
+    small = spark.createDataFrame([(7, "a"), (3, "b"), (99, "c"), (None, "d")], "k long, w string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        same(salted_join(rows, small, "k", hot_rows=100, how=how), rows.join(small, "k", how))
+    for how in ("right", "full"):
+        with pytest.raises(ValueError):
+            salted_join(rows, small, "k", hot_rows=100, how=how)
