@@ -10,6 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from joulemill.registry import load  # noqa: E402
 from joulemill.session import local_session  # noqa: E402
+from joulemill.storage import release  # noqa: E402
 
 HEADLINE = [
     "co_05_run_total_carbon", "co_10_against_baseline", "co_14_intensity_at", "co_16_carbon_per_job", "co_18_parse_executors", "co_25_replay_provisioning",
@@ -31,6 +32,7 @@ def main() -> None:
         start = time.perf_counter()
         queries[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        release(spark)
     spark.stop()
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": Path(folder).name.removeprefix("sf")}))
 

@@ -138,7 +138,7 @@ def asof_nearest(t):
 SELECT strategy, o_orderpriority, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey
 CROSS JOIN (VALUES ('broadcast'), ('merge'), ('shuffle_hash'), ('checked')) s(strategy) WHERE c_acctbal > 0 GROUP BY ALL""")
 def hints(t):
-    """The same join under each strategy hint; the broadcasts sit behind a row check."""
+    """The same join under each strategy hint; the broadcasts sit behind a size check."""
     c = t.customer.filter("c_acctbal > 0").select("c_custkey")
     o = t.orders.select("o_custkey", "o_orderpriority")
     small = checked_broadcast(c)

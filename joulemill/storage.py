@@ -7,7 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
+SCRATCH: list[str] = []  # paths that this process has handed out and not yet released
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -28,7 +29,8 @@ def shared_root(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_root(spark)}/joulemill/{label}-{uuid.uuid4().hex}"
+    SCRATCH.append(f"{shared_root(spark)}/joulemill/{label}-{uuid.uuid4().hex}")
+    return SCRATCH[-1]
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
@@ -39,11 +41,16 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """True when ``df`` has no more than ``rows`` rows; the probe stops early on bigger inputs."""
-    return df.limit(rows + 1).count() <= rows
+def checked_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint behind a check of the planner's size estimate, without a job; beyond the bound the planner chooses.
 
+    The estimate never falls below the files read for the columns in use, so data that grow leave the hint behind."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(df) if size <= most else df
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a row check; beyond the bound the planner shuffles both sides instead."""
-    return F.broadcast(df) if at_most(df, rows) else df
+
+def release(spark: SparkSession) -> None:
+    """Delete the session's scratch tables. Call it once the results that read them have been used."""
+    while SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(SCRATCH.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
