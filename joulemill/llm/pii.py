@@ -20,7 +20,7 @@ TEXT = (DIGITS, LOWER, UPPER, LOWER_1, UPPER_1)
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: In order: the first that matches at a place wins. None has a capturing group.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "token": r"(?i:token|secret|password|passwd|api_?key) ?[=:] ?\x22[0-9a-f]{16,}\x22",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "date": r"(?<![\d.-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/])\d{2}/\d{2}/\d{4}(?![\d/])|(?<![\d.])\d{2}\.\d{2}\.\d{4}(?!\d)",
