@@ -8,7 +8,6 @@ common weights, and Spark averages the results block by block.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +33,6 @@ BATCH = 256
 RATE = 0.1
 PLACES = 1 << 15  # places scored at once
 REMEMBERED = 300_000
-BLANKS = re.compile("[\x20\x09-\x0d]+")
 
 
 def frequent(docs: DataFrame) -> list[str]:
@@ -60,7 +58,7 @@ class Ids(dict):
 
     def of(self, text: str | None) -> np.ndarray:
         """Ids of a text with SIDE edges before and after."""
-        parts = [w for w in BLANKS.split((text or "").lower()) if w]
+        parts = (text or "").lower().split()
         return np.array([EDGE] * SIDE + list(map(self.__getitem__, parts)) + [EDGE] * SIDE, dtype=np.int16)
 
 
@@ -77,12 +75,20 @@ def windows(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
     return np.stack([ids[places + SIDE + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+def softmax(x: np.ndarray) -> np.ndarray:
+    """Rows of probabilities, in place. Logits are held within +-60, so that nothing overflows."""
+    np.exp(np.clip(x, -60, 60, out=x), out=x)
+    x /= (x @ np.ones(x.shape[1], dtype=x.dtype))[:, None]
     return x
 
 
+def log_chosen(x: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Log-probability of one entry of each row."""
+    np.clip(x, -60, 60, out=x)
+    chosen = x[np.arange(len(x)), which]
+    return chosen - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], dtype=x.dtype))
+
+
 def hidden(net: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
     total = net["context"][0][around[:, 0]] + net["bias"]
     for p in range(1, 2 * SIDE):
@@ -94,12 +100,12 @@ def log_likelihood(net: dict[str, np.ndarray], around: np.ndarray, centre: np.nd
     """log P(centre | around) for each row: the class, then the member within it. Rows are sorted by class, one product for each."""
     h = hidden(net, around)
     group, member = centre // MEMBERS, centre % MEMBERS
-    out = log_softmax(h @ net["classes"] + net["class_bias"])[np.arange(len(h)), group].astype(np.float64)
-    order = np.argsort(group, kind="stable")
+    out = log_chosen(h @ net["classes"] + net["class_bias"], group).astype(np.float64)
+    order = np.argsort(group.astype(np.uint8), kind="stable")  # a radix sort
     bounds = np.searchsorted(group[order], np.arange(CLASSES + 1))
     for c in np.flatnonzero(np.diff(bounds)):
         rows = order[bounds[c] : bounds[c + 1]]
-        out[rows] += log_softmax(h[rows] @ net["members"][c] + net["member_bias"][c])[np.arange(len(rows)), member[rows]]
+        out[rows] += log_chosen(h[rows] @ net["members"][c] + net["member_bias"][c], member[rows])
     return out
 
 
@@ -118,13 +124,13 @@ def train(net: dict[str, np.ndarray], data: np.ndarray, rate: float, seed: int)
         around, centre = rows[:, :-1], rows[:, -1]
         group, member, n = centre // MEMBERS, centre % MEMBERS, len(rows)
         h = hidden(net, around)
-        up = np.exp(log_softmax(h @ net["classes"] + net["class_bias"]))
+        up = softmax(h @ net["classes"] + net["class_bias"])
         up[np.arange(n), group] -= 1
         back = up @ net["classes"].T
         grad_c, grad_cb = h.T @ up / n, up.mean(axis=0)
         for c in np.unique(group):
             mine = np.flatnonzero(group == c)
-            up_m = np.exp(log_softmax(h[mine] @ net["members"][c] + net["member_bias"][c]))
+            up_m = softmax(h[mine] @ net["members"][c] + net["member_bias"][c])
             up_m[np.arange(len(mine)), member[mine]] -= 1
             back[mine] += up_m @ net["members"][c].T
             step("members", c, h[mine].T @ up_m / n)
