@@ -9,6 +9,7 @@ what still lies in different groups is then compared pair by pair. Links are con
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,7 @@ SIMILARITY = 75  # hundredths
 K, BITS, CHUNK, ERRORS = 64, 16, 4, 1
 CHUNKS = K // CHUNK
 R = CHUNKS * (ERRORS + 1) - 1  # 31 of 64 values: at similarity 0.75 sixteen differ on average, and 32 or more with probability below 1e-4
-SLACK = 36  # pairs that share a key are compared in full up to this distance
-PIVOTS = 3  # rounds with one pivot for each key
+PIVOTS = 2  # members of a key that all others are compared with first
 FOLD = np.random.default_rng(20240229).integers(0, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MULTIPLY = np.random.default_rng(20240301).integers(0, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = np.random.default_rng(20240302).integers(0, 2**63, K, dtype=np.uint64)
@@ -81,8 +81,9 @@ def class_id() -> Column:
 
 
 def keys(classes: DataFrame) -> DataFrame:
-    """(key, cls, n): for every chunk and every choice of values left out of it, one key from those that remain."""
-    out = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("n", pa.int64())])
+    """(key, cls, n, slot): for every chunk and every choice of values left out of it, one key from those that remain. The slot is
+    chunk * CHUNK + the value left out."""
+    out = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("slot", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,23 +94,42 @@ def keys(classes: DataFrame) -> DataFrame:
                 for left_out in range(CHUNK):
                     rest = [values[:, :, j] << np.uint64(BITS * i) for i, j in enumerate(x for x in range(CHUNK) if x != left_out)]
                     found.append(mixed((rest[0] | rest[1] | rest[2]) + (np.arange(CHUNKS, dtype=np.uint64) * np.uint64(CHUNK) + np.uint64(left_out) << np.uint64(48)), 7))
-                key = np.stack(found, axis=1).reshape(rows, -1)
+                key = np.stack(found, axis=2).reshape(rows, -1)  # in the order of the slots
                 wide = [np.repeat(part.column(i).to_numpy(), key.shape[1]) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), pa.array(wide[0]), pa.array(wide[1])], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), pa.array(wide[0]), pa.array(wide[1]), pa.array(np.tile(np.arange(key.shape[1], dtype=np.int32), rows))], schema=out)
 
-    return classes.select("cls", F.col("n_shingles").alias("n"), "signature").mapInArrow(run, "key long, cls long, n long")
+    return classes.select("cls", F.col("n_shingles").alias("n"), "signature").mapInArrow(run, "key long, cls long, n long, slot int")
+
+
+def chunk_errors(chunk: int) -> Column:
+    """How many of the four 16-bit values of a chunk differ between the columns ``s`` and ``s2`` of packed chunks."""
+    x = F.get("s", F.lit(chunk)).bitwiseXOR(F.get("s2", F.lit(chunk)))
+    lanes = F.lit(0x0000FFFF0000FFFF)  # two values at a time, so that a carry has room: it is set where a value is not 0
+    carries = lambda v: F.bit_count((v.bitwiseAND(lanes) + lanes).bitwiseAND(F.lit(0x0001000000010000)))
+    return carries(x) + carries(F.shiftrightunsigned(x, 16))
+
+
+def packed(signatures: DataFrame) -> DataFrame:
+    """(cls, s array<long>): a long for each chunk."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            longs = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<i8")
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * CHUNKS), pa.array(longs))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["cls", "s"])
+
+    return signatures.select("cls", "signature").mapInArrow(run, "cls long, s array<long>")
 
 
 def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sizes and signatures allow the similarity."""
     side = lambda x: classes.select(F.col("cls").alias(x), F.col("signature").alias("s" + x), F.col("n_shingles").alias("n" + x))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * SIMILARITY)
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(fits(F.col("na"), F.col("nb")))
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype="<u2").reshape(-1, K) for i in (2, 3))
-            close = pa.array((x != y).sum(axis=1) <= SLACK)
+            close = pa.array((x != y).sum(axis=1) <= R)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(close), batch.column(1).filter(close)], schema=out)
 
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
@@ -137,35 +157,51 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     return both.select("a", "b", (shared * 100 >= (F.size("x") + F.size("y") - shared) * SIMILARITY).alias("linked"))
 
 
+def fits(x: Column, y: Column) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return F.least(x, y) * 100 >= F.greatest(x, y) * SIMILARITY
+
+
 def link(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, component) for the classes that have a partner. Exact copies are one class already."""
+    """(cls, component) for the classes that share a key with another. Exact copies are one class already."""
     every = keys(classes)
     shared = every.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high").select("key")
     members = cut(every.join(shared, "key"), "members")
-    component = members.select("cls").distinct().select("cls", F.col("cls").alias("component"))
-    tested, links = None, None
-    for step in range(PIVOTS + 1):
-        open_ = members.join(component, "cls")
-        mixed_keys = open_.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64(F.lit(step), "cls"), "cls", "component", "n")).alias("pivot")).filter("low <> high")
-        fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * SIMILARITY
-        if step < PIVOTS:
-            pairs = open_.join(mixed_keys, "key").filter((F.col("component") != F.col("pivot.component")) & fits(F.col("n"), F.col("pivot.n"))).select(F.col("cls").alias("x"), F.col("pivot.cls").alias("y"))
-        else:
-            rest = open_.join(mixed_keys.select("key"), "key").select("cls", "key", "n", "component")
-            left, right = rest.toDF("cls", "key", "n", "component"), rest.toDF("cls2", "key", "n2", "component2")
-            pairs = left.join(right, "key").filter((F.col("cls") < F.col("cls2")) & (F.col("component") != F.col("component2")) & fits(F.col("n"), F.col("n2"))).select(F.col("cls").alias("x"), F.col("cls2").alias("y"))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        result = cut(confirmed(near(pairs, classes), classes, docs), "links")
-        found = result.filter("linked").select("a", "b")
-        links = found if links is None else links.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
-        if not found.isEmpty():
-            groups = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).toDF("cls", "_c")
-            component = cut(members.select("cls").distinct().join(groups, "cls", "left").select("cls", F.coalesce("_c", "cls").alias("component")), "components")
-    return component
+    ordered = lambda df: df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    # Every member against the pivots of its keys: one comparison for each member and pivot, however many members there are. The first
+    # pivot is the most central member, whose keys are shared most often: the origin of a family of edited copies, which may be
+    # near all of them while they are not near each other. The others are drawn by hash.
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    central = members.join(sizes, "key").groupBy("cls").agg(F.sum("size").alias("central"))
+    ranked = cut(members.join(central, "cls"), "ranked")
+    drawn = [F.min(F.struct((-F.col("central")).alias("h"), "cls", "n")), *[F.min(F.struct(F.xxhash64(F.lit(i), "cls").alias("h"), "cls", "n")) for i in range(1, PIVOTS)]]
+    pivots = ranked.groupBy("key").agg(*[p.alias(f"p{i}") for i, p in enumerate(drawn)])
+    met = ranked.join(pivots, "key").select("cls", "n", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("p"))
+    tested = cut(ordered(met.filter((F.col("cls") != F.col("p.cls")) & fits(F.col("n"), F.col("p.n"))).select(F.col("cls").alias("x"), F.col("p.cls").alias("y"))), "pairs")
+    links = cut(confirmed(near(tested, classes), classes, docs).filter("linked"), "links")
+    groups = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).toDF("cls", "_c")
+    component = cut(members.select("cls").distinct().join(groups, "cls", "left").select("cls", F.coalesce("_c", "cls").alias("component")), "components")
+
+    # What still lies in different components under one key, pair by pair.
+    left = members.join(component, "cls")
+    mixed_keys = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    left = left.join(mixed_keys, "key").select("key", "slot", "cls", "n", "component")
+    left = cut(left.join(packed(classes.join(left.select("cls").distinct(), "cls", "left_semi")), "cls"), "open")
+    other = left.select("key", *[F.col(c).alias(c + "2") for c in ("cls", "n", "component", "s")])
+    # A pair comes out once, under the first key that it shares, and only if its signatures are within R.
+    errors = [chunk_errors(c) for c in range(CHUNKS)]
+    first = F.coalesce(*[F.when(e == 0, c * CHUNK).when(e == 1, F.lit(c * CHUNK) + F.pmod(F.col("slot"), F.lit(CHUNK))) for c, e in enumerate(errors)])
+    meets = (F.col("cls") < F.col("cls2")) & (F.col("component") != F.col("component2")) & fits(F.col("n"), F.col("n2")) & (F.col("slot") == first) & (reduce(Column.__add__, errors) <= R)
+    rest = left.join(other, "key").filter(meets)
+    rest = cut(ordered(rest.select(F.col("cls").alias("x"), F.col("cls2").alias("y"))).join(tested, ["a", "b"], "left_anti"), "pairs")
+    more = confirmed(rest, classes, docs).filter("linked")
+    name = lambda x: component.select(F.col("cls").alias(x), F.col("component").alias("_" + x))
+    bridges = cut(more.join(name("a"), "a").join(name("b"), "b").select(F.col("_a").alias("src"), F.col("_b").alias("dst")).distinct(), "bridges")
+    if bridges.isEmpty():
+        return component
+    joined = connected_components(bridges).toDF("component", "_c")
+    return component.join(joined, "component", "left").select("cls", F.coalesce("_c", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
