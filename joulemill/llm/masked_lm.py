@@ -1,15 +1,17 @@
 """Language-model scoring by masked pseudo-likelihood.
 
 A small network reads the words on both sides of a place and predicts the word there; the sum of the log-probabilities of all words of a document,
-each given its neighbours, is the document's score. Word counts come from the whole corpus, and every document gives windows to the
-training, one every STRIDE words. Training is data-parallel: in each round every partition takes its steps from the
+each given its neighbours, is the document's score. Words outside the most frequent share ids: the network predicts the shared id, and the
+word's share in the counts of that id, taken over the whole corpus by Spark, gives its probability there. Every place of every document is
+trained on, in one of the rounds. Training is data-parallel: in each round every partition takes its steps from the
 common weights, and Spark averages the results block by block.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,7 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from joulemill.llm.registry import query, table
-from joulemill.llm.words import words
 from joulemill.storage import cut
 
 CLASSES, MEMBERS = 32, 32  # the output is a class and a member of it; together the vocabulary
@@ -26,20 +27,58 @@ RARE = 256  # ids that the words outside the most frequent share by hash
 EDGE = VOCABULARY  # stands beyond either end of a document
 SIDE = 2  # words read on each side
 WIDTH = 24
-STRIDE = 48
-ROUNDS = 4
+ROUNDS = 4  # every place is trained on in one of them
 GROUPS = 64  # the networks of a round are added up in so many groups, then the groups' sums
 BATCH = 256
 RATE = 0.1
 PLACES = 1 << 15  # places scored at once
 REMEMBERED = 300_000
+PIECE = 1 << 16  # places that are stored and shuffled together in training
+ADD = 0.5  # added to the count of a word that shares its id; words never seen have one such share together
+
+
+def split(text: str | None) -> list[str]:
+    return (text or "").lower().split()
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """(word, count) of the lower-cased words of the corpus, as ``split`` parts them."""
+    out = pa.schema([("word", pa.string()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], schema=out)
+            seen.clear()
+            return found
+
+        for batch in batches:
+            for text in batch.column(0):
+                seen.update(split(text.as_py()))
+                if len(seen) > REMEMBERED:
+                    yield flush()
+        yield flush()
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("count"))
+
+
+def most_frequent(counts: DataFrame) -> list[str]:
+    return [r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(VOCABULARY - RARE).collect()]
 
 
 def frequent(docs: DataFrame) -> list[str]:
     """The most frequent words of the corpus, lower-cased; their number is fixed."""
-    each = docs.select(F.explode_outer(words(F.lower("text"))).alias("word")).filter("word is not null")
-    top = each.groupBy("word").count().orderBy(F.desc("count"), "word").limit(VOCABULARY - RARE)
-    return [r["word"] for r in top.collect()]
+    return most_frequent(counted(docs))
+
+
+def shared(counts: DataFrame, top: list[str]) -> tuple[DataFrame, list[float]]:
+    """Words that share ids with their counts, and of each shared id the logarithm of its total with what is added."""
+    rare = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in top], "word string")), "word", "left_anti")
+    totals = [ADD] * RARE
+    for r in rare.groupBy((F.crc32(F.col("word").cast("binary")) % RARE).alias("id")).agg(F.sum("count").alias("n"), F.count("*").alias("words")).collect():
+        totals[r["id"]] = r["n"] + ADD * (r["words"] + 1)
+    return rare, np.log(totals).tolist()
 
 
 class Ids(dict):
@@ -58,7 +97,9 @@ class Ids(dict):
 
     def of(self, text: str | None) -> np.ndarray:
         """Ids of a text with SIDE edges before and after."""
-        parts = (text or "").lower().split()
+        return self.ids(split(text))
+
+    def ids(self, parts: list[str]) -> np.ndarray:
         return np.array([EDGE] * SIDE + list(map(self.__getitem__, parts)) + [EDGE] * SIDE, dtype=np.int16)
 
 
@@ -109,18 +150,26 @@ def log_likelihood(net: dict[str, np.ndarray], around: np.ndarray, centre: np.nd
     return out
 
 
-def train(net: dict[str, np.ndarray], data: np.ndarray, rate: float, seed: int) -> dict[str, np.ndarray]:
-    """One pass of mini-batch gradient steps with per-weight rates over rows (neighbours ..., centre)."""
+def sums(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, and for each the sum of its rows."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[starts], np.add.reduceat(rows[order], starts, axis=0)
+
+
+def train(net: dict[str, np.ndarray], parts: Iterable[np.ndarray], rate: float, seed: int) -> dict[str, np.ndarray]:
+    """One pass of mini-batch gradient steps with per-weight rates over rows (neighbours ..., centre), which come in parts."""
     net = {k: v.copy() for k, v in net.items()}
     speed = {k: np.full(v.shape, 1e-6, dtype=np.float32) for k, v in net.items()}
+    draw = np.random.default_rng(seed)
 
     def step(name: str, index, gradient: np.ndarray) -> None:
         speed[name][index] += gradient * gradient
         net[name][index] -= rate * gradient / np.sqrt(speed[name][index])
 
-    order = np.random.default_rng(seed).permutation(len(data))
-    for at in range(0, len(data), BATCH):
-        rows = data[order[at : at + BATCH]].astype(np.int64)
+    for rows in (data[i] for data in parts for order in [draw.permutation(len(data))] for i in np.split(order, range(BATCH, len(order), BATCH))):
+        rows = rows[np.argsort(rows[:, -1], kind="stable")].astype(np.int64)  # by class, one product for each
         around, centre = rows[:, :-1], rows[:, -1]
         group, member, n = centre // MEMBERS, centre % MEMBERS, len(rows)
         h = hidden(net, around)
@@ -128,58 +177,84 @@ def train(net: dict[str, np.ndarray], data: np.ndarray, rate: float, seed: int)
         up[np.arange(n), group] -= 1
         back = up @ net["classes"].T
         grad_c, grad_cb = h.T @ up / n, up.mean(axis=0)
-        for c in np.unique(group):
-            mine = np.flatnonzero(group == c)
-            up_m = softmax(h[mine] @ net["members"][c] + net["member_bias"][c])
-            up_m[np.arange(len(mine)), member[mine]] -= 1
-            back[mine] += up_m @ net["members"][c].T
-            step("members", c, h[mine].T @ up_m / n)
-            step("member_bias", c, up_m.sum(axis=0) / n)
+        bounds = np.searchsorted(group, np.arange(CLASSES + 1))
+        here = np.flatnonzero(np.diff(bounds))
+        up_m = np.empty((n, MEMBERS), dtype=np.float32)
+        for c in here:
+            np.matmul(h[bounds[c] : bounds[c + 1]], net["members"][c], out=up_m[bounds[c] : bounds[c + 1]])
+        up_m = softmax(up_m + net["member_bias"][group])
+        up_m[np.arange(n), member] -= 1
+        grad_m = np.empty((len(here), WIDTH, MEMBERS), dtype=np.float32)
+        for i, c in enumerate(here):
+            mine = slice(bounds[c], bounds[c + 1])
+            back[mine] += up_m[mine] @ net["members"][c].T
+            np.matmul(h[mine].T, up_m[mine], out=grad_m[i])
+        step("members", here, grad_m / n)
+        step("member_bias", here, np.add.reduceat(up_m, bounds[here], axis=0) / n)
         step("classes", ..., grad_c)
         step("class_bias", ..., grad_cb)
         back *= (1 - h * h) / n
         step("bias", ..., back.sum(axis=0))
         for p in range(2 * SIDE):
-            seen, inverse = np.unique(around[:, p], return_inverse=True)
-            sums = np.zeros((len(seen), WIDTH), dtype=np.float32)
-            np.add.at(sums, inverse, back)
-            step("context", (p, seen), sums)
+            seen, total = sums(around[:, p], back)
+            step("context", (p, seen), total)
     return net
 
 
-def gathered(docs: DataFrame, top: list[str], stride: int = STRIDE) -> DataFrame:
-    """(window array<int>): neighbours and centre at every ``stride``-th place of every document, from a place that its length decides."""
-    out = pa.schema([("window", pa.binary()), ("n", pa.int64())])
+def gathered(docs: DataFrame, top: list[str], stride: int = 1) -> DataFrame:
+    """(ids, stride): documents as ids one after the other, each between its edges, cut into pieces that overlap by SIDE ids at either end.
+    Training takes every ``stride``-th place; 1, as the query has it, takes all."""
+    out = pa.schema([("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Ids(top)
+
+        def pieces(held: list[np.ndarray]) -> pa.RecordBatch:
+            flat = np.concatenate(held)
+            return pa.RecordBatch.from_arrays([pa.array([flat[i : i + PIECE + 2 * SIDE].astype("<i2").tobytes() for i in range(0, len(flat) - 2 * SIDE, PIECE)], pa.binary())], schema=out)
+
+        held, size = [], 0
         for batch in batches:
-            found = []
             for text in batch.column(0):
-                ids = known.of(text.as_py())
-                n = len(ids) - 2 * SIDE
-                places = np.arange(n % stride if n > stride else 0, n, stride)
-                if len(places):
-                    found.append(np.concatenate([windows(ids, places), ids[places + SIDE, None]], axis=1))
-            rows = np.concatenate(found) if found else np.empty((0, 2 * SIDE + 1), dtype=np.int16)
-            parts = [rows[i : i + 4096] for i in range(0, len(rows), 4096)]
-            yield pa.RecordBatch.from_arrays([pa.array([p.astype("<i2").tobytes() for p in parts], pa.binary()), pa.array([len(p) for p in parts], pa.int64())], schema=out)
+                held.append(known.of(text.as_py()))
+                size += len(held[-1])
+                if size >= 16 * PIECE:
+                    yield pieces(held)
+                    held, size = [], 0
+        if held:
+            yield pieces(held)
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "window binary, n long")
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "ids binary").withColumn("stride", F.lit(stride))
 
 
-def fitted(data: DataFrame, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Weights after ``rounds`` of local training and averaging. Only averaged blocks, of the size of one network, reach the driver."""
+def places_of(piece: np.ndarray, stride: int, turn: int, turns: int) -> np.ndarray:
+    """Rows (neighbours ..., centre) of a piece's places whose turn it is."""
+    places = np.flatnonzero(piece[SIDE:-SIDE] != EDGE)[::stride][turn::turns]
+    return np.concatenate([windows(piece, places), piece[places + SIDE, None]], axis=1)
+
+
+def fitted(data: DataFrame, rounds: int = ROUNDS, turns: int = 1) -> dict[str, np.ndarray]:
+    """Weights after ``rounds`` of local training and averaging. Each round takes the places of one of ``turns`` equal parts, in turn; with as many
+    turns as rounds, every place comes once. Only averaged blocks, of the size of one network, reach the driver."""
     net = initial()
     for step in range(rounds):
         rate = RATE * (1 - step / rounds)
 
         def run(frames: Iterator[pd.DataFrame], net=net, rate=rate, step=step) -> Iterator[pd.DataFrame]:
-            rows = [np.frombuffer(b, dtype="<i2").reshape(-1, 2 * SIDE + 1) for f in frames for b in f["window"]]
-            if rows:
-                data = np.concatenate(rows)
-                mine, key = train(net, data, rate, step), zlib.crc32(data[:4096].tobytes())
-                yield pd.DataFrame({"block": list(SHAPES), "key": key, "n": len(data), "weights": [(mine[k].astype(np.float64) * len(data)).tobytes() for k in SHAPES]})
+            n, key = 0, 0
+
+            def parts() -> Iterator[np.ndarray]:
+                nonlocal n, key
+                for f in frames:
+                    for ids, stride in zip(f["ids"], f["stride"]):
+                        rows = places_of(np.frombuffer(ids, dtype="<i2"), stride, step % turns, turns)
+                        if len(rows):
+                            n, key = n + len(rows), key or zlib.crc32(rows[:4096].tobytes())
+                            yield rows
+
+            mine = train(net, parts(), rate, step)
+            if n:
+                yield pd.DataFrame({"block": list(SHAPES), "key": key, "n": n, "weights": [(mine[k].astype(np.float64) * n).tobytes() for k in SHAPES]})
 
         def add(frame: pd.DataFrame) -> pd.DataFrame:
             total, n = 0.0, 0
@@ -188,7 +263,7 @@ def fitted(data: DataFrame, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
             return pd.DataFrame({"block": [frame["block"].iloc[0]], "key": [int(frame["key"].min())], "n": [n], "weights": [np.asarray(total).tobytes()]})
 
         row = "block string, key long, n long, weights binary"
-        local = data.select("window").mapInPandas(run, row)
+        local = data.select("ids", "stride").mapInPandas(run, row)
         partial = local.groupBy("block", F.pmod("key", F.lit(GROUPS))).applyInPandas(add, row)
         for r in partial.groupBy("block").applyInPandas(add, row).collect():
             mean = np.frombuffer(r["weights"], dtype=np.float64) / r["n"]
@@ -205,9 +280,13 @@ def likelihood(ids: np.ndarray, net: dict[str, np.ndarray]) -> float:
     return total
 
 
-def score(docs: DataFrame, top: list[str], net: dict[str, np.ndarray]) -> DataFrame:
-    """(doc_id, n_words, log_likelihood, mean_log_likelihood) for every row; a document's places are scored together with others'."""
-    out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_likelihood", pa.float64())])
+def score(docs: DataFrame, top: list[str], net: dict[str, np.ndarray], counts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_words, log_likelihood, mean_log_likelihood) for every row; a document's places are scored together with others'.
+
+    With ``counts``, a word that shares its id costs its share in that id's counts as well; without, the shared id alone is scored."""
+    out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_likelihood", pa.float64()), ("rare", pa.list_(pa.string()))])
+    rare, totals = shared(counts, top) if counts is not None else (None, [0.0] * RARE)
+    within, listed = np.concatenate([np.zeros(VOCABULARY - RARE), totals]), rare is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Ids(top)
@@ -219,9 +298,15 @@ def score(docs: DataFrame, top: list[str], net: dict[str, np.ndarray]) -> DataFr
                 owner = np.repeat([i for i, _, _ in held], [len(c) for _, _, c in held])
                 sums[:] += np.bincount(owner, weights=log_likelihood(net, around, centre), minlength=len(sums))
 
+            offsets, others = [0], []
             for i, text in enumerate(batch.column(1)):
-                ids = known.of(text.as_py())
-                counts[i] = n = len(ids) - 2 * SIDE
+                parts = split(text.as_py())
+                ids = known.ids(parts)
+                counts[i] = n = len(parts)
+                if listed:
+                    sums[i] -= within[ids[SIDE : SIDE + n]].sum()
+                    others.extend(parts[k] for k in np.flatnonzero(ids[SIDE : SIDE + n] >= VOCABULARY - RARE))
+                offsets.append(len(others))
                 for at in range(0, n, PLACES):
                     places = np.arange(at, min(n, at + PLACES))
                     held.append((i, windows(ids, places), ids[places + SIDE].astype(np.int64)))
@@ -231,9 +316,17 @@ def score(docs: DataFrame, top: list[str], net: dict[str, np.ndarray]) -> DataFr
                         held, size = [], 0
             if held:
                 flush(held, sums)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(sums)], schema=out)
-
-    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, log_likelihood double")
+            words = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(others, pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(sums), words], schema=out)
+
+    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, log_likelihood double, rare array<string>")
+    if rare is not None:
+        scored = cut(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+        # Exact decimals, so that the order of the sum doesn't show.
+        share = F.ln(F.coalesce("count", F.lit(0)) + F.lit(ADD)).cast("decimal(18,12)")
+        found = scored.select("row", F.explode("rare").alias("word")).join(rare, "word", "left").groupBy("row").agg(F.sum(share).cast("double").alias("share"))
+        scored = scored.drop("rare").join(found, "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("share", F.lit(0.0)))
+    scored = scored.select("doc_id", "n_words", "log_likelihood")
     return scored.withColumn("mean_log_likelihood", F.col("log_likelihood") / F.when(F.col("n_words") > 0, F.col("n_words")))
 
 
@@ -242,8 +335,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no words, a sum of 0 and a null mean; repeated rows score alike; an empty table gives no rows; long texts are
     scored in parts that see across their borders; other columns are not read."""
-    top = frequent(docs)
-    return score(docs, top, fitted(cut(gathered(docs, top), "windows")))
+    counts = cut(counted(docs), "counts")
+    top = most_frequent(counts)
+    return score(docs, top, fitted(cut(gathered(docs, top), "ids"), turns=ROUNDS), counts)
 
 
 @query("op7_lm_scoring")

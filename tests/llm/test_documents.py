@@ -328,5 +328,40 @@ def test_masked_network_learns(spark):
     assert got[0] > -2.2 and got[0] > got[1] + 0.5, got
 
 
+def test_masked_network_trains_on_every_place_once(spark):
+    texts = [" ".join(f"w{i % 50}" for i in range(n)) for n in (1, 3, 47, 200, 70_000)] + ["", None]
+    docs = documents(spark, texts)
+    top = masked_lm.frequent(docs)
+    pieces = [(np.frombuffer(r["ids"], "<i2"), r["stride"]) for r in masked_lm.gathered(docs.coalesce(1), top).collect()]
+    got = Counter(tuple(w) for ids, stride in pieces for turn in range(masked_lm.ROUNDS) for w in masked_lm.places_of(ids, stride, turn, masked_lm.ROUNDS).tolist())
+    want, ids = Counter(), masked_lm.Ids(top)
+    for t in texts:
+        seq = ids.of(t).tolist()
+        want.update((*seq[i - 2 : i], *seq[i + 1 : i + 3], seq[i]) for i in range(2, len(seq) - 2))
+    assert len(pieces) == 2 and got == want and sum(got.values()) == 70_251
+
+
+def test_words_that_share_an_id_keep_their_own_probability(spark):
+    draw = random.Random(4)
+    texts = [" ".join([f"w{draw.randrange(700)}" for _ in range(60)] + [f"r{draw.randrange(900)}" for _ in range(6)]) for _ in range(400)]
+    docs = documents(spark, texts)
+    counts = masked_lm.counted(docs)
+    n, top = Counter(w for t in texts for w in t.split()), masked_lm.most_frequent(counts)
+    assert {r["word"]: r["count"] for r in counts.collect()} == n
+    bucket = lambda w: zlib.crc32(w.encode()) % masked_lm.RARE
+    rare = [w for w in n if w not in top]
+    total, kinds = Counter(), Counter(map(bucket, rare))
+    for w in rare:
+        total[bucket(w)] += n[w]
+    common = max(rare, key=n.get)
+    junk = next(w for w in (f"junk{i}" for i in range(10**6)) if bucket(w) == bucket(common))
+    lines = texts[:5] + [f"{top[0]} {common} {top[1]}", f"{top[0]} {junk} {top[1]}", f"{top[0]} {top[1]}", "", None]
+    net = masked_lm.initial()
+    plain, full = ({r["doc_id"]: r["log_likelihood"] for r in masked_lm.score(documents(spark, lines), top, net, c).collect()} for c in (None, counts))
+    inside = lambda w: 0.0 if w in top else np.log((n[w] + 0.5) / (total[bucket(w)] + 0.5 * (kinds[bucket(w)] + 1)))
+    assert full == pytest.approx({i: plain[i] + sum(map(inside, (t or "").split())) for i, t in enumerate(lines)}, abs=1e-6)
+    assert plain[5] == plain[6] and full[5] > full[6] + 1
+
+
 def test_every_operator_has_a_query():
     assert {n.split("_")[0] for n in load()} == {f"op{i}" for i in range(1, 11)}
