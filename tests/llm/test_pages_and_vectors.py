@@ -28,6 +28,23 @@ def test_deep_and_long_pages():
     assert len(html.main_text("<p>word, </p>" * 50_000)) == 6 * 50_000 - 1
 
 
+ARTICLE = "<h1>The title</h1><p>The first paragraph, which is long enough; it says much.</p><p>The second one, with commas, and more of them.</p>"
+PLAIN = "The title The first paragraph, which is long enough; it says much. The second one, with commas, and more of them."
+
+
+@pytest.mark.parametrize("wrapper", ['<div class="content-sidebar-wrap"><main>{}</main><div class="sidebar"><p>About us, in short.</div></div>', '<div class="has-sidebar"><div>{}</div></div>', '<div id="content-widget">{}</div>', '<div class="post comments-open">{}<ol class="comment-list"><li><article class="comment-body"><p>Nice, thanks.</article></ol></div>', "<form id=aspnet>{}<input></form>", '<div class="related no-sidebar"><article>{}</article></div>'])
+def test_names_and_forms_around_the_article(wrapper):
+    page = '<body><div class="login">Sign in, please.</div>' + wrapper.format(ARTICLE) + '<form>Your mail, please <input></form><div class="footer">All rights, reserved.</div>'
+    assert html.main_text(page) == PLAIN
+
+
+def test_article_in_parts_and_its_header():
+    parts = "".join(f'<div class="elementor-widget-container">{p}</div>' for p in re.findall("<(?:h1|p)>.*?</(?:h1|p)>", ARTICLE))
+    assert html.main_text(f'<body><div class="page">{parts}</div><div class="comments"><p>Nice, thanks.</div>') == PLAIN
+    head, rest = ARTICLE.split("<p>", 1)
+    assert html.main_text(f'<body><div class="page"><div class="article-header">{head}</div><p>{rest}</div><div class="comments"><p>Nice, thanks.</div>') == PLAIN
+
+
 def test_all_pages(spark, folder):
     pages = spark.read.parquet(f"{folder}/pages.parquet")
     bare = lambda h: " ".join(re.sub(r"<[^>]*>", "", re.sub(r"</?(?:p|h1|br)[^>]*>", " ", re.search(r"<article>(.*?)</article>", h, re.S)[1])).split())
