@@ -2,7 +2,7 @@
 
 Every text node belongs to a root-to-leaf tag path. Per path, characters and punctuation marks are counted per node; both ratios
 are smoothed along the page, fused by their product and compared with the spread of all paths of the page. The nodes of the paths above it are the
-content; the smallest container that holds nearly all of it is the article, and its blocks are put out without what the markup
+content; the smallest container that holds nearly all of it is the article. Its blocks and the content outside it are put out without what the markup
 itself names as surroundings (menus, adverts, forms, comments and so on). A class or id, or a form, only marks a candidate: it stays when it
 holds an article or the better part of the content.
 """
@@ -34,6 +34,7 @@ NAMES = set(
     "related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toc toolbar widget".split()
 )
 TITLE = set("banner header masthead".split())  # with a first heading, these are the article's own
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 MAIN = set("article main".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -101,6 +102,12 @@ class Page(HTMLParser):
         found = NAMES.intersection(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", words).lower())) if words != " " and tag not in ("html", "body") else NONE
         return frozenset(found | {"form"} if tag == "form" or (named.get("role") or "").lower() == "form" else found)
 
+    def kind(self, element: int) -> str:
+        """Tag of the element, or of what holds it when it is inline."""
+        while self.elements[element][1] in INLINE:
+            element = self.elements[element][0]
+        return self.elements[element][1]
+
     def within(self, tags: set[str]) -> bool:
         return any(self.elements[e][1] in tags for e in self.stack[-32:])
 
@@ -197,7 +204,8 @@ def surroundings(page: Page, blocks: list[tuple], content: np.ndarray) -> list[b
 
 
 def inside(page: Page, blocks: list[tuple], content: np.ndarray) -> list[tuple]:
-    """The blocks below the smallest container with nearly all of the content; an article or main element ends the search."""
+    """The blocks below the smallest container with nearly all of the content (an article or main element ends the search), the rest of the
+    content wherever it lies, and the headings and list items that stand between or lead to these."""
     held: Counter[int] = Counter()
     for (element, _, text), mine in zip(blocks, content):
         held[element] += len(text) * bool(mine)
@@ -209,7 +217,14 @@ def inside(page: Page, blocks: list[tuple], content: np.ndarray) -> list[tuple]:
     below = [False] * len(page.elements)
     for e in range(len(page.elements)):
         below[e] = e == root or (e > 0 and below[page.elements[e][0]])
-    return [b for b in blocks if below[b[0]]]
+    kept = [below[b[0]] or bool(mine) for b, mine in zip(blocks, content)]
+    if not all(kept) and any(kept):
+        first, last = kept.index(True), len(kept) - 1 - kept[::-1].index(True)
+        kinds = [page.kind(b[0]) for b in blocks]
+        while first and kinds[first - 1] in HEADINGS:
+            first -= 1
+        kept = [mine or (first <= i <= last and kinds[i] in HEADINGS | {"li"}) for i, mine in enumerate(kept)]
+    return [b for b, mine in zip(blocks, kept) if mine]
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -45,6 +45,17 @@ def test_article_in_parts_and_its_header():
     assert html.main_text(f'<body><div class="page"><div class="article-header">{head}</div><p>{rest}</div><div class="comments"><p>Nice, thanks.</div>') == PLAIN
 
 
+LONG = "".join(f"<p>Paragraph {i} of the text, which is long enough; it says much, and goes on.</p>" for i in range(12))
+
+
+def test_content_outside_the_container_is_kept():
+    body = html.main_text(f"<div>{LONG}</div>")
+    assert html.main_text(f"<body><div id=content><div class=intro><p>The lead, short.</p></div><div class=body>{LONG}</div></div>") == f"The lead, short. {body}"
+    assert html.main_text(f"<body><h1>Title</h1><div class=body>{LONG}</div>") == f"Title {body}"
+    end = "<h2>End</h2><ul><li>One</ul><div><p>The closing section, also text; it ends here.</p></div>"
+    assert html.main_text(f"<body><div class=body>{LONG}</div>{end}") == f"{body} End One The closing section, also text; it ends here."
+
+
 def test_all_pages(spark, folder):
     pages = spark.read.parquet(f"{folder}/pages.parquet")
     bare = lambda h: " ".join(re.sub(r"<[^>]*>", "", re.sub(r"</?(?:p|h1|br)[^>]*>", " ", re.search(r"<article>(.*?)</article>", h, re.S)[1])).split())
