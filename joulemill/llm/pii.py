@@ -21,19 +21,27 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: In order: the first that matches at a place wins. None has a capturing group.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "token": r"(?i:token|secret|password|passwd|api_?key) ?[=:] ?\x22[0-9a-f]{16,}\x22",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "token": r"(?i:token|secret|password|passwd|api[_-]?key)[\x22\x27]?\s{0,3}[=:]\s{0,3}(?:\x22[^\x22\s]{6,}\x22|\x27[^\x27\s]{6,}\x27|(?=[A-Za-z_+/=-]*\d)[A-Za-z0-9_+/=-]{8,}+(?!@))",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "date": r"(?<![\d.-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/])\d{2}/\d{2}/\d{4}(?![\d/])|(?<![\d.])\d{2}\.\d{2}\.\d{4}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
-    "card": r"(?<!\d)(?:\d{13,19}|\d{4}(?: \d{4}){2} \d{4}|\d{4}(?:-\d{4}){2}-\d{4})(?!\d)",
+    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
+    r"|\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]\d)?(?:[ .-]?\d{2,8}){1,5}(?!\d)|\(0?\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
+    r"|(?<![\p{L}\p{N}.+-])(?:1[ .-])?[2-9]\d{2}[ .-]\d{3}[ .-]\d{4}(?![\p{L}\p{N}]|[.-]\d)|(?<![\p{L}\p{N}.+-])0\d{1,4}(?:[ ./-]\d{2,8}){1,4}(?![\p{L}\p{N}]|[.-]\d)",
+    "card": r"(?<!\d)(?:\d{13,19}|\d{4}(?: \d{4}){2} \d{4}|\d{4}(?:-\d{4}){2}-\d{4}|\d{4} \d{6} \d{4,5}|\d{4}-\d{6}-\d{4,5})(?!\d)",
     "ip": rf"(?<![\d.]){OCTET}\.{OCTET}\.{OCTET}\.{OCTET}(?!\d|\.\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 DAY_0, DAYS_X, DAYS_Y = "1901-01-01", 147, 487  # 147 * 487 days: to 2096-12-31, seven times 28 years
+LATE, LATE_DAYS = r"^(?:1[3-9]|[23]\d)/", 147 * 295
 FORMATS = {r"^\d{4}-": "yyyy-MM-dd", r"^\d{2}/": "MM/dd/yyyy", r"^\d{2}\.": "dd.MM.yyyy"}
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def digest(key: str, kind: str, i: Column, half: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), half.cast("string")).cast("binary"), 256)
 
@@ -88,9 +96,10 @@ def only(digits: Column) -> Column:
 
 
 def laid_out(like: Column, digits: Column) -> Column:
-    """``digits`` with the separators of ``like``: either none or one after every four."""
+    """``digits`` with the separators of ``like``: none, after four and six more, or after every four."""
     gap = F.substring(F.regexp_replace(like, r"\d", ""), 1, 1)
-    return F.when(gap == "", digits).otherwise(F.btrim(F.regexp_replace(digits, r"(\d{4})", F.concat(F.lit("$1"), gap)), gap))
+    long = F.concat(F.substring(digits, 1, 4), gap, F.substring(digits, 5, 6), gap, F.substring(digits, F.lit(11), F.length(digits)))
+    return F.when(gap == "", digits).when(like.rlike(r"^\d{4}\D\d{6}\D"), long).otherwise(F.btrim(F.regexp_replace(digits, r"(\d{4})", F.concat(F.lit("$1"), gap)), gap))
 
 
 def card(m: Column, key: str) -> Column:
@@ -107,10 +116,22 @@ def mod97(text: Column) -> Column:
 
 
 def iban(m: Column, key: str) -> Column:
-    country, own = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.length(m))
-    moved = permuted(own, key, "iban", (DIGITS, UPPER))
-    check = F.lpad((F.lit(98) - mod97(F.concat(moved, country, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(mod97(F.concat(own, F.substring(m, 1, 4))) == 1, F.concat(country, check, moved))
+    def valid(text: Column) -> Column:
+        return let(F.replace(text, F.lit(" "), F.lit("")), lambda t: mod97(F.concat(F.substring(t, F.lit(5), F.length(t)), F.substring(t, 1, 4))) == 1)
+
+    def renewed(plain: Column) -> Column:
+        country = F.substring(plain, 1, 2)
+        new = permuted(F.substring(plain, F.lit(5), F.length(plain)), key, "iban", (DIGITS, UPPER))
+        return let(new, lambda t: F.concat(country, F.lpad((F.lit(98) - mod97(F.concat(t, country, F.lit("00")))).cast("string"), 2, "0"), t))
+
+    last = r" [A-Z0-9]{1,4}$"  # may be a word after a number whose groups are all full
+    head = F.regexp_replace(m, last, "")
+    found = F.when(valid(m), m).when(m.rlike(last) & valid(head), head)
+
+    def laid(text: Column) -> Column:
+        return let(let(F.replace(text, F.lit(" "), F.lit("")), renewed), lambda t: F.when(text.contains(" "), F.btrim(F.regexp_replace(t, "(.{4})", "$1 "))).otherwise(t))
+
+    return let(found, lambda t: F.when(t.isNotNull(), F.concat(laid(t), F.substring(m, F.length(t) + 1, F.length(m)))))
 
 
 def ip(m: Column, key: str) -> Column:
@@ -121,24 +142,45 @@ def ip(m: Column, key: str) -> Column:
 
 
 def date(m: Column, key: str) -> Column:
-    out = F.lit(None).cast("string")
+    out = late_day(m, key)
     for pattern, form in FORMATS.items():
         day = F.datediff(F.try_to_timestamp(m, F.lit(form)).cast("date"), F.lit(DAY_0).cast("date")).cast("long")
         # The halves swap with every round, so the size that the renewed half keeps to swaps, too.
         step = lambda i, own, other: F.pmod(own + number(digest(key, "date", i, other), F.lit(1), 8), F.when(i % 2 == 0, DAYS_X).otherwise(DAYS_Y).cast("long"))
         done = feistel(F.floor(day / DAYS_Y), F.pmod(day, F.lit(DAYS_Y)), step)
         moved = F.date_add(F.lit(DAY_0).cast("date"), (done["x"] * DAYS_Y + done["y"]).cast("int"))
-        out = F.when(m.rlike(pattern), F.when(day.between(0, DAYS_X * DAYS_Y - 1), F.date_format(moved, form))).otherwise(out)
+        out = F.when(m.rlike(pattern) & ~m.rlike(LATE), F.when(day.between(0, DAYS_X * DAYS_Y - 1), F.date_format(moved, form))).otherwise(out)
     return out
 
 
+def late_day(m: Column, key: str) -> Column:
+    """dd/MM/yyyy with a day from 13 on permutes among such days, so that no pseudonym can be read as MM/dd/yyyy.
+
+    Without the first twelve days of its months the span has 147 x 295 days; the month of the n-th of them is one of those around n / 18.44."""
+    start, rest = F.lit(DAY_0).cast("date"), LATE_DAYS // DAYS_X
+    month = lambda d: (F.year(d) - 1901) * 12 + F.month(d)
+    step = lambda i, own, other: F.pmod(own + number(digest(key, "late", i, other), F.lit(1), 8), F.when(i % 2 == 0, DAYS_X).otherwise(rest).cast("long"))
+
+    def of(n: Column) -> Column:
+        """The n-th of the days."""
+        near = F.transform(F.sequence(F.lit(-2), F.lit(4)), lambda j: let(F.floor(n / 18.4375).cast("int") + j, lambda k: F.struct(k.alias("k"), F.date_add(start, n + 12 * k).alias("d"))))
+        return F.get(F.filter(near, lambda c: (month(c["d"]) == c["k"]) & (F.dayofmonth(c["d"]) > 12)), F.lit(0))["d"]
+
+    def moved(n: Column) -> Column:
+        done = let(feistel(F.floor(n / rest), F.pmod(n, F.lit(rest)), step), lambda h: (h["x"] * rest + h["y"]).cast("int"))
+        return F.when(n.between(0, LATE_DAYS - 1), F.date_format(let(done, of), "dd/MM/yyyy"))
+
+    given = F.try_to_timestamp(m, F.lit("dd/MM/yyyy")).cast("date")
+    return F.when(m.rlike(LATE), let(let(given, lambda d: (F.datediff(d, start) - 12 * month(d)).cast("long")), moved))
+
+
 def ssn(m: Column, key: str) -> Column:
     return F.when(~m.rlike(r"^(?:000|666|9)|-00-|-0000$"), permuted(m, key, "ssn", (DIGITS,)))
 
 
 def phone(m: Column, key: str) -> Column:
     lead = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])|^\+\d|^", 0)
-    return F.when(F.length(only(m)).between(8, 15), F.concat(lead, permuted(F.substring(m, F.length(lead) + 1, F.length(m)), key, "phone", (DIGITS,))))
+    return F.when(F.length(only(m)).between(F.when(m.startswith("0"), 9).otherwise(8), 15), F.concat(lead, permuted(F.substring(m, F.length(lead) + 1, F.length(m)), key, "phone", (DIGITS,))))
 
 
 def email(m: Column, key: str) -> Column:
@@ -147,8 +189,10 @@ def email(m: Column, key: str) -> Column:
 
 
 def token(m: Column, key: str) -> Column:
-    lead = F.regexp_extract(m, r"^[^\x22]*\x22", 0)
-    return F.concat(lead, permuted(F.substring(m, F.length(lead) + 1, F.length(m) - F.length(lead) - 1), key, "token", (HEX,)), F.lit('"'))
+    lead, tail = F.regexp_extract(m, r"^[A-Za-z_-]+[\x22\x27]?\s{0,3}[=:]\s{0,3}[\x22\x27]?", 0), F.regexp_extract(m, r"[\x22\x27]$", 0)
+    value = F.substring(m, F.length(lead) + 1, F.length(m) - F.length(lead) - F.length(tail))
+    new = let(value, lambda v: F.when(v.rlike("^[0-9a-f]{16,}$"), permuted(v, key, "token", (HEX,))).otherwise(permuted(v, key, "secret", TEXT)))
+    return F.concat(lead, new, tail)
 
 
 KINDS = {"email": email, "token": token, "iban": iban, "date": date, "ssn": ssn, "phone": phone, "card": card, "ip": ip}
@@ -169,7 +213,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     check stay as they are; repeated rows get equal results. Other columns pass through, a column named ``n_private`` is replaced, and
     names that begin with ``_`` are reserved."""
     rest = [c for c in docs.columns if c != "n_private"]
-    text = F.when(F.col("text").rlike("[0-9@]"), F.col("text"))
+    text = F.when(F.col("text").rlike("[0-9@]|(?i:token|secret|passw|api[_-]?key)"), F.col("text"))
     df = bind(docs.select(rest), _found=F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     df = bind(df, _new=F.transform("_found", lambda m: pseudonym(m, key)))
     parts = F.transform(F.split("text", ANY), lambda part, i: F.concat(part, F.coalesce(F.get("_new", i), F.get("_found", i), F.lit(""))))

@@ -167,6 +167,38 @@ def test_pseudonyms(spark, odd):
     assert dict(pii.pseudonymise(odd, "key").dtypes)["n_private"] == "bigint"
 
 
+LAYOUTS = {
+    "phone": ["555-123-4567", "212.555.0123", "1-800-555-0199", "+44 20 7946 0958", "+44 (0)20 7946 0958", "+33 1 23 45 67 89", "+49 30 123456", "020 7946 0958", "01 23 45 67 89", "030/1234567"],
+    "secret": ['password = "hunter2pass"', "api_key='9233AbCdEf0123xyz'", "token: 9233ab0123456789", '"apiKey": "Zx81_kQ99-aa"', "secret='correcthorse'"],
+    "iban": ["DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "AT61 1904 3002 3457 3201"],
+    "card": ["3782 822463 10005", "3782-822463-10005", "378282246310005"],
+    "date": ["31/12/1980", "13/01/1999"],
+}
+
+
+@pytest.mark.parametrize("kind", LAYOUTS)
+def test_layouts_of_private_values(spark, kind):
+    values = LAYOUTS[kind]
+    got = [r for r in pii.pseudonymise(documents(spark, [f"it is {v} USD" for v in values]), "key").orderBy("doc_id").collect()]
+    form = lambda t: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub(r"\d", "0", t)))
+    for v, r in zip(values, got):
+        new = r["text"].removeprefix("it is ").removesuffix(" USD")
+        assert r["n_private"] == 1 and new != v and (len(new), re.sub(r"\w", "", new)) == (len(v), re.sub(r"\w", "", v)), (v, new)
+        if kind in ("phone", "card", "date"):
+            assert form(new) == form(v)
+        if kind == "iban":
+            assert int("".join(str(int(x, 36)) for x in (lambda t: t[4:] + t[:4])(new.replace(" ", "")))) % 97 == 1
+    prose = ["the token: required, the password = something", "on 01-02-2020 at 10:30", "3782 822463 10006", "DE89 3704 0044 0532 0130 01", "99/99/1980"]
+    kept = pii.pseudonymise(documents(spark, prose), "key").orderBy("doc_id").collect()
+    assert [(r["text"], r["n_private"]) for r in kept] == [(p, 0) for p in prose]
+
+
+def test_late_days_are_permuted_among_themselves(spark):
+    days = spark.sql("SELECT date_format(d, 'dd/MM/yyyy') AS text FROM (SELECT explode(sequence(date'1901-01-01', date'1904-12-31')) AS d) WHERE day(d) > 12")
+    got = [r["text"] for r in pii.pseudonymise(days, "key").filter("n_private = 1").collect()]
+    assert len(got) == len(set(got)) == days.count() and all(int(t[:2]) > 12 and 1 <= int(t[3:5]) <= 12 and 1901 <= int(t[6:]) <= 2096 for t in got)
+
+
 def test_feistel_is_a_permutation(spark):
     """All addresses of a small block, all days of two years and all short numbers map to different values of the same form."""
     days = spark.sql("SELECT date_format(d, 'yyyy-MM-dd') AS text FROM (SELECT explode(sequence(date'1979-01-01', date'1980-12-31')) AS d)")
