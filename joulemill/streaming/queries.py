@@ -182,17 +182,19 @@ def student_p(t_value, df):
 WITH g AS (SELECT user_id % 2 AS arm, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY 1)
 SELECT a.n + b.n AS n, round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 6) AS t, round(pow(a.v / a.n + b.v / b.n, 2) / (pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1)), 3) AS df, true AS p_valid FROM g a JOIN g b ON a.arm = 0 AND b.arm = 1""")
 def significance(t):
-    """Welch test of two arms on a stream. Batches add (n, sum, sum of squares); batches of the peace period
-    are skipped and the test looks at a window of batches; it stops once p falls under the threshold."""
-    return welch(table_stream(t, "events"), peace=0, window=10)
+    """Welch test of two arms on a stream. Batches add (n, sum, sum of squares); batches of a peace period
+    can be skipped and the test held to a window of the last batches; the query takes all batches."""
+    return welch(table_stream(t, "events"), peace=0)
 
 
-def welch(stream, peace, window):
+def welch(stream, peace, window=None):
     x = F.col("value") - 50.0  # shifted so that squares stay small
     moments = lambda b: b.groupBy((F.col("user_id") % 2).alias("arm")).agg(F.count("*").alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
     rows = drain_batches(stream, "append", moments)
-    last = rows.agg(F.max("batch").alias("_last"))
-    used = rows.crossJoin(F.broadcast(last)).filter((F.col("batch") >= peace) & (F.col("batch") > F.col("_last") - window))
+    used = rows.filter(F.col("batch") >= peace)
+    if window is not None:
+        last = rows.agg(F.max("batch").alias("_last"))
+        used = used.crossJoin(F.broadcast(last)).filter(F.col("batch") > F.col("_last") - window)
     arms = used.groupBy("arm").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     arms = arms.select("arm", "n", (F.col("s") / F.col("n")).alias("m"), ((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)).alias("v"))
     a, b = arms.filter("arm = 0").toDF("x0", "na", "ma", "va"), arms.filter("arm = 1").toDF("x1", "nb", "mb", "vb")

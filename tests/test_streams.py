@@ -69,3 +69,12 @@ def test_student_p_and_welch(spark):
     s = arrivals(spark, [[(0, 900.0), (1, -900.0)], [(0, 1.0), (0, 2.0), (0, 3.0), (1, 4.0), (1, 6.0), (1, 8.0)]], "user_id long, value double")
     r = welch(s, peace=1, window=5).first()  # the first batch falls into the peace period
     assert (r["n"], r["t"], r["df"]) == (6, pytest.approx(-3.098387, abs=1e-5), pytest.approx(2.941, abs=1e-3))
+
+
+def test_significance_takes_every_batch(spark, monkeypatch):
+    from joulemill.streaming import queries
+
+    rows = spark.createDataFrame([(b, arm, 10, 5.0 * arm + b, 40.0) for b in range(15) for arm in (0, 1)], "batch long, arm long, n long, s double, q double")
+    monkeypatch.setattr(queries, "table_stream", lambda t, name: None)
+    monkeypatch.setattr(queries, "drain_batches", lambda *_: rows)
+    assert queries.significance(None).first()["n"] == 300 and queries.welch(None, 0, 10).first()["n"] == 200
