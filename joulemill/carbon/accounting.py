@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from joulemill.operators.exact import exact_avg, exact_sum
 from joulemill.operators.ordered import positions
 from joulemill.storage import checked_broadcast, cut
 
@@ -27,7 +28,7 @@ def hourly_trace(events: DataFrame) -> Trace:
     """Hourly mean of ``events.value``: one partial aggregation over the scan, then a table of at most
     one row per hour that is written once and reused."""
     hours = events.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(
-        F.avg("value").alias("ci"), F.min(F.unix_micros("ts")).alias("first_us")
+        exact_avg("value").alias("ci"), F.min(F.unix_micros("ts")).alias("first_us")
     )
     hours = cut(hours, "trace")
     size, origin = hours.agg(F.count("*"), F.min("first_us")).first()
@@ -59,7 +60,7 @@ def job_runs(priced: DataFrame) -> DataFrame:
     return priced.groupBy("model", "tag", "job_id").agg(
         F.min("ts").alias("start_time"),
         F.when(F.count("*") > 1, F.max("ts")).alias("end_time"),
-        (F.sum("ci") / 60).alias("carbon_footprint"),
+        (exact_sum("ci") / 60).alias("carbon_footprint"),
         F.count("*").alias("samples"),
     )
 

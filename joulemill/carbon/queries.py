@@ -7,9 +7,10 @@ import math
 from pyspark.sql import functions as F
 
 from joulemill.carbon import accounting as acc, logs, provisioning as prov, report
+from joulemill.operators.exact import rounded
 from joulemill.operators.ordered import framed, percentiles, running
 from joulemill.registry import query
-from joulemill.storage import cut, scratch
+from joulemill.storage import cut, gathered, scratch
 
 BASE = """
 WITH hours AS (SELECT date_trunc('hour', ts) AS hour, avg(value) AS ci FROM events GROUP BY 1),
@@ -41,7 +42,7 @@ def read_run_logs(t):
     for_disk = runs.select(
         "job_id", "start_time", "end_time", "carbon_footprint", F.lit("[]").alias("executors"), "model", "tag"
     )
-    for_disk.write.partitionBy("model", "tag").option("header", True).option(
+    gathered(for_disk, "model", "tag").write.partitionBy("model", "tag").option("header", True).option(
         "timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(root)
     read = t.spark.read.schema(logs.RUN_LOG).option("header", True).csv(f"{root}/*/*/*.csv")
     path = F.col("_metadata.file_path")
@@ -73,15 +74,15 @@ def job_duration(t):
     return runs.select("model", "tag", "job_id", F.round("duration_s", 6).alias("duration_s"))
 
 
-@query("co_05_run_total_carbon", "CO-05", BASE + "SELECT model, tag, round(total_carbon, 4) AS total_carbon FROM totals")
+@query("co_05_run_total_carbon", "CO-05", BASE + "SELECT model, tag, round(total_carbon::DECIMAL(38,9), 4)::DOUBLE AS total_carbon FROM totals")
 def run_total_carbon(t):
-    return report.run_totals(acc.runs_of(t.events)).withColumn("total_carbon", F.round("total_carbon", 4))
+    return report.run_totals(acc.runs_of(t.events)).withColumn("total_carbon", rounded("total_carbon", 4))
 
 
-@query("co_06_mean_total_carbon", "CO-06", BASE + "SELECT model, round(avg(total_carbon), 4) AS total_carbon FROM totals GROUP BY 1")
+@query("co_06_mean_total_carbon", "CO-06", BASE + "SELECT model, round(avg(total_carbon)::DECIMAL(38,9), 4)::DOUBLE AS total_carbon FROM totals GROUP BY 1")
 def mean_total_carbon(t):
     out = report.per_model(report.run_totals(acc.runs_of(t.events)), "total_carbon")
-    return out.withColumn("total_carbon", F.round("total_carbon", 4))
+    return out.withColumn("total_carbon", rounded("total_carbon", 4))
 
 
 @query("co_07_end_to_end", "CO-07", BASE + """
@@ -91,10 +92,10 @@ def end_to_end(t):
     return out.select("model", "tag", F.round("end_to_end_s", 4).alias("end_to_end_s"), F.round("makespan_s", 4).alias("makespan_s"))
 
 
-@query("co_08_mean_end_to_end", "CO-08", BASE + "SELECT model, round(avg(end_to_end_s), 3) AS end_to_end_s FROM spans GROUP BY 1")
+@query("co_08_mean_end_to_end", "CO-08", BASE + "SELECT model, round(avg(end_to_end_s)::DECIMAL(38,9), 3)::DOUBLE AS end_to_end_s FROM spans GROUP BY 1")
 def mean_end_to_end(t):
     out = report.per_model(report.end_to_end(acc.runs_of(t.events)), "end_to_end_s")
-    return out.withColumn("end_to_end_s", F.round("end_to_end_s", 3))
+    return out.withColumn("end_to_end_s", rounded("end_to_end_s", 3))
 
 
 @query("co_09_normalized_carbon", "CO-09", BASE + """
@@ -126,10 +127,10 @@ def against_baseline(t):
 @query("co_11_job_means", "CO-11", BASE + """
 , r AS (SELECT model, tag, avg(carbon_footprint) AS c, avg((epoch_us(end_time) - epoch_us(start_time)) / 1e6) AS s
   FROM done GROUP BY ALL)
-SELECT model, round(avg(c), 5) AS job_carbon, round(avg(s), 3) AS job_seconds FROM r GROUP BY 1""")
+SELECT model, round(avg(c)::DECIMAL(38,9), 5)::DOUBLE AS job_carbon, round(avg(s)::DECIMAL(38,9), 3)::DOUBLE AS job_seconds FROM r GROUP BY 1""")
 def job_means(t):
     out = report.job_means(acc.runs_of(t.events))
-    return out.select("model", F.round("job_carbon", 5).alias("job_carbon"), F.round("job_seconds", 3).alias("job_seconds"))
+    return out.select("model", rounded("job_carbon", 5).alias("job_carbon"), rounded("job_seconds", 3).alias("job_seconds"))
 
 
 @query("co_12_write_cleaned", "CO-12", BASE + """
@@ -140,7 +141,7 @@ def write_cleaned(t):
         "model", "tag", "job_id", "start_time", "carbon_footprint", "duration_s"
     )
     path = scratch(t.spark, "cleaned")
-    clean.write.partitionBy("model", "tag").option("header", True).csv(path)
+    gathered(clean, "model", "tag").write.partitionBy("model", "tag").option("header", True).csv(path)
     back = t.spark.read.option("header", True).schema(
         "job_id long, start_time timestamp, carbon_footprint double, duration_s double, model string, tag string"
     ).csv(path)
@@ -149,7 +150,7 @@ def write_cleaned(t):
 
 
 @query("co_13_selected_runs", "CO-13", BASE + """
-SELECT model, round(avg(total_carbon), 4) AS total_carbon, round(avg(end_to_end_s), 3) AS end_to_end_s
+SELECT model, round(avg(total_carbon)::DECIMAL(38,9), 4)::DOUBLE AS total_carbon, round(avg(end_to_end_s)::DECIMAL(38,9), 3)::DOUBLE AS end_to_end_s
 FROM totals JOIN spans USING (model, tag) WHERE tag IN ('2024-01-08', '2024-01-15', '2024-01-22') GROUP BY 1""")
 def selected_runs(t):
     """The older report looks at three of the runs only; models keep their own names."""
@@ -157,8 +158,7 @@ def selected_runs(t):
     runs = acc.runs_of(t.events).filter(F.col("tag").isin(tags))
     carbon = report.per_model(report.run_totals(runs), "total_carbon", tags)
     spans = report.per_model(report.end_to_end(runs), "end_to_end_s", tags)
-    return carbon.join(spans, "model").select("model", F.round("total_carbon", 4).alias("total_carbon"),
-                                              F.round("end_to_end_s", 3).alias("end_to_end_s"))
+    return carbon.join(spans, "model").select("model", rounded("total_carbon", 4).alias("total_carbon"), rounded("end_to_end_s", 3).alias("end_to_end_s"))
 
 
 @query("co_14_intensity_at", "CO-14", BASE + "SELECT event_id, idx, round(ci, 6) AS ci FROM priced")
@@ -247,13 +247,14 @@ BOUNDS = BASE + """
 , drv AS (SELECT date_trunc('hour', ts) AS hour, count(DISTINCT user_id) AS d FROM events GROUP BY 1),
 b AS (SELECT hour, idx, ci, min(ci) OVER w AS lower_bound, max(ci) OVER w AS upper_bound FROM trace
   WINDOW w AS (ORDER BY idx ROWS BETWEEN CURRENT ROW AND 47 FOLLOWING)),
-x AS (SELECT b.*, d, 100 - 20 - d AS k, (lower_bound * 1.1 / upper_bound - 1) / exp(1) AS z FROM b JOIN drv USING (hour)),
+lim AS (SELECT 1 + max(d) // 4 AS least, 3 * max(d) + 10 AS most FROM drv),
+x AS (SELECT b.*, d, least, most, most - least - d AS k, (lower_bound * 1.1 / upper_bound - 1) / exp(1) AS z FROM b JOIN drv USING (hour) CROSS JOIN lim),
 w AS (SELECT *, list_reduce(list_prepend(CASE WHEN z < 0 THEN sqrt(greatest((z * exp(1) + 1) * 2, 0)) - 1 ELSE z / (z + 1) END,
     CAST(range(1, 31) AS DOUBLE[])), lambda w, i: CASE WHEN abs(w * exp(w) - z) < 1e-15 THEN w ELSE
     w - (w * exp(w) - z) / (exp(w) * (w + 1) - (w + 2) * (w * exp(w) - z) / (2 * w + 2)) END) AS lw FROM x),
 al AS (SELECT *, 1 / (1 + lw) AS alpha FROM w),
-dec AS (SELECT *, CASE WHEN k <= 0 OR upper_bound <= 0 THEN 100 ELSE coalesce(20 + list_filter(range(0, CAST(greatest(k, 1) AS BIGINT)),
-    lambda i: upper_bound * (1 - (1 - 1 / alpha) * pow(1 + 1 / (alpha * k), i)) < ci)[1], 100) END AS allowed FROM al)
+dec AS (SELECT *, CASE WHEN k <= 0 OR upper_bound <= 0 THEN most ELSE coalesce(least + list_filter(range(0, CAST(greatest(k, 1) AS BIGINT)),
+    lambda i: upper_bound * (1 - (1 - 1 / alpha) * pow(1 + 1 / (alpha * k), i)) < ci)[1], most) END AS allowed FROM al)
 """
 
 
@@ -267,11 +268,14 @@ def allowed_executors(t):
 
 
 def _decisions(t):
+    """Floor and cap follow the busiest hour, so that thresholds are searched at any size of the input."""
     events = t.events
-    drivers = events.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count_distinct("user_id").alias("drivers"))
+    drivers = cut(events.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count_distinct("user_id").cast("int").alias("drivers")), "drivers")
+    peak = F.max("drivers")
+    limits = drivers.agg((1 + F.floor(peak / 4)).cast("int").alias("least"), (3 * peak + 10).cast("int").alias("most"))  # one row
     bounds = prov.forecast_bounds(acc.hourly_trace(events).rows)
-    return bounds.join(drivers, "hour").withColumn("allowed", prov.allowed_executors(
-        F.col("ci"), F.col("lower_bound"), F.col("upper_bound"), F.lit(20), F.col("drivers").cast("int"), F.lit(100)))
+    return bounds.join(drivers, "hour").crossJoin(F.broadcast(limits)).withColumn("allowed", prov.allowed_executors(
+        F.col("ci"), F.col("lower_bound"), F.col("upper_bound"), F.col("least"), F.col("drivers"), F.col("most")))
 
 
 @query("co_22_resource_limits", "CO-22", """

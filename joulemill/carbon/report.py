@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from joulemill.carbon.logs import finished, seconds
+from joulemill.operators.exact import exact_avg, exact_sum
 from joulemill.operators.ordered import with_totals
 
 # (model, baseline) pairs of the comparison, over event types standing in for models
@@ -13,7 +14,7 @@ TIME_PAIRS = [("click", "view"), ("purchase", "signup")]
 
 
 def run_totals(runs: DataFrame) -> DataFrame:
-    return finished(runs).groupBy("model", "tag").agg(F.sum("carbon_footprint").alias("total_carbon"))
+    return finished(runs).groupBy("model", "tag").agg(exact_sum("carbon_footprint").alias("total_carbon"))
 
 
 def end_to_end(runs: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def per_model(runs_metric: DataFrame, metric: str, tags: list[str] | None = None
     """Mean over runs of a run-level metric (a mean of sums, not a pooled mean)."""
     if tags is not None:
         runs_metric = runs_metric.filter(F.col("tag").isin(tags))
-    return runs_metric.groupBy("model").agg(F.avg(metric).alias(metric))
+    return runs_metric.groupBy("model").agg(exact_avg(metric).alias(metric))
 
 
 def normalized(models: DataFrame, metric: str) -> DataFrame:
@@ -57,7 +58,7 @@ def against_baseline(models: DataFrame, metric: str, pairs: list[tuple[str, str]
 def job_means(runs: DataFrame) -> DataFrame:
     """Mean carbon and completion time per job in each run, then averaged over runs."""
     per_run = finished(runs).groupBy("model", "tag").agg(
-        F.avg("carbon_footprint").alias("job_carbon"),
-        F.avg(seconds(F.col("end_time"), F.col("start_time"))).alias("job_seconds"),
+        exact_avg("carbon_footprint").alias("job_carbon"),
+        exact_avg(seconds(F.col("end_time"), F.col("start_time"))).alias("job_seconds"),
     )
-    return per_run.groupBy("model").agg(F.avg("job_carbon").alias("job_carbon"), F.avg("job_seconds").alias("job_seconds"))
+    return per_run.groupBy("model").agg(exact_avg("job_carbon").alias("job_carbon"), exact_avg("job_seconds").alias("job_seconds"))

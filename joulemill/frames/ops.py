@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from joulemill.operators.exact import exact_avg
 from joulemill.operators.ordered import GROUP_ROWS, framed, positions, ranks, running, with_totals
 
 
@@ -55,7 +56,7 @@ def expanding(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value
               min_periods: int = 1, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Statistics over all rows so far, from running power sums centred on the group mean."""
     c = F.col(value)
-    base = with_totals(df, keys, [F.avg(c).alias("_mid")])
+    base = with_totals(df, keys, [exact_avg(c).alias("_mid")])
     d = c - F.col("_mid")
     out = running(base, keys, order, {
         "_n": ("count", c), "_s": ("sum", c), "_lo": ("min", c), "_hi": ("max", c),

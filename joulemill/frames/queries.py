@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Window, functions as F
+from pyspark.sql import Column, Window, functions as F
 
 from joulemill.frames import ops
 from joulemill.operators.ordered import framed, one_per_key, percentiles, positions, ranks, top_per_key
@@ -74,14 +74,18 @@ def combine(t):
     return d.unionByName(t.benchmark.select((F.col("item_id") + 1000000).alias("doc_id"), F.lit(0).alias("combined"), F.lit(-1).alias("updated"), F.lit("benchmark").alias("origin")))
 
 
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+DUMMIES = [f"is_{s.lower()}" for s in SEGMENTS]
+
+
 @query("ps_05_concat_dummies", "PS-05", """
-SELECT 'c' AS side, c_custkey AS id, (c_mktsegment = 'BUILDING')::INT AS is_building, (c_mktsegment = 'MACHINERY')::INT AS is_machinery, 'c_acctbal' AS variable, c_acctbal AS amount FROM customer
-UNION ALL SELECT 's', s_suppkey, 0, 0, 's_acctbal', s_acctbal FROM supplier""")
+SELECT 'c' AS side, c_custkey AS id, """ + ", ".join(f"(c_mktsegment = '{s}')::INT AS is_{s.lower()}" for s in SEGMENTS) + """, 'c_acctbal' AS variable, c_acctbal AS amount FROM customer
+UNION ALL SELECT 's', s_suppkey, 0, 0, 0, 0, 0, 's_acctbal', s_acctbal FROM supplier""")
 def concat_dummies(t):
-    c = t.customer.select(F.lit("c").alias("side"), F.col("c_custkey").alias("id"), *[(F.col("c_mktsegment") == s).cast("int").alias(f"is_{s.lower()}") for s in ("BUILDING", "MACHINERY")], "c_acctbal")
-    c = c.melt(["side", "id", "is_building", "is_machinery"], ["c_acctbal"], "variable", "amount")
+    c = t.customer.select(F.lit("c").alias("side"), F.col("c_custkey").alias("id"), *[(F.col("c_mktsegment") == s).cast("int").alias(f"is_{s.lower()}") for s in SEGMENTS], "c_acctbal")
+    c = c.melt(["side", "id", *DUMMIES], ["c_acctbal"], "variable", "amount")
     s = t.supplier.select(F.lit("s").alias("side"), F.col("s_suppkey").alias("id"), "s_acctbal").melt(["side", "id"], ["s_acctbal"], "variable", "amount")
-    return c.unionByName(s, allowMissingColumns=True).fillna(0, ["is_building", "is_machinery"])
+    return c.unionByName(s, allowMissingColumns=True).fillna(0, DUMMIES)
 
 
 @query("ps_06_pivot_table", "PS-06", """
@@ -99,7 +103,7 @@ WITH w AS (SELECT unnest(string_split(p_name, ' ')) AS word FROM part), c AS (SE
 SELECT k AS word, coalesce(n, 0) AS n FROM (VALUES ('red'), ('ring'), ('absent'), ('widget')) v(k) LEFT JOIN c ON word = k""")
 def explode_reindex(t):
     counts = t.part.select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    index = t.region.limit(1).select(F.explode(F.array(*[F.lit(w) for w in ("red", "ring", "absent", "widget")])).alias("word"))
+    index = t.spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in ("red", "ring", "absent", "widget")])).alias("word"))
     return index.join(counts, "word", "left").fillna(0, ["n"])
 
 
@@ -353,19 +357,40 @@ def string_accessor(t):
         F.element_at(F.split(b, "#"), -1).alias("rpart"), F.concat(F.substring(n, 1, 2), F.lit("Z"), F.substr(n, F.lit(5))).alias("sliced"), F.translate(n, "aeiou", "AEIOU").alias("translated"), F.upper(swap).alias("swapped"))
 
 
-@query("ps_24_string_wrap", "PS-24", """
-SELECT doc_id, length(text) AS n, true AS same_words FROM documents""")
+def wrapped(text: Column, width: int, break_long: bool = True) -> Column:
+    """Lines of at most ``width`` characters (array), filled word by word; null stays null, a blank text has no lines.
+
+    Words are runs without ASCII white space; they are not cut at hyphens. A word longer than a line fills what is left of the line and goes on on the
+    next ones, or with ``break_long`` off stands on a line of its own. One fold over the words, which keeps the lines so far and the open one."""
+    words = F.filter(F.split(text, r"[\t-\r ]+"), lambda w: w != "")
+    none = F.array().cast("array<string>")
+
+    def step(s: Column, w: Column) -> Column:
+        line, lines = s["line"], s["lines"]
+        flushed = F.when(line == "", lines).otherwise(F.concat(lines, F.array(line)))
+        start = F.when(line == "", line).otherwise(F.concat(line, F.lit(" ")))
+        state = lambda lines, line: F.struct(lines.alias("lines"), line.alias("line"))
+        fits = F.length(start) + F.length(w) <= width
+        placed = F.when(fits, state(lines, F.concat(start, w))).otherwise(state(flushed, w))
+        if not break_long:
+            return placed
+        room = F.greatest(width - F.length(start), F.lit(0))
+        head = F.when(room > 0, F.concat(start, F.substring(w, F.lit(1), room))).otherwise(line)
+        rest = F.when(room > 0, F.substr(w, room + 1)).otherwise(w)
+        count = F.ceil(F.length(rest) / width).cast("int")
+        pieces = F.transform(F.sequence(F.lit(1), count), lambda i: F.substr(rest, (i - 1) * width + 1, F.lit(width)))
+        long = state(F.concat(lines, F.array(head), F.slice(pieces, F.lit(1), count - 1)), F.element_at(pieces, -1))
+        return F.when((F.length(w) > width) & ~fits, long).otherwise(placed)
+
+    start = F.struct(none.alias("lines"), F.lit("").alias("line"))
+    return F.aggregate(words, start, step, lambda s: F.when(s["line"] == "", s["lines"]).otherwise(F.concat(s["lines"], F.array(s["line"]))))
+
+
+@query("ps_24_string_wrap", "PS-24", r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x09-\x0D ]+'), lambda w: w <> '') AS w FROM documents)
+SELECT doc_id, CASE WHEN len(w) = 0 THEN '' ELSE list_reduce(w, lambda a, x: a || CASE WHEN length(regexp_extract(a, '[^\n]*$')) + 1 + length(x) <= 60 THEN ' ' ELSE chr(10) END || x) END AS wrapped FROM w""")
 def string_wrap(t):
-    """Wrapping and normalisation have no built-in form: an Arrow batch function over whole texts."""
-    @F.pandas_udf("boolean")
-    def wrapped(s: pd.Series) -> pd.Series:
-        import textwrap
-
-        flat = s.str.normalize("NFC").str.replace(r"\s+", " ", regex=True).str.strip()
-        lines = flat.map(lambda x: textwrap.wrap(x, 60, break_long_words=False, break_on_hyphens=False))
-        return lines.map(" ".join) == flat
-
-    return t.documents.select("doc_id", F.length("text").alias("n"), wrapped("text").alias("same_words"))
+    return t.documents.select("doc_id", F.array_join(wrapped(F.col("text"), 60, break_long=False), "\n").alias("wrapped"))
 
 
 @query("ps_25_datetime_accessor", "PS-25", """

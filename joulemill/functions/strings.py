@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
+import pandas as pd
+import xxhash
 from pyspark.sql import functions as F
 
 from joulemill.registry import query
+from joulemill.storage import cut
 
 
 def agree(*conditions):
@@ -15,16 +19,27 @@ def agree(*conditions):
 
 @query("hash_1_digests", "HASH-1", "SELECT doc_id, md5(text) AS md5, sha256(text) AS sha2, sha1(text) AS sha1, true AS stable FROM documents")
 def digests(t):
+    """``stable``: the 64-bit hash and the checksum equal those of independent implementations over the same bytes."""
     x = F.col("text")
-    stable = agree(F.sha(x) == F.sha1(x), F.hash(x) == F.hash(F.concat(x, F.lit(""))), F.xxhash64(x) == F.xxhash64(F.concat(x, F.lit(""))), F.crc32(x) >= 0)
+
+    @F.pandas_udf("long")
+    def seeded(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: xxhash.xxh64_intdigest(v.encode(), 42)).astype("uint64").astype("int64")
+
+    @F.pandas_udf("long")
+    def checksum(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: zlib.crc32(v.encode())).astype("int64")
+
+    stable = agree(F.sha(x) == F.sha1(x), F.xxhash64(x) == seeded(x), F.crc32(x) == checksum(x))
     return t.documents.select("doc_id", F.md5(x).alias("md5"), F.sha2(x, 256).alias("sha2"), F.sha1(x).alias("sha1"), stable.alias("stable"))
 
 
 @query("hash_2_encryption", "HASH-2", "SELECT conv_id, turn, length(text) AS n, true AS hidden, true AS restored, true AS wrong_key FROM conversations")
 def encryption(t):
-    """Text is protected with a key and restored; a wrong key gives null from the tolerant form."""
+    """Text is protected with a key and restored; a wrong key gives null from the tolerant form. Every row gets a random nonce of its own, so equal texts
+    don't show; the cipher text is written before it is read twice."""
     key, other, x = F.lit("0123456789abcdef"), F.lit("fedcba9876543210"), F.col("text")
-    enc = t.conversations.withColumn("e", F.aes_encrypt(x, key, F.lit("GCM"), F.lit("DEFAULT"), F.unhex(F.lit("000102030405060708090a0b"))))
+    enc = cut(t.conversations.select("conv_id", "turn", "text", F.aes_encrypt(x, key, F.lit("GCM")).alias("e")), "encrypted")
     return enc.select("conv_id", "turn", F.length(x).alias("n"), (F.col("e") != F.encode(x, "utf-8")).alias("hidden"),
                       (F.aes_decrypt("e", key, F.lit("GCM")).cast("string") == x).alias("restored"), F.try_aes_decrypt("e", other, F.lit("GCM")).isNull().alias("wrong_key"))
 

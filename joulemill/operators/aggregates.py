@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Observation, functions as F
+from pyspark.sql import Column, Observation, Window, functions as F
 
 from joulemill.operators.ordered import one_per_key, percentiles
 from joulemill.registry import query
-from joulemill.storage import cut
+from joulemill.storage import checked_broadcast, cut
 from joulemill.tables import Tables
 
 
@@ -135,15 +135,16 @@ def approx_quantile(t):
 
 @query("agm_21_corr_cov", "AGM-21 AGM-22", "SELECT round(corr(l_quantity, l_extendedprice), 8) AS corr, round(covar_samp(l_quantity, l_extendedprice), 3) AS cov FROM lineitem")
 def corr_cov(t):
-    l = t.lineitem.select("l_quantity", "l_extendedprice")
-    c, v = l.corr("l_quantity", "l_extendedprice"), l.stat.cov("l_quantity", "l_extendedprice")
-    return t.region.limit(1).select(F.round(F.lit(c), 8).alias("corr"), F.round(F.lit(v), 3).alias("cov"))
+    """Both in one pass; the methods of the same name take one pass each and return numbers to the driver."""
+    return t.lineitem.agg(F.round(F.corr("l_quantity", "l_extendedprice"), 8).alias("corr"), F.round(F.covar_samp("l_quantity", "l_extendedprice"), 3).alias("cov"))
 
 
-@query("agm_23_crosstab", "AGM-23", """
-SELECT p_brand AS p_brand_p_type, sum(CASE WHEN p_type = 'PROMO' THEN 1 ELSE 0 END)::BIGINT AS PROMO, sum(CASE WHEN p_type = 'SMALL' THEN 1 ELSE 0 END)::BIGINT AS SMALL FROM part GROUP BY 1""")
+PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+
+
+@query("agm_23_crosstab", "AGM-23", "SELECT p_brand AS p_brand_p_type, " + ", ".join(f"count(*) FILTER (p_type = '{k}') AS {k}" for k in PART_TYPES) + " FROM part GROUP BY 1")
 def crosstab(t):
-    return t.part.crosstab("p_brand", "p_type").select("p_brand_p_type", "PROMO", "SMALL")
+    return t.part.crosstab("p_brand", "p_type")
 
 
 @query("agm_24_freq_items", "AGM-24", "SELECT c_mktsegment AS item FROM customer GROUP BY 1 HAVING count(*) > 0.15 * (SELECT count(*) FROM customer)")
@@ -172,7 +173,7 @@ def sampling(t):
     near = lambda got, want: abs(got - want) < 6 * (want + 1) ** 0.5
     flags = {"bernoulli": near(s, 0.4 * n), "poisson": near(r, 1.5 * n), "stratified": by[0] == urgent and by[1] == 0,
              "split": whole[0] == n and whole[1] == n, "taken": taken == min(25, n)}
-    return t.region.limit(1).select(*[F.lit(bool(v)).alias(k) for k, v in flags.items()])
+    return t.spark.range(1).select(*[F.lit(bool(v)).alias(k) for k, v in flags.items()])
 
 
 @query("agg_1_basic", "AGG-1", """
@@ -197,12 +198,31 @@ def basic(t):
         agree.cast("int").alias("same"), F.round(F.product(F.col("l_tax") * 0 + 1) * logs / logs, 6).alias("prod_ok"), F.mode("l_quantity", True).alias("common"))
 
 
+@query("agg_1_ordered", "AGG-1", """
+WITH l AS (SELECT l_orderkey, l_quantity AS q, CASE WHEN l_discount > 0.05 THEN l_quantity END AS c, row_number() OVER w AS i, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS j
+  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice))
+SELECT l_orderkey, arg_min(q, i) AS first, arg_min(q, j) AS last, coalesce(arg_min(c, i) FILTER (c IS NOT NULL), -1) AS first_cheap, coalesce(arg_min(c, j) FILTER (c IS NOT NULL), -1) AS last_cheap, arg_min(q, i) AS any, product(q) AS product FROM l GROUP BY 1""")
+def ordered(t):
+    """First and last in line order, with and without nulls, and the product, per order of a few lines."""
+    order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
+    w = Window.partitionBy("l_orderkey").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cheap = F.when(F.col("l_discount") > 0.05, F.col("l_quantity"))
+    l = t.lineitem.select("l_orderkey", *[c for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount")])
+    l = l.withColumns({
+        "first": F.first("l_quantity").over(w), "last": F.last("l_quantity").over(w), "first_cheap": F.first(cheap, ignorenulls=True).over(w), "last_cheap": F.last_value(cheap, F.lit(True)).over(w),
+        "any": F.when(F.first_value("l_quantity").over(w) == F.any_value("l_quantity").over(w), F.any_value("l_quantity").over(w))})
+    return l.groupBy("l_orderkey", "first", "last", F.coalesce("first_cheap", F.lit(-1.0)).alias("first_cheap"), F.coalesce("last_cheap", F.lit(-1.0)).alias("last_cheap"), "any").agg(F.product("l_quantity").alias("product"))
+
+
 @query("agg_2_distinct", "AGG-2", """
 SELECT o_orderpriority, count(DISTINCT o_custkey) AS d, sum(DISTINCT o_custkey)::BIGINT AS sd, count(DISTINCT (o_custkey, o_orderstatus)) AS pairs, true AS near FROM orders GROUP BY 1""")
 def distinct_aggs(t):
+    """One row per customer and status first, then per customer: a single set of distinct columns is left, which needs no copy of the rows."""
     d = F.count_distinct("o_custkey")
-    return t.orders.groupBy("o_orderpriority").agg(
-        F.countDistinct("o_custkey").alias("d"), F.when(F.sumDistinct("o_custkey") == F.sum_distinct("o_custkey"), F.sum_distinct("o_custkey")).alias("sd"), F.count_distinct("o_custkey", "o_orderstatus").alias("pairs"),
+    pairs = t.orders.groupBy("o_orderpriority", "o_custkey", "o_orderstatus").agg(F.lit(1).alias("one"))
+    customers = pairs.groupBy("o_orderpriority", "o_custkey").agg(F.count(F.when(F.col("o_custkey").isNotNull() & F.col("o_orderstatus").isNotNull(), 1)).alias("pairs"))
+    return customers.groupBy("o_orderpriority").agg(
+        F.countDistinct("o_custkey").alias("d"), F.when(F.sumDistinct("o_custkey") == F.sum_distinct("o_custkey"), F.sum_distinct("o_custkey")).alias("sd"), F.sum("pairs").alias("pairs"),
         (F.abs(F.greatest(F.approx_count_distinct("o_custkey", 0.02), F.approxCountDistinct("o_custkey", 0.02)) - d) <= F.greatest(d * 0.1, F.lit(2))).alias("near"))
 
 
@@ -284,6 +304,38 @@ def sketches(t):
     return merged.join(exact, "event_type").select("event_type", "users", "n", ((F.abs(estimate - F.col("users")) <= F.greatest(F.col("users") * 0.1, F.lit(2))) & (F.col("cms") > 0)).alias("near"))
 
 
+def count_min_estimate(sketch: Column, item: Column) -> Column:
+    """Count of an integer ``item`` (0 <= item < 2**32) from the bytes of a count-min sketch: the smallest of its counters, one per row.
+
+    The bytes hold, big-endian: version (4), total (8), depth (4), width (4), a multiplier per row (8 each) and the counters row by row (8 each). A row's
+    counter is found by multiplying, adding the upper half of the product to the lower, and taking 31 bits of it modulo the width."""
+    number = lambda at, size: F.conv(F.hex(F.substr(sketch, at, F.lit(size))), 16, 10).cast("long")
+    depth, width = number(F.lit(13), 4), number(F.lit(17), 4)
+
+    def counter(row: Column) -> Column:
+        product = number((F.lit(21) + 8 * row).cast("int"), 8) * item
+        cell = F.pmod((product + F.shiftright(product, 32)).bitwiseAND(F.lit(0x7FFFFFFF)), width)
+        return number((F.lit(21) + 8 * depth + 8 * (row * width + cell)).cast("int"), 8)
+
+    return F.array_min(F.transform(F.sequence(F.lit(0).cast("long"), depth - 1), counter))
+
+
+@query("agg_8_count_min", "AGG-8", """
+WITH u AS (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL)
+SELECT event_type, count(*) AS users, sum(n)::BIGINT AS total, true AS never_below, true AS near FROM u GROUP BY 1""")
+def count_min(t):
+    """Point queries of one sketch per event type, for every user, held against the true counts: never below them, and at most eps * total above
+    them for at least the confidence's share of the users."""
+    eps, confidence = 0.005, 0.95
+    sketches = t.events.groupBy("event_type").agg(F.count_min_sketch("user_id", F.lit(eps), F.lit(confidence), F.lit(11)).alias("sketch"), F.count("user_id").alias("total"))
+    users = t.events.groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+    asked = users.join(checked_broadcast(sketches), "event_type").withColumn("estimate", count_min_estimate(F.col("sketch"), F.col("user_id")))
+    over = F.col("estimate") - F.col("n")
+    return asked.groupBy("event_type").agg(
+        F.count("*").alias("users"), F.sum("n").alias("total"), F.bool_and(over >= 0).alias("never_below"),
+        (F.avg((over <= F.ceil(eps * F.col("total"))).cast("int")) >= confidence).alias("near"))
+
+
 @query("agg_10_safe", "AGG-10", """
 SELECT l_returnflag, count(*) > 1 AS overflowed, sum(l_orderkey)::BIGINT AS s, round(avg(l_quantity), 6) AS a FROM lineitem GROUP BY 1""")
 def safe(t):

@@ -18,12 +18,12 @@ def inner(t):
         F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-OUTER_SQL = "SELECT '{0}' AS how, count(*) AS n, count(d.doc_id) AS with_doc, count(l.doc_id) AS with_label FROM (SELECT * FROM documents WHERE doc_id % 3 <> 0) d {0} JOIN labels l ON d.doc_id = l.doc_id"
+OUTER_SQL = "SELECT '{0}' AS how, count(*) AS n, count(d.doc_id) AS with_doc, count(l.doc_id) AS with_label FROM documents d {0} JOIN labels l ON d.doc_id = l.doc_id"
 
 
 @query("jn_02_outer", "JN-02", " UNION ALL ".join(OUTER_SQL.format(h) for h in ("left", "right", "full")))
 def outer(t):
-    d = t.documents.select("doc_id").filter("doc_id % 3 <> 0")
+    d = t.documents.select("doc_id")
     l = t.labels.select(F.col("doc_id").alias("label_id"))
     out = None
     for how in ("left", "right", "full"):
@@ -85,14 +85,13 @@ def range_join(t):
 
 
 @query("jn_08_interval", "JN-08", """
-WITH j AS (SELECT user_id AS job_user, event_type AS model, epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM events
-  WHERE event_id % 3 = 0 GROUP BY ALL)
+WITH j AS (SELECT user_id AS job_user, event_type AS model, epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM events GROUP BY ALL)
 SELECT model, count(*) AS samples, count(DISTINCT job_user) AS jobs FROM events e JOIN j ON j.job_user = e.user_id
  AND epoch_us(e.ts) BETWEEN lo AND hi GROUP BY 1""")
 def interval(t):
     """Executor samples inside the span of the jobs that share their user."""
     at = F.unix_micros("ts")
-    jobs = cut(t.events.filter("event_id % 3 = 0").groupBy("user_id", F.col("event_type").alias("model")).agg(F.min(at).alias("lo"), F.max(at).alias("hi")), "spans")
+    jobs = cut(t.events.groupBy("user_id", F.col("event_type").alias("model")).agg(F.min(at).alias("lo"), F.max(at).alias("hi")), "spans")
     points = t.events.select("user_id", at.alias("at"))
     hits = points_in_spans(points, jobs, "at", "lo", "hi", ["user_id"], base=3_600_000_000)
     return hits.groupBy("model").agg(F.count("*").alias("samples"), F.count_distinct("user_id").alias("jobs"))
@@ -197,14 +196,14 @@ def skewed(t):
 
 
 @query("jn_15_cogroup", "JN-15 RD-06", """
-WITH o AS (SELECT o_custkey AS k, count(*) AS orders, sum(o_totalprice) AS spent, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS priorities FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1),
-c AS (SELECT c_custkey AS k, count(*) AS customers FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1)
+WITH o AS (SELECT o_custkey AS k, count(*) AS orders, sum(o_totalprice) AS spent, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS priorities FROM orders GROUP BY 1),
+c AS (SELECT c_custkey AS k, count(*) AS customers FROM customer GROUP BY 1)
 SELECT k, coalesce(orders, 0) AS orders, round(coalesce(spent, 0), 2) AS spent, coalesce(priorities, '') AS priorities, coalesce(customers, 0) AS customers FROM o FULL JOIN c USING (k)""")
 def cogroup(t):
     """Both sides are reduced per key before they meet, so a hot key never arrives as one list of rows."""
-    o = t.orders.filter("o_orderkey % 2 = 0").groupBy(F.col("o_custkey").alias("k")).agg(
+    o = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(
         F.count("*").alias("orders"), F.sum("o_totalprice").alias("spent"), F.sort_array(F.collect_set("o_orderpriority")).alias("p"))
-    c = t.customer.filter("c_custkey % 3 <> 0").groupBy(F.col("c_custkey").alias("k")).agg(F.count("*").alias("customers"))
+    c = t.customer.groupBy(F.col("c_custkey").alias("k")).agg(F.count("*").alias("customers"))
     return o.join(c, "k", "full").select(
         "k", F.coalesce("orders", F.lit(0).cast("long")).alias("orders"), F.round(F.coalesce("spent", F.lit(0.0)), 2).alias("spent"),
         F.coalesce(F.array_join("p", ","), F.lit("")).alias("priorities"), F.coalesce("customers", F.lit(0).cast("long")).alias("customers"))

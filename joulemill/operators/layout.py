@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from joulemill.registry import query
-from joulemill.storage import scratch
+from joulemill.storage import bucket_number, gathered, scratch
 
 
 @query("lay_01_repartition", "LAY-01 LAY-02 LAY-03 RD-09", """
@@ -40,7 +40,7 @@ def foreach(t):
     s = t.supplier.select("s_nationkey")
     s.foreach(one)
     s.foreachPartition(many)
-    return t.supplier.limit(1).select(F.lit(seen.value).cast("long").alias("rows_seen"), F.lit(in_parts.value).cast("long").alias("rows_in_partitions"),
+    return t.supplier.groupBy().agg(F.count("*")).select(F.lit(seen.value).cast("long").alias("rows_seen"), F.lit(in_parts.value).cast("long").alias("rows_in_partitions"),
                                       F.lit(nations.value).cast("long").alias("nation_sum"))
 
 
@@ -55,10 +55,12 @@ def partition_transforms(t):
     """
     path = scratch(t.spark, "by_year")
     o = t.orders.withColumn("o_year", F.year("o_orderdate"))
-    o.repartition("o_year").write.partitionBy("o_year").parquet(path)
+    gathered(o, "o_year").write.partitionBy("o_year").parquet(path)
     pruned = t.spark.read.parquet(path).filter("o_year = 1997").groupBy(F.lit("year").alias("layout"), F.col("o_year").cast("long").alias("part")).agg(F.count("*").alias("n"))
     name = "orders_by_bucket_" + path.rsplit("-", 1)[1]
     where = scratch(t.spark, "by_bucket")
-    t.orders.writeTo(name).using("parquet").option("path", where).partitionedBy(F.partitioning.bucket(4, "o_custkey")).create()
+    kept = t.orders.select("o_orderkey", "o_custkey")
+    buckets = bucket_number(kept)
+    kept.repartition(buckets, "o_custkey").writeTo(name).using("parquet").option("path", where).partitionedBy(F.partitioning.bucket(buckets, "o_custkey")).create()
     bucketed = t.spark.table(name).groupBy(F.lit("bucket").alias("layout"), (F.col("o_custkey") % 2).alias("part")).agg(F.count("*").alias("n"))
     return pruned.union(bucketed)

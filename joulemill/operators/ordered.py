@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from joulemill.operators.exact import is_floating, joined, parts
 from joulemill.storage import cut
 
 GROUP_ROWS = 2_000_000
@@ -98,8 +99,20 @@ def running(
     """Add running aggregates over (unbounded preceding .. current row).
 
     ``aggs`` maps an output name to (function, column); functions are sum, count, min, max, last and first
-    (last/first skip nulls, so ``last`` is a forward fill).
+    (last/first skip nulls, so ``last`` is a forward fill). Sums of doubles are exact until the end, so both ways agree to the last bit.
     """
+    doubles = [n for n, (f, c) in aggs.items() if f == "sum" and is_floating(df, c)]
+    if doubles:
+        whole = {n: a for n, a in aggs.items() if n not in doubles}
+        pieces = {n: [f"_{i}_{n}" for i in range(5)] for n in doubles}
+        for n in doubles:
+            whole |= {name: ("sum", p) for name, p in zip(pieces[n], parts(aggs[n][1]))}
+        out = _running(df, keys, order, whole, group_rows)
+        return out.withColumns({n: joined([F.col(p) for p in pieces[n]]) for n in doubles}).drop(*[p for n in doubles for p in pieces[n]])
+    return _running(df, keys, order, aggs, group_rows)
+
+
+def _running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], aggs: dict[str, tuple[str, Column]], group_rows: int) -> DataFrame:
     to_here = (Window.unboundedPreceding, Window.currentRow)
     if hottest(df, keys) <= group_rows:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*to_here)

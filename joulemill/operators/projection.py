@@ -106,7 +106,7 @@ FROM orders WHERE o_orderpriority = '1-URGENT'""")
 def is_empty(t):
     urgent = t.orders.filter("o_orderpriority = '1-URGENT'").isEmpty()
     negative = t.orders.filter("o_totalprice < 0").isEmpty()
-    return t.orders.limit(1).select(F.lit(urgent).alias("no_urgent"), F.lit(negative).alias("no_negative"))
+    return t.spark.range(1).select(F.lit(urgent).alias("no_urgent"), F.lit(negative).alias("no_negative"))
 
 
 @query("prj_19_nested_fields", "PRJ-19 PRJ-20 PRJ-21 PRJ-22 STC-1", """

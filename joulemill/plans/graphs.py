@@ -33,7 +33,8 @@ def transitive_closure(edges: DataFrame) -> DataFrame:
 
 def pagerank(edges: DataFrame, rounds: int = 10, tolerance: float | None = None, every: int = 3) -> DataFrame:
     """Ranks start at 1.0 for every source; each round a page gets 0.15 + 0.85 * the shares sent to it.
-    Pages without in-links drop out after the first round. With ``tolerance`` it stops once no rank moves more."""
+    Pages without in-links drop out after the first round. With ``tolerance`` it stops once no rank moves more, and raises an error if one still
+    does after the rounds."""
     links = edges.select("src", "dst").distinct()
     links = cut(links.join(links.groupBy("src").agg(F.count("*").alias("out")), "src"), "links")
     ranks = links.select(F.col("src").alias("id")).distinct().withColumn("rank", F.lit(1.0))
@@ -45,10 +46,11 @@ def pagerank(edges: DataFrame, rounds: int = 10, tolerance: float | None = None,
         if tolerance is not None:
             old = ranks.select("id", F.col("rank").alias("_old"))
             moved = new.join(old, "id", "full").agg(F.max(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("_old", F.lit(0.0))))).first()[0]
-            ranks = new
             if moved is None or moved <= tolerance:
-                break
+                return new
         ranks = new
+    if tolerance is not None:
+        raise RuntimeError(f"a rank still moves by more than {tolerance} after {rounds} rounds")
     return ranks
 
 
@@ -101,17 +103,68 @@ def triangles(edges: DataFrame) -> DataFrame:
     return corners.groupBy("id").agg(F.count("*").alias("triangles"))
 
 
-def shortest_paths(edges: DataFrame, source: int, weight: str = "w") -> DataFrame:
-    """Least total weight from ``source`` to every reachable vertex: only vertices improved in the last
-    round send along their edges, and the minimum per vertex is taken before the comparison."""
-    e = cut(edges.select("src", "dst", weight), "weighted")
-    best = cut(e.limit(1).select(F.lit(source).cast("long").alias("id"), F.lit(0.0).alias("dist")), "dist")
-    frontier = best
+def shortest_paths(edges: DataFrame, source: int, weight: str = "w", delta: float | None = None) -> DataFrame:
+    """(id, dist): least total weight from ``source`` to every reachable vertex, by stepping through distance bands of width ``delta``.
+
+    Known distances are a base table and the improvements of later rounds; a round writes only what it improved, and every COMPACT tables become one
+    base. Vertices of the current band are relaxed until none of them improves, and only then the next band begins, so a far vertex waits until
+    its distance has settled instead of being relaxed again and again. ``delta`` is twice the mean weight if not given; any positive width gives
+    the same result. Edges with a null end or weight are left out; a negative weight raises an error, as no band would ever settle."""
+    spark = edges.sparkSession
+    e = cut(edges.select("src", "dst", F.col(weight).cast("double").alias("w")).dropna().groupBy("src", "dst").agg(F.min("w").alias("w")), "weighted")
+    least, mean = e.agg(F.min("w"), F.avg("w")).first()
+    if least is not None and least < 0:
+        raise ValueError("shortest_paths needs weights of 0 and more")
+    delta = delta or 2 * (mean or 0.0) or 1.0
+    if not delta > 0:
+        raise ValueError("delta must be positive")
+    frontier = spark.createDataFrame([(source, 0.0)], "id long, dist double")
+    tables, settled = [frontier], 0.0
     while True:
-        offers = frontier.join(e, frontier.id == e.src).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col(weight)).alias("offer"))
-        merged = cut(best.join(offers, "id", "full").select(
-            "id", F.least("dist", "offer").alias("dist"), (F.col("dist").isNull() | (F.col("offer") < F.col("dist"))).alias("_new")), "dist")
-        best = merged.drop("_new")
-        frontier = merged.filter("_new").drop("_new")
-        if frontier.isEmpty():
+        end = settled + delta
+        while True:
+            offers = frontier.join(e, frontier.id == e.src).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("offer"))
+            known = reduce(DataFrame.union, tables).join(offers.select("id"), "id", "left_semi").groupBy("id").agg(F.min("dist").alias("dist"))
+            better = offers.join(known, "id", "left").filter(F.col("dist").isNull() | (F.col("offer") < F.col("dist")))
+            improved = cut(better.select("id", F.col("offer").alias("dist")), "improved")
+            near, every = improved.agg(F.count_if(F.col("dist") < end), F.count("*")).first()
+            if every:
+                tables.append(improved)
+            if len(tables) > COMPACT:
+                tables = [cut(reduce(DataFrame.union, tables).groupBy("id").agg(F.min("dist").alias("dist")), "dist")]
+            if not near:
+                break
+            frontier = improved.filter(F.col("dist") < end)
+        best = reduce(DataFrame.union, tables).groupBy("id").agg(F.min("dist").alias("dist"))
+        ahead = best.filter(F.col("dist") >= end)
+        first = ahead.agg(F.min("dist")).first()[0]
+        if first is None:
             return best
+        if first + delta <= first:
+            raise ValueError("delta is too small for distances of this size")
+        settled = first  # the next band begins at the nearest vertex that waits
+        frontier = ahead.filter(F.col("dist") < first + delta)
+
+
+def pagerank_to_tolerance(edges: DataFrame, tolerance: float, damping: float = 0.85, most: int = 1000, every: int = 5) -> DataFrame:
+    """(id, rank, residual) with rank = 1 - damping + damping * (the shares sent to it), up to ``tolerance``, by pushing residuals.
+
+    A vertex holds a rank and a residual, what it has received and not passed on. Each round the vertices whose residual exceeds the tolerance add
+    it to their rank and push ``damping`` of it along their edges; the others rest. ``every`` rounds are one job, written at its end. At the end rank and residual satisfy the equation exactly
+    (up to rounding) with every residual at or below the tolerance. The residuals shrink by ``damping`` a round in total, so ``most`` rounds are
+    enough for any tolerance above 1e-60; should they not be, an error is raised rather than an unfinished result returned."""
+    links = edges.select("src", "dst").distinct()
+    links = cut(links.join(links.groupBy("src").agg(F.count("*").alias("out")), "src"), "links")
+    ids = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
+    state = cut(ids.select("id", F.lit(0.0).alias("rank"), F.lit(1 - damping).alias("residual")), "ranks")
+    for i in range(most):
+        active = state.filter(F.col("residual") > tolerance)
+        if i % every == 0 and active.isEmpty():
+            return state
+        pushed = active.join(links, active.id == links.src).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("residual") * damping / F.col("out")).alias("_in"))
+        kept = F.when(F.col("residual") > tolerance, 0.0).otherwise(F.col("residual"))
+        gone = F.when(F.col("residual") > tolerance, F.col("residual")).otherwise(0.0)
+        state = state.join(pushed, "id", "left").select("id", (F.col("rank") + gone).alias("rank"), (kept + F.coalesce("_in", F.lit(0.0))).alias("residual"))
+        if (i + 1) % every == 0:
+            state = cut(state, "ranks")
+    raise RuntimeError(f"residuals above {tolerance} are left after {most} rounds")

@@ -11,6 +11,7 @@ from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, functions as F
 
 from joulemill.operators.ordered import running, top_per_key
+from joulemill.plans.similarity import similarity_join
 from joulemill.registry import query
 from joulemill.storage import cut
 
@@ -88,19 +89,21 @@ def selection(t):
     return t.spark.createDataFrame(rows, "selector string, feature int")
 
 
+def word_sets(df, key) -> DataFrame:
+    """(id, items): the hashes of a text's different words, of texts of three words and more."""
+    w = F.split(F.lower("text"), r"\s+")
+    return df.filter(F.size(w) >= 3).select(F.col(key).alias("id"), F.array_distinct(F.transform(w, lambda x: F.xxhash64(x))).alias("items"))
+
+
 @query("ml_05_similar", "ML-05")
 def similar(t):
-    """Nearest embeddings of one vector, and documents close to a benchmark passage by MinHash."""
+    """Nearest embeddings of one vector by random projections, and documents close to a benchmark passage by banded min-hashes of their words."""
     e = cut(labelled(t), "labelled")
     lsh = X.BucketedRandomProjectionLSH(inputCol="features", outputCol="h", bucketLength=1.0, numHashTables=3, seed=3).fit(e)
     key = e.orderBy("vec_id").first()["features"]
     near = lsh.approxNearestNeighbors(e, key, 5).select(F.lit("vector").alias("kind"), F.col("vec_id").alias("id"), F.lit(-1).cast("long").alias("of"), F.round("distCol", 6).alias("distance"))
-    shingles = X.HashingTF(inputCol="w", outputCol="features", numFeatures=1 << 18, binary=True)
-    words = lambda df, key: shingles.transform(df.select(F.col(key).alias("id"), F.split(F.lower("text"), r"\s+").alias("w")).filter(F.size("w") >= 3)).select("id", "features")
-    d, b = cut(words(t.documents, "doc_id"), "shingles"), cut(words(t.benchmark, "item_id"), "shingles")
-    mh = X.MinHashLSH(inputCol="features", outputCol="h", numHashTables=4, seed=5).fit(d)
-    close = mh.approxSimilarityJoin(d, b, 0.6, "distance").select(F.lit("text").alias("kind"), F.col("datasetA.id").alias("id"), F.col("datasetB.id").alias("of"), F.round("distance", 6).alias("distance"))
-    return near.union(close)
+    close = similarity_join(word_sets(t.documents, "doc_id"), word_sets(t.benchmark, "item_id"), 0.4)
+    return near.union(close.select(F.lit("text").alias("kind"), F.col("a").alias("id"), F.col("b").alias("of"), F.round(1 - F.col("similarity"), 6).alias("distance")))
 
 
 @query("ml_06_classification", "ML-06")
@@ -130,7 +133,7 @@ def priced(t) -> DataFrame:
 def linear_regression(t):
     l = X.VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(t.lineitem.select("l_quantity", F.col("l_extendedprice").alias("label")))
     m = R.LinearRegression(solver="normal").fit(l)
-    return t.region.limit(1).select(F.round(F.lit(float(m.coefficients[0])), 3).alias("slope"), F.round(F.lit(float(m.intercept)), 2).alias("intercept"), F.round(F.lit(float(m.summary.r2)), 5).alias("r2"))
+    return t.spark.range(1).select(F.round(F.lit(float(m.coefficients[0])), 3).alias("slope"), F.round(F.lit(float(m.intercept)), 2).alias("intercept"), F.round(F.lit(float(m.summary.r2)), 5).alias("r2"))
 
 
 @query("ml_07_regression", "ML-07")
@@ -183,14 +186,14 @@ def recommend(t):
 
 
 @query("ml_10_baskets", "ML-10", """
-WITH b AS (SELECT DISTINCT l_orderkey, p_type FROM lineitem JOIN part ON l_partkey = p_partkey), n AS (SELECT count(DISTINCT l_orderkey) AS n FROM b), s AS (SELECT p_type AS item, count(*) AS freq FROM b GROUP BY 1),
-p AS (SELECT a.p_type || ',' || c.p_type AS item, count(*) AS freq FROM b a JOIN b c ON a.l_orderkey = c.l_orderkey AND a.p_type < c.p_type GROUP BY 1)
-SELECT item, freq FROM (SELECT * FROM s UNION ALL SELECT * FROM p), n WHERE freq >= ceil(0.05 * n)""")
+WITH b AS (SELECT l_orderkey, list(DISTINCT p_type ORDER BY p_type) AS w FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1), d AS (SELECT w, count(*) AS n FROM b GROUP BY 1),
+m AS (SELECT w, n, unnest(range(1, 1 << len(w))) AS mask FROM d), s AS (SELECT array_to_string(list_filter(w, lambda x, i: (mask >> (i - 1)) % 2 = 1), ',') AS item, sum(n)::BIGINT AS freq FROM m GROUP BY 1)
+SELECT item, freq FROM s WHERE freq >= ceil(0.05 * (SELECT count(*) FROM b))""")
 def baskets(t):
     """Frequent sets of part types per order; a basket holds at most the six types."""
     b = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.collect_set("p_type").alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=0.05).fit(b).freqItemsets
-    return found.filter(F.size("items") <= 2).select(F.array_join(F.sort_array("items"), ",").alias("item"), "freq")
+    return found.select(F.array_join(F.sort_array("items"), ",").alias("item"), "freq")
 
 
 @query("ml_10_sequences", "ML-10")
@@ -240,7 +243,7 @@ def evaluators(t):
     silhouette = float(E.ClusteringEvaluator().evaluate(e.withColumn("prediction", F.col("label").cast("int"))))
     others = 0 <= labels <= 1 and 0 <= ranking <= 1 and -1 <= silhouette <= 1
     named = {"accuracy": (multi("accuracy"), 6), "weighted_precision": (multi("weightedPrecision"), 6), "weighted_recall": (multi("weightedRecall"), 6), "rmse": (reg("rmse"), 6), "mae": (reg("mae"), 6), "r2": (reg("r2"), 6), "auc": (auc, 5)}
-    return t.region.limit(1).select(*[F.round(F.lit(v), d).alias(k) for k, (v, d) in named.items()], F.lit(others).alias("others"))
+    return t.spark.range(1).select(*[F.round(F.lit(v), d).alias(k) for k, (v, d) in named.items()], F.lit(others).alias("others"))
 
 
 @query("ml_13_model_selection", "ML-13")

@@ -7,6 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from joulemill.operators.exact import exact_sum
 from joulemill.operators.ordered import positions
 from joulemill.operators.temporal import salted_totals
 from joulemill.plans import graphs
@@ -107,8 +108,8 @@ def pagerank(t):
 
 @query("wl_10_pagerank_tolerance", "WL-10")
 def pagerank_tolerance(t):
-    """Until no rank moves by more than 1e-4; a test checks the result against a further round."""
-    return graphs.pagerank(order_graph(t), rounds=60, tolerance=1e-4).select("id", F.round("rank", 4).alias("rank"))
+    """Until every residual is at or below 1e-4; a test checks the equation of every vertex."""
+    return graphs.pagerank_to_tolerance(order_graph(t), 1e-4).select("id", F.round("rank", 4).alias("rank"))
 
 
 @query("wl_11_connected_components", "WL-11", """
@@ -177,29 +178,69 @@ def degree_histogram(t):
     return d.groupBy("degree").agg(F.count("*").alias("vertices")).crossJoin(F.broadcast(sizes))
 
 
-def kmeans(points, k, tolerance=1e-3, rounds=20):
-    """Plain k-means: centres (k small rows) travel with the plan as literals, rows meet them in an Arrow
-    batch function that returns one partial sum per centre and batch, and the sums are combined by Spark."""
-    rows = points.orderBy("id").limit(k).collect()
-    centres = np.array([r["v"] for r in rows], dtype=float)
-    for _ in range(rounds):
+def kmeans(points, k, tolerance=1e-3, most=1000):
+    """Centres of plain k-means, from the k points with the smallest ids, until they move by no more than ``tolerance`` in all (squared); an error if
+    they still do after ``most`` rounds.
+
+    Distances to the k starting centres are written once beside every point. In a round the difference between them and a centre's own distances to
+    the starting centres is a lower bound of the distance (triangle inequality); centres whose bound exceeds the best distance are not measured.
+    A partition returns one sum per centre, and these are added exactly, so the rounds are the same at any layout of the same partitions."""
+    first = [r["v"] for r in points.orderBy("id").limit(k).select(F.col("v").cast("array<double>").alias("v")).collect()]
+    starts = centres = np.array(first, dtype=float)
+    if not len(starts):
+        return centres
+
+    def measure(batches):
+        for b in batches:
+            if b.num_rows:
+                x = rows_of(b.column(0))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(apart(x, starts)), pa.list_(pa.float64()))], names=["v", "far"])
+
+    table = cut(points.select(F.col("v").cast("array<double>").alias("v")).mapInArrow(measure, "v array<double>, far array<double>"), "points")
+    for _ in range(most):
         def assign(batches, c=centres):
+            total, count = np.zeros_like(c), np.zeros(len(c), dtype=int)
             for b in batches:
-                x = np.stack(b.column(0).to_numpy(zero_copy_only=False)).astype(float)
-                near = ((x[:, None, :] - c[None]) ** 2).sum(2).argmin(1)
-                for i in np.unique(near):
-                    part = x[near == i]
-                    yield pa.RecordBatch.from_pydict({"c": pa.array([int(i)] * c.shape[1], pa.int32()), "d": pa.array(range(c.shape[1]), pa.int32()), "s": part.sum(0), "n": pa.array([len(part)] * c.shape[1], pa.int64())})
-
-        sums = points.select("v").mapInArrow(assign, "c int, d int, s double, n long").groupBy("c", "d").agg((F.sum("s") / F.sum("n")).alias("m")).collect()
+                if b.num_rows:
+                    x = rows_of(b.column(0))
+                    near = nearest(x, c, rows_of(b.column(1)), apart(c, starts))[0]
+                    np.add.at(total, near, x)
+                    np.add.at(count, near, 1)
+            for i in np.flatnonzero(count):
+                yield pa.RecordBatch.from_pydict({"c": pa.array([int(i)] * c.shape[1], pa.int32()), "d": pa.array(range(c.shape[1]), pa.int32()), "s": total[i], "n": pa.array([count[i]] * c.shape[1], pa.int64())})
+
+        sums = table.mapInArrow(assign, "c int, d int, s double, n long").groupBy("c", "d").agg((exact_sum("s") / F.sum("n")).alias("m")).collect()  # k rows per dimension
         new = centres.copy()
         for r in sums:
             new[r["c"], r["d"]] = r["m"]
         moved = float(((new - centres) ** 2).sum())
         centres = new
         if moved <= tolerance:
-            break
-    return centres
+            return centres
+    raise RuntimeError(f"centres still move after {most} rounds")
+
+
+def rows_of(column):
+    return np.stack(column.to_numpy(zero_copy_only=False)).astype(float)
+
+
+def apart(x, c):
+    return np.sqrt(((x[:, None, :] - c[None]) ** 2).sum(2))
+
+
+def nearest(x, c, far, own):
+    """(number of the nearest centre, its squared distance, distances measured), ties to the smaller number."""
+    bound = np.maximum(np.abs(far[:, None, :] - own[None]).max(axis=2) - 1e-9 * (1 + far.max(axis=1)[:, None]), 0) ** 2
+    near = bound.argmin(axis=1)
+    best = ((x - c[near]) ** 2).sum(axis=1)
+    first, measured = near.copy(), len(x)
+    for i in range(len(c)):
+        rows = np.flatnonzero((first != i) & (bound[:, i] <= best))
+        measured += len(rows)
+        d = ((x[rows] - c[i]) ** 2).sum(axis=1)
+        closer = (d < best[rows]) | (d == best[rows]) & (i < near[rows])
+        best[rows[closer]], near[rows[closer]] = d[closer], i
+    return near, best, measured
 
 
 @query("wl_17_kmeans", "WL-17")
@@ -211,36 +252,65 @@ def kmeans_by_hand(t):
     return t.spark.createDataFrame(rows, "centre int, dim int, value double").withColumn("value", F.round("value", 6))
 
 
-@query("wl_18_logistic_gradient", "WL-18")
+SETTLED_CENTRES = """WITH v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, x AS place FROM v QUALIFY k < 10),
+""" + ",\n".join(f"""n{i} AS MATERIALIZED (SELECT vec_id, any_value(x) AS x, arg_min(k, (list_distance(x, place), k)) AS k FROM v CROSS JOIN c{i} GROUP BY vec_id),
+m{i} AS (SELECT k, list(m ORDER BY d) AS place FROM (SELECT k, d, favg(e) AS m FROM (SELECT k, unnest(x) AS e, generate_subscripts(x, 1) AS d FROM n{i}) GROUP BY ALL) GROUP BY 1), c{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.place, c.place) AS place FROM c{i} c LEFT JOIN m{i} m USING (k))""" for i in range(40))
+
+
+@query("wl_17_kmeans_sizes", "WL-17", SETTLED_CENTRES + " SELECT c.k::INTEGER AS centre, (SELECT count(*) FROM n39 n WHERE n.k = c.k) AS points, round(sqrt(list_sum(list_transform(place, lambda x: x * x))), 5) AS norm FROM c40 c")
+def kmeans_sizes(t):
+    """Points per centre once no centre moves any more."""
+    centres = kmeans(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 10, tolerance=0.0)
+
+    def count(batches):
+        n = np.zeros(len(centres), dtype=int)
+        for b in batches:
+            if b.num_rows:
+                x = rows_of(b.column(0))
+                np.add.at(n, nearest(x, centres, apart(x, centres[:1]), apart(centres, centres[:1]))[0], 1)
+        yield pa.RecordBatch.from_pydict({"centre": pa.array(range(len(n)), pa.int32()), "points": pa.array(n, pa.int64())})
+
+    norms = t.spark.createDataFrame([(i, float(np.linalg.norm(c))) for i, c in enumerate(centres)], "centre int, norm double")
+    found = t.embeddings.select(F.col("embedding").cast("array<double>").alias("v")).mapInArrow(count, "centre int, points long").groupBy("centre").agg(F.sum("points").alias("points"))
+    return norms.join(found, "centre").select("centre", "points", F.round("norm", 5).alias("norm"))
+
+
+# twelve steps of plain gradient descent on labels 0 and 1
+LOGISTIC = """WITH d AS MATERIALIZED (SELECT ln(1 + n_chars) / 10 AS x1, len(string_split_regex(text, '[!?]')) / greatest(n_chars, 1) * 10 AS x2, quality::DOUBLE AS y FROM documents JOIN labels USING (doc_id)),
+w0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c)""" + "".join(f""",
+w{i + 1} AS MATERIALIZED (SELECT any_value(a) - 2 * avg(e) AS a, any_value(b) - 2 * avg(e * x1) AS b, any_value(c) - 2 * avg(e * x2) AS c FROM (SELECT *, 1 / (1 + exp(-(a + b * x1 + c * x2))) - y AS e FROM d CROSS JOIN w{i}))""" for i in range(12))
+
+
+@query("wl_18_logistic_gradient", "WL-18", LOGISTIC + " SELECT round(a, 5) AS w0, round(b, 5) AS w1, round(c, 5) AS w2, (SELECT count(*) FROM d) AS rows FROM w12")
 def logistic_gradient(t):
-    """Batch gradient descent: every batch returns one partial gradient, Spark adds them up, the driver holds the weights."""
+    """Batch gradient descent, twelve steps: each is one aggregate of the misses, predicted probability less label; the driver holds three weights."""
     d = t.documents.select("doc_id", (F.log1p("n_chars") / 10).alias("x1"), (F.size(F.split("text", "[!?]")) / F.greatest(F.col("n_chars"), F.lit(1)) * 10).alias("x2")).join(t.labels, "doc_id")
-    d = cut(d.select("x1", "x2", (F.col("quality") * 2 - 1).cast("double").alias("y")), "points")
-    w = np.zeros(3)
-    n = d.count()
+    d = cut(d.select("x1", "x2", F.col("quality").cast("double").alias("y")), "points")
+    w, n = np.zeros(3), 0
     for _ in range(12):
-        def gradient(batches, w=w):
-            for b in batches:
-                x = np.column_stack([np.ones(b.num_rows), b.column(0).to_numpy(), b.column(1).to_numpy()])
-                y = b.column(2).to_numpy()
-                g = ((1 / (1 + np.exp(-y * (x @ w))) - 1) * y) @ x
-                yield pa.RecordBatch.from_pydict({"g0": [g[0]], "g1": [g[1]], "g2": [g[2]]})
-
-        g = d.mapInArrow(gradient, "g0 double, g1 double, g2 double").agg(F.sum("g0"), F.sum("g1"), F.sum("g2")).first()
-        w = w - 2.0 * np.array(list(g)) / n
-    return t.spark.createDataFrame([(float(w[0]), float(w[1]), float(w[2]), n)], "w0 double, w1 double, w2 double, rows long")
+        inputs = (F.lit(1.0), F.col("x1"), F.col("x2"))
+        score = sum((F.lit(float(k)) * x for k, x in zip(w, inputs)), F.lit(0.0))
+        miss = 1 / (1 + F.exp(-score)) - F.col("y")
+        n, *slope = d.agg(F.count("*"), *[exact_sum(miss * x) for x in inputs]).first()
+        if not n:
+            break
+        w = w - 2.0 * np.array(slope) / n
+    return t.spark.createDataFrame([(round(float(w[0]), 5), round(float(w[1]), 5), round(float(w[2]), 5), n)], "w0 double, w1 double, w2 double, rows long")
 
 
 @query("wl_20_column_similarity", "WL-20 ML-14", """
 WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings), n AS (SELECT j, sqrt(sum(v * v)) AS norm FROM x GROUP BY 1)
 SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v) / (any_value(na.norm) * any_value(nb.norm)), 5) AS cosine FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.j < b.j JOIN n na ON na.j = a.j JOIN n nb ON nb.j = b.j GROUP BY a.j, b.j""")
 def column_similarity(t):
-    """The Gram matrix of the 64 columns: one partial product per batch, added by Spark. Its size is set by the
+    """The Gram matrix of the columns: one partial product per partition, added by Spark. Its size is set by the
     number of columns, whatever the number of rows."""
     def gram(batches):
+        g = None
         for b in batches:
-            x = np.stack(b.column(0).to_numpy(zero_copy_only=False)).astype(float)
-            g = x.T @ x
+            if b.num_rows:
+                x = rows_of(b.column(0))
+                g = x.T @ x if g is None else g + x.T @ x
+        if g is not None:
             i, j = np.triu_indices(g.shape[0])
             yield pa.RecordBatch.from_pydict({"i": i.astype("int64"), "j": j.astype("int64"), "s": g[i, j]})
 

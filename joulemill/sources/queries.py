@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from joulemill.registry import query
-from joulemill.storage import scratch
+from joulemill.storage import bucket_number, gathered, scratch, write_bucketed
 
 
 def new_name(prefix: str, path: str) -> str:
@@ -47,7 +47,7 @@ def json(t):
     """JSON lines with one broken record, kept apart by the permissive mode."""
     path = scratch(t.spark, "json")
     t.customer.write.json(path, compression="gzip")
-    line = t.region.limit(1).select(F.lit("{broken").alias("value"))
+    line = t.spark.range(1).select(F.lit("{broken").alias("value"))
     line.write.mode("append").text(path)
     df = t.spark.read.json(path, schema="c_custkey long, c_name string, c_acctbal double, _bad string", mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
     return df.select(F.coalesce("c_custkey", F.lit(-1).cast("long")).alias("c_custkey"), F.coalesce("c_name", F.lit("bad")).alias("c_name"), F.coalesce("c_acctbal", F.lit(-1.0)).alias("c_acctbal"), F.col("_bad").isNull().cast("int").alias("good"))
@@ -100,23 +100,21 @@ def save_modes(t):
 
 @query("src_09_partitioned", "SRC-09", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
 def partitioned(t):
-    """Rows are gathered by the partition column and a spread over the order key before the write, so a common
-    value is written by several tasks and a rare one by few."""
+    """Rows are gathered by the partition column before the write; a common value is split over as many files as its size asks for."""
     path = scratch(t.spark, "by_status")
-    spread = F.pmod("o_orderkey", F.lit(4))
-    t.orders.repartition("o_orderstatus", spread).write.partitionBy("o_orderstatus").parquet(path)
+    gathered(t.orders, "o_orderstatus").write.partitionBy("o_orderstatus").parquet(path)
     return t.spark.read.parquet(path).filter("o_orderstatus <> 'P'").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 def bucketed(t):
-    """Orders and lines bucketed and sorted on the order key: their join needs no exchange."""
-    names = []
-    for label, df, key in (("orders", t.orders, "o_orderkey"), ("lines", t.lineitem, "l_orderkey")):
+    """Orders and lines, the columns in use, bucketed and sorted on the order key: their join needs no exchange."""
+    sides = {"orders": (t.orders.select("o_orderkey", "o_orderpriority"), "o_orderkey"), "lines": (t.lineitem.select("l_orderkey", "l_extendedprice"), "l_orderkey")}
+    buckets = bucket_number(*[df for df, _ in sides.values()])
+    out = []
+    for label, (df, key) in sides.items():
         path = scratch(t.spark, f"bucketed_{label}")
-        name = new_name(label, path)
-        df.write.bucketBy(8, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
-        names.append(name)
-    return t.spark.read.table(names[0]), t.spark.table(names[1])
+        out.append(write_bucketed(df, new_name(label, path), path, key, buckets))
+    return out
 
 
 @query("src_10_bucketed_join", "SRC-07 SRC-10 SRC-11 SRC-14 SRC-24", "SELECT o_orderpriority, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
@@ -142,11 +140,11 @@ def insert_into(t):
     return spark.table(name).groupBy("p_type").agg(F.count("*").alias("n"))
 
 
-@query("src_22_range", "SRC-22", "SELECT k, count(o_orderkey) AS n FROM range(0, 20) r(k) LEFT JOIN orders ON o_orderkey % 40 = k GROUP BY 1")
+@query("src_22_range", "SRC-22", "SELECT k, count(o_orderkey) AS n FROM range(0, 40) r(k) LEFT JOIN orders ON o_orderkey % 40 = k GROUP BY 1")
 def number_range(t):
     """A generated range as the complete axis of a histogram of the orders."""
     counts = t.orders.groupBy((F.col("o_orderkey") % 40).alias("k")).agg(F.count("*").alias("c"))
-    return t.spark.range(0, 20, 1).withColumnRenamed("id", "k").join(counts, "k", "left").select("k", F.coalesce("c", F.lit(0).cast("long")).alias("n"))
+    return t.spark.range(0, 40, 1).withColumnRenamed("id", "k").join(counts, "k", "left").select("k", F.coalesce("c", F.lit(0).cast("long")).alias("n"))
 
 
 @query("wl_23_file_tour", "WL-23", """
@@ -155,7 +153,7 @@ def file_tour(t):
     spark, root = t.spark, scratch(t.spark, "tour")
     t.nation.write.parquet(f"{root}/dir1")
     t.nation.write.parquet(f"{root}/dir1/dir2")
-    bad = t.region.limit(1).select(F.lit('{"file":"corrupt"}').alias("value"))
+    bad = t.spark.range(1).select(F.lit('{"file":"corrupt"}').alias("value"))
     bad.write.text(f"{root}/mixed")
     t.nation.write.mode("append").parquet(f"{root}/mixed")
     t.region.select(F.lit(1).alias("one"), F.to_json(F.struct("*")).alias("value")).groupBy("one").agg(F.array_join(F.sort_array(F.collect_list("value")), ",\n").alias("v")).select(F.concat(F.lit("[\n"), "v", F.lit("\n]")).alias("value")).write.option("lineSep", "\n").text(f"{root}/multi")

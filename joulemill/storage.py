@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BROADCAST_BYTES = 32 << 20
+FILE_BYTES = 128 << 20  # of a bucket's file, about
 SCRATCH: list[str] = []  # paths that this process has handed out and not yet released
 
 
@@ -45,8 +46,34 @@ def checked_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcast hint behind a check of the planner's size estimate, without a job; beyond the bound the planner chooses.
 
     The estimate never falls below the files read for the columns in use, so data that grow leave the hint behind."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return F.broadcast(df) if size <= most else df
+    return F.broadcast(df) if estimated_bytes(df) <= most else df
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's size estimate of ``df``, without a job."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def gathered(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows brought together by ``keys`` before a partitioned write, so that a value's rows are in few files.
+
+    Sizes are taken from the data: adaptive execution splits a common value over tasks of the advisory partition size and joins rare values."""
+    return df.hint("rebalance", *[F.col(k) for k in keys])
+
+
+def bucket_number(*tables: DataFrame, target: int = FILE_BYTES) -> int:
+    """Number of buckets, a power of two, at which the largest table's buckets hold about ``target`` bytes, by the planner's estimate.
+
+    Tables that are joined take one number; with powers of two, tables bucketed at different times still match, as buckets can be joined."""
+    size = max(estimated_bytes(df) for df in tables)
+    return 1 << max(0, (-(-size // target) - 1).bit_length())
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Saves ``df`` as table ``name``, bucketed and sorted by ``key``. Rows are gathered per bucket first, so that a bucket is one file and not one for
+    each task that holds some of its rows."""
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def release(spark: SparkSession) -> None:

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from joulemill.carbon import accounting as acc
+from joulemill.operators.exact import exact_sum
 from joulemill.registry import query
-from joulemill.storage import cut, scratch
+from joulemill.storage import cut, gathered, scratch
 from joulemill.streaming import sessions
-from joulemill.streaming.run import completed, drain, drain_batches, event_stream, table_stream, upserted
+from joulemill.streaming.models import learned, version
+from joulemill.streaming.panes import window_reduce
+from joulemill.streaming.run import completed, drain, drain_batches, drain_numbers, drain_until_idle, event_stream, table_stream, upserted
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 CONV_WORDS = r"(SELECT unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS word FROM conversations)"
@@ -40,6 +43,20 @@ def sliding_counts(t):
     return out.filter("word <> 'end'").select(F.date_format("start", STAMP).alias("start"), "word", "n")
 
 
+@query("ds_03_window_reduce", "DS-03 ST-14", f"SELECT strftime(b - to_hours(2 * i), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(fsum(value), 4) AS total {SLIDE} GROUP BY ALL")
+def reduce_by_window(t):
+    """Totals per event type over six hours, every two hours: the entering pane is added, the leaving one subtracted."""
+    out = drain(window_reduce(event_stream(t, delay=None), "10 minutes", ["event_type"], {"total": F.col("value")}, 6 * 3_600_000, 2 * 3_600_000))
+    return out.filter("event_type <> 'end'").select(F.date_format("start", STAMP).alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("ds_03_count_by_value", "DS-03", f"SELECT strftime(b - to_hours(2 * i), '%Y-%m-%d %H:%M:%S') AS start, floor(value / 20)::BIGINT AS value, count(*) AS n {SLIDE} GROUP BY ALL")
+def count_by_value_and_window(t):
+    stream = event_stream(t, delay=None).select("ts", F.when(F.col("user_id") >= 0, F.floor(F.col("value") / 20)).otherwise(-99).cast("long").alias("value"))
+    out = drain(window_reduce(stream, "10 minutes", ["value"], {}, 6 * 3_600_000, 2 * 3_600_000))
+    return out.filter("value <> -99").select(F.date_format("start", STAMP).alias("start"), "value", "n")
+
+
 SESSIONS = """WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 1800000000 THEN 0 ELSE 1 END AS new FROM events),
 i AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g),
 s AS (SELECT user_id, min(ts) AS a, max(ts) AS z, count(*) AS n FROM i GROUP BY user_id, sid)"""
@@ -62,6 +79,14 @@ def session_state(t):
     return drain(sessions.gap_sessions(event_stream(t, delay=None), "user_id", 1_800_000, "10 minutes")).filter("user_id >= 0")
 
 
+@query("st_04_processing_timeout", "ST-04 STM-20 STM-21", """WITH m AS (SELECT user_id, epoch_us(ts) // 1000 AS ms FROM events),
+g AS (SELECT user_id, ms, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms) < 1800000 THEN 0 ELSE 1 END AS new FROM m), i AS (SELECT user_id, ms, sum(new) OVER (PARTITION BY user_id ORDER BY ms ROWS UNBOUNDED PRECEDING) AS sid FROM g)
+SELECT user_id, min(ms) AS start_ms, max(ms) AS end_ms, count(*) AS n, max(ms) + 2400000 > max(max(ms)) OVER (PARTITION BY user_id) AS timed_out FROM i GROUP BY user_id, sid""")
+def processing_timeout(t):
+    """Sessions closed by later events, and those that only a timer of two seconds without input closes."""
+    return drain_until_idle(sessions.idle_sessions(table_stream(t, "events"), "user_id", 1_800_000, 600_000, 2_000))
+
+
 @query("st_05_two_condition_sessions", "ST-05", """
 WITH g AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER w AS p, lag(event_type) OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts), event_id)),
 i AS (SELECT *, sum(CASE WHEN p IS NULL OR us - p >= 1800000000 OR k = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM g),
@@ -78,15 +103,17 @@ SCORES = r"""scores AS (SELECT word, sum(CASE WHEN quality = 1 THEN 1 ELSE -1 EN
 @query("st_07_weighted_words", "ST-07 DS-05 JN-16", f"""
 WITH {SCORES}, c AS (SELECT word, count(*) AS n FROM {CONV_WORDS} WHERE word <> '' GROUP BY 1) SELECT word, n * score AS weight FROM c JOIN scores USING (word) ORDER BY weight DESC, word LIMIT 5""")
 def weighted_words(t):
-    """Stream joined with a static word table (its scores come from the labelled documents): top five per batch."""
+    """Stream joined with a static word table (its scores come from the labelled documents); weights add up over the batches, and the report takes the
+    top five of the totals, however the stream was cut into batches."""
     w = t.documents.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("word")).filter("word <> ''")
     scores = cut(w.join(t.labels, "doc_id").groupBy("word").agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(-1)).alias("score")), "scores")
 
-    def top(batch):
+    def weigh(batch):
         counts = batch.groupBy("word").agg(F.count("*").alias("n"))
-        return counts.join(scores, "word").select("word", (F.col("n") * F.col("score")).alias("weight")).orderBy(F.desc("weight"), "word").limit(5)
+        return counts.join(scores, "word").select("word", (F.col("n") * F.col("score")).alias("weight"))
 
-    return drain_batches(word_stream(t), "append", top).drop("batch")
+    totals = drain_batches(word_stream(t), "append", weigh).groupBy("word").agg(F.sum("weight").alias("weight"))
+    return totals.orderBy(F.desc("weight"), "word").limit(5)
 
 
 @query("st_08_initial_state", "ST-08", f"SELECT word, count(*) AS n FROM (SELECT word FROM {CONV_WORDS} WHERE word <> '' UNION ALL SELECT unnest(string_split(p_name, ' ')) FROM part) GROUP BY 1")
@@ -126,6 +153,28 @@ def sql_per_batch(t):
     return rows.groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
 
 
+@query("st_11_queue_of_batches", "ST-11 ST-21", "SELECT o_orderkey % 10 AS remainder, count(*) AS n, 5 AS batches FROM orders GROUP BY 1")
+def queue_of_batches(t):
+    """Five files of keys arrive; a trigger takes one of them, and every batch is counted by its remainder of ten."""
+    source = scratch(t.spark, "queue")
+    t.orders.select("o_orderkey").repartition(5).write.parquet(source)
+    stream = t.spark.readStream.schema("o_orderkey long").option("maxFilesPerTrigger", 1).parquet(source)
+    counts = drain_batches(stream, "append", lambda b: b.groupBy((F.col("o_orderkey") % 10).alias("remainder")).agg(F.count("*").alias("n")))
+    batches = counts.agg(F.count_distinct("batch").cast("int").alias("batches"))  # one row
+    return counts.groupBy("remainder").agg(F.sum("n").alias("n")).crossJoin(F.broadcast(batches))
+
+
+@query("st_21_rate_lookup", "ST-21", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def rate_lookup(t):
+    """The generated source stands in for a message queue: its numbers are order keys, which each batch looks up in the table."""
+    orders = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    most = orders.agg(F.max("o_orderkey")).first()[0] or 0
+    stream = t.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", most // 3 + 1).load()
+    found = stream.join(orders, stream.value == orders.o_orderkey).select("o_orderkey", "o_orderstatus", "o_totalprice")
+    rows = drain_numbers(found, most // 3 + 1, most)
+    return rows.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 @query("st_15_error_rate", "ST-15", f"""
 SELECT strftime(b - to_hours(2 * i), '%Y-%m-%d %H:%M:%S') AS start, user_id % 5 AS zone, round(avg((event_type = 'error')::INT), 6) AS rate, avg((event_type = 'error')::INT) > 0.25 AS flagged {SLIDE} GROUP BY ALL""")
 def error_rate(t):
@@ -147,7 +196,7 @@ def active_users(t):
 def known_users(t):
     known = t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"), "c_name")
     seen = table_stream(t, "events").select("user_id").join(known, "user_id")
-    return drain_batches(seen, "append", lambda b: b.distinct().orderBy("user_id").limit(10)).drop("batch")
+    return drain_batches(seen, "append", lambda b: b.distinct()).select("user_id", "c_name").distinct().orderBy("user_id").limit(10)
 
 
 def student_p(t_value, df):
@@ -209,61 +258,98 @@ def welch(stream, peace, window=None):
     return stat.withColumn("p", p_value("t", "df")).select("n", F.round("t", 6).alias("t"), F.round("df", 3).alias("df"), F.col("p").between(0, 1).alias("p_valid"))
 
 
-@query("st_19_streaming_kmeans", "ST-19")
-def streaming_kmeans(t):
-    """Centres move with every batch: old weight decays, the batch adds its sums (one partial sum per Arrow batch)."""
-    k, decay = 4, 0.9
-    seed = t.embeddings.orderBy("vec_id").limit(k).collect()
-    model = {"c": np.array([r["embedding"] for r in seed], dtype=float), "w": np.zeros(k)}
-
-    def learn(batch, _):
-        def assign(batches, c=model["c"]):
-            for b in batches:
+K, DECAY = 4, 0.9
+NEAREST = f"""seeds AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS centre, embedding::DOUBLE[] AS place FROM embeddings QUALIFY centre < {K}),
+near AS (SELECT vec_id, any_value(e.embedding::DOUBLE[]) AS v, arg_min(centre, (list_distance(e.embedding::DOUBLE[], place), centre)) AS centre FROM embeddings e CROSS JOIN seeds GROUP BY vec_id),
+sums AS (SELECT centre, d, sum(x) AS s, count(*) AS n FROM (SELECT centre, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM near) GROUP BY ALL),
+moved AS (SELECT a.centre, d, coalesce(s / n, x) AS x, coalesce(n, 0) AS n FROM (SELECT centre, unnest(place) AS x, generate_subscripts(place, 1) AS d FROM seeds) a LEFT JOIN sums USING (centre, d))"""
+
+
+def first_centres(vectors, k):
+    """The k rows with the smallest ids, without weight."""
+    rows = vectors.orderBy("vec_id").limit(k).select(F.col("embedding").cast("array<double>").alias("place")).collect()
+    return vectors.sparkSession.createDataFrame([(i, 0.0, r["place"]) for i, r in enumerate(rows)], "centre int, weight double, place array<double>")
+
+
+def move_centres(model, batch, decay=DECAY):
+    """Old weights decay, the batch adds its sums: one partial sum per partition, added exactly, so that a repeated batch gives the same bits."""
+    rows = sorted(model.collect())  # k rows
+    if not rows:
+        return model
+    numbers, places = [r["centre"] for r in rows], np.array([r["place"] for r in rows])
+
+    def assign(batches):
+        total, count = np.zeros_like(places), np.zeros(len(places), dtype=int)
+        for b in batches:
+            if b.num_rows:
                 x = np.stack(b.column(0).to_numpy(zero_copy_only=False)).astype(float)
-                near = ((x[:, None, :] - c[None]) ** 2).sum(2).argmin(1)
-                for i in np.unique(near):
-                    part = x[near == i]
-                    yield pa.RecordBatch.from_pydict({"c": pa.array([int(i)] * x.shape[1], pa.int32()), "d": pa.array(range(x.shape[1]), pa.int32()), "s": part.sum(0), "n": pa.array([len(part)] * x.shape[1], pa.int64())})
-
-        sums = batch.select("embedding").mapInArrow(assign, "c int, d int, s double, n long").groupBy("c", "d").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
-        total, count = np.zeros_like(model["c"]), np.zeros(k)
-        for r in sums:
-            total[r["c"], r["d"]], count[r["c"]] = r["s"], r["n"]
-        old = model["w"] * decay
-        grown = old + count
-        hit = grown > 0
-        model["c"][hit] = (model["c"][hit] * old[hit, None] + total[hit]) / grown[hit, None]
-        model["w"] = grown
-
-    path = scratch(t.spark, "kmeans")
-    table_stream(t, "embeddings").writeStream.foreachBatch(learn).option("checkpointLocation", path).trigger(availableNow=True).start().awaitTermination()
-    rows = [(i, float(w), float(np.linalg.norm(c))) for i, (c, w) in enumerate(zip(model["c"], model["w"]))]
-    return t.spark.createDataFrame(rows, "centre int, weight double, norm double")
-
-
-@query("st_20_streaming_regression", "ST-20")
+                near = ((x[:, None, :] - places[None]) ** 2).sum(2).argmin(1)
+                np.add.at(total, near, x)
+                np.add.at(count, near, 1)
+        for i in np.flatnonzero(count):
+            yield pa.RecordBatch.from_pydict({"centre": pa.array([numbers[i]] * total.shape[1], pa.int32()), "d": pa.array(range(total.shape[1]), pa.int32()), "s": total[i], "n": pa.array([count[i]] * total.shape[1], pa.int64())})
+
+    sums = batch.select("embedding").mapInArrow(assign, "centre int, d int, s double, n long").groupBy("centre", "d").agg(exact_sum("s").alias("s"), F.sum("n").alias("n"))
+    old = model.select("centre", "weight", F.posexplode("place").alias("d", "x")).join(sums, ["centre", "d"], "left")
+    held, n = F.col("weight") * decay, F.coalesce("n", F.lit(0))
+    moved = old.withColumn("x", F.when(held + n > 0, (F.col("x") * held + F.coalesce("s", F.lit(0.0))) / (held + n)).otherwise(F.col("x"))).withColumn("weight", held + n)
+    return moved.groupBy("centre").agg(F.max("weight").alias("weight"), F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda p: p["x"]).alias("place"))
+
+
+@query("st_19_streaming_kmeans", "ST-19", f"WITH {NEAREST} SELECT centre::INTEGER AS centre, any_value(n)::DOUBLE AS weight, round(sqrt(sum(x * x)), 6) AS norm FROM moved GROUP BY 1")
+def streaming_kmeans(t):
+    """Centres move with every batch; version b of the model is the table that batch b has written."""
+    first = first_centres(t.embeddings, K)
+    root, last = learned(table_stream(t, "embeddings"), first, move_centres)
+    norm = F.sqrt(F.aggregate("place", F.lit(0.0), lambda a, x: a + x * x))
+    return version(t.spark, root, last, first.schema).select("centre", "weight", F.round(norm, 6).alias("norm"))
+
+
+STEPS, RATES = 10, (0.5, 1.0)
+DESCENT = ",\n".join(["""p AS MATERIALIZED (SELECT (l_quantity - 25.5) / 14.4 AS x, l_extendedprice / 50000 - 1 AS y, (l_extendedprice > 40000)::INTEGER::DOUBLE AS z FROM lineitem),
+w0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c, 0.0::DOUBLE AS d)""", *[f"""w{i + 1} AS MATERIALIZED (SELECT any_value(a) - {RATES[0]} * sum(a + b * x - y) / count(*) AS a, any_value(b) - {RATES[0]} * sum((a + b * x - y) * x) / count(*) AS b,
+any_value(c) - {RATES[1]} * sum(1 / (1 + exp(-(c + d * x))) - z) / count(*) AS c, any_value(d) - {RATES[1]} * sum((1 / (1 + exp(-(c + d * x))) - z) * x) / count(*) AS d FROM p CROSS JOIN w{i})""" for i in range(STEPS)]])
+
+
+def descend(model, batch, steps=STEPS):
+    """Gradient steps of a linear and a logistic model on the batch; each step is one small exact aggregate."""
+    spark = batch.sparkSession
+    x = (F.col("l_quantity") - 25.5) / 14.4
+    points = cut(batch.select(x.alias("x"), (F.col("l_extendedprice") / 50000 - 1).alias("y"), (F.col("l_extendedprice") > 40000).cast("double").alias("z")).dropna(), "points")
+    w = {r["model"]: (r["intercept"], r["slope"]) for r in model.collect()}  # two rows
+    for _ in range(steps):
+        (a, b), (c, d) = w["linear"], w["logistic"]
+        miss = F.lit(a) + F.lit(b) * F.col("x") - F.col("y")
+        off = 1 / (1 + F.exp(-(F.lit(c) + F.lit(d) * F.col("x")))) - F.col("z")
+        g = points.agg(F.count("*"), *[exact_sum(m) for m in (miss, miss * F.col("x"), off, off * F.col("x"))]).first()
+        if not g[0]:
+            break
+        w = {"linear": (a - RATES[0] * g[1] / g[0], b - RATES[0] * g[2] / g[0]), "logistic": (c - RATES[1] * g[3] / g[0], d - RATES[1] * g[4] / g[0])}
+    return spark.createDataFrame([(k, *v) for k, v in w.items()], "model string, intercept double, slope double")
+
+
+@query("st_20_streaming_regression", "ST-20", f"WITH {DESCENT} SELECT 'linear' AS model, round(a, 6) AS intercept, round(b, 6) AS slope FROM w{STEPS} UNION ALL SELECT 'logistic', round(c, 6), round(d, 6) FROM w{STEPS}")
 def streaming_regression(t):
-    """Linear and logistic models updated batch by batch with gradient steps; each step is one small aggregate."""
-    models = {"linear": np.zeros(2), "logistic": np.zeros(2)}
-
-    def learn(batch, _):
-        x = (F.col("l_quantity") - 25.5) / 14.4
-        b = batch.select(x.alias("x"), (F.col("l_extendedprice") / 50000 - 1).alias("y"), (F.col("l_extendedprice") > 40000).cast("double").alias("z"))
-        b = cut(b, "points")
-        n = b.count()
-        if not n:
-            return
-        for _step in range(10):
-            a, c = models["linear"], models["logistic"]
-            miss = F.lit(float(a[0])) + F.lit(float(a[1])) * F.col("x") - F.col("y")
-            prob = 1 / (1 + F.exp(-(F.lit(float(c[0])) + F.lit(float(c[1])) * F.col("x")))) - F.col("z")
-            g = b.agg(F.sum(miss), F.sum(miss * F.col("x")), F.sum(prob), F.sum(prob * F.col("x"))).first()
-            models["linear"] = a - 0.5 * np.array([g[0], g[1]]) / n
-            models["logistic"] = c - 1.0 * np.array([g[2], g[3]]) / n
-
-    table_stream(t, "lineitem").select("l_quantity", "l_extendedprice").writeStream.foreachBatch(learn).option(
-        "checkpointLocation", scratch(t.spark, "regression")).trigger(availableNow=True).start().awaitTermination()
-    return t.spark.createDataFrame([(k, float(w[0]), float(w[1])) for k, w in models.items()], "model string, intercept double, slope double")
+    first = t.spark.createDataFrame([("linear", 0.0, 0.0), ("logistic", 0.0, 0.0)], "model string, intercept double, slope double")
+    root, last = learned(table_stream(t, "lineitem").select("l_quantity", "l_extendedprice"), first, descend)
+    return version(t.spark, root, last, first.schema).select("model", F.round("intercept", 6).alias("intercept"), F.round("slope", 6).alias("slope"))
+
+
+@query("ds_07_text_slice", "DS-07", """
+SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events WHERE ts::DATE BETWEEN (SELECT min(ts)::DATE + 3 FROM events) AND (SELECT min(ts)::DATE + 9 FROM events) GROUP BY ALL""")
+def text_slice(t):
+    """Every batch is saved as text in a folder of its own, by day; a slice reads the days between two dates and no others."""
+    root = scratch(t.spark, "text")
+
+    def save(batch, number):
+        lines = batch.select(F.to_date("ts").alias("day"), F.concat_ws("|", F.date_format("ts", STAMP), "event_type", F.col("event_id").cast("string")).alias("value"))
+        gathered(lines, "day").write.mode("overwrite").partitionBy("day").text(f"{root}/events-{number}.txt")
+
+    table_stream(t, "events").writeStream.foreachBatch(save).option("checkpointLocation", root + "-state").trigger(availableNow=True).start().awaitTermination()
+    saved = t.spark.read.schema("value string, day date").option("basePath", root).option("recursiveFileLookup", False).text(f"{root}/events-*.txt")
+    first = t.events.agg(F.to_date(F.min("ts"))).first()[0]
+    between = saved.filter(F.col("day").between(F.date_add(F.lit(first), 3), F.date_add(F.lit(first), 9)))
+    return between.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), F.split_part("value", F.lit("|"), F.lit(2)).alias("event_type")).agg(F.count("*").alias("n"))
 
 
 @query("st_22_dedup", "ST-22 STM-02", "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY 1")
@@ -274,20 +360,52 @@ def dedup(t):
     return once.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
 
 
+def purchases_and_views(t):
+    """Two streams with watermarks and the condition that bounds the state of both: a purchase and the views of two hours before."""
+    p = event_stream(t).filter("event_type IN ('purchase', 'end')").select(F.col("event_id").alias("purchase"), F.col("user_id").alias("p_user"), F.col("ts").alias("p_ts"))
+    v = event_stream(t).filter("event_type IN ('view', 'end')").select(F.col("event_id").alias("seen"), F.col("user_id").alias("v_user"), F.col("ts").alias("v_ts"))
+    return p, v, F.expr("p_user = v_user AND v_ts BETWEEN p_ts - INTERVAL 2 HOURS AND p_ts")
+
+
+SIDES = """WITH p AS (SELECT event_id AS purchase, user_id, ts FROM events WHERE event_type = 'purchase'), v AS (SELECT event_id AS seen, user_id, ts FROM events WHERE event_type = 'view')"""
+NEAR = "p.user_id = v.user_id AND v.ts BETWEEN p.ts - INTERVAL 2 HOUR AND p.ts"
+
+
+def outer_rows(t, how):
+    """Rows of an outer stream join with -1 for the missing side. State of either side leaves with nulls when the watermark rules out a match; the
+    closing row of the streams has the id -1 itself and matches only its like."""
+    p, v, near = purchases_and_views(t)
+    both = drain(p.join(v, near, how).select(F.coalesce("purchase", F.lit(-2).cast("long")).alias("purchase"), F.coalesce("seen", F.lit(-2).cast("long")).alias("seen")))
+    rows = both.filter("purchase <> -1 AND seen <> -1")
+    return rows.select(F.lit(how).alias("how"), *[F.greatest(c, F.lit(-1).cast("long")).alias(c) for c in ("purchase", "seen")])
+
+
+@query("st_23_right_join", "ST-23 DS-04", f"{SIDES} SELECT 'right_outer' AS how, coalesce(purchase, -1) AS purchase, seen FROM p RIGHT JOIN v ON {NEAR}")
+def right_stream_join(t):
+    return outer_rows(t, "right_outer")
+
+
+@query("st_23_full_join", "ST-23 DS-04", f"{SIDES} SELECT 'full_outer' AS how, coalesce(purchase, -1) AS purchase, coalesce(seen, -1) AS seen FROM p FULL JOIN v ON {NEAR}")
+def full_stream_join(t):
+    return outer_rows(t, "full_outer")
+
+
+@query("st_23_semi_join", "ST-23 DS-04", f"{SIDES} SELECT purchase, user_id FROM p WHERE EXISTS (SELECT 1 FROM v WHERE {NEAR})")
+def semi_stream_join(t):
+    """Each purchase with at least one view in the two hours before it, once, however many views match and whichever side comes first."""
+    p, v, near = purchases_and_views(t)
+    return drain(p.join(v, near, "left_semi").select("purchase", F.col("p_user").alias("user_id"))).filter("purchase >= 0")
+
+
 @query("st_23_stream_join", "ST-23 DS-04 JN-16", """
 WITH p AS (SELECT event_id AS purchase, user_id, ts FROM events WHERE event_type = 'purchase'), v AS (SELECT event_id AS seen, user_id, ts FROM events WHERE event_type = 'view')
 SELECT 'inner' AS how, purchase, seen FROM p JOIN v ON p.user_id = v.user_id AND v.ts BETWEEN p.ts - INTERVAL 2 HOUR AND p.ts
 UNION ALL SELECT 'left_outer', purchase, coalesce(seen, -1) FROM p LEFT JOIN v ON p.user_id = v.user_id AND v.ts BETWEEN p.ts - INTERVAL 2 HOUR AND p.ts""")
 def stream_join(t):
     """Purchases with the views of the two hours before, with state bounded by both watermarks and the time range."""
-    def sides():
-        p = event_stream(t).filter("event_type IN ('purchase', 'end')").select(F.col("event_id").alias("purchase"), F.col("user_id").alias("p_user"), F.col("ts").alias("p_ts"))
-        v = event_stream(t).filter("event_type IN ('view', 'end')").select(F.col("event_id").alias("seen"), F.col("user_id").alias("v_user"), F.col("ts").alias("v_ts"))
-        return p, v, F.expr("p_user = v_user AND v_ts BETWEEN p_ts - INTERVAL 2 HOURS AND p_ts")
-
     out = None
     for how in ("inner", "left_outer"):
-        p, v, near = sides()
+        p, v, near = purchases_and_views(t)
         part = drain(p.join(v, near, how).select(F.lit(how).alias("how"), "purchase", F.coalesce("seen", F.lit(-1).cast("long")).alias("seen"))).filter("purchase >= 0")
         out = part if out is None else out.union(part)
     return out
@@ -305,7 +423,7 @@ o AS (SELECT min(ts) AS t0 FROM events) SELECT user_id AS job_id, count(*) AS sa
 def running_carbon(t):
     """The poll loop as a stream: samples meet the trace table, a running sum per job is upserted batch by batch."""
     priced = acc.price(acc.samples(table_stream(t, "events")), acc.hourly_trace(t.events))
-    totals = priced.groupBy("job_id").agg(F.count("*").alias("samples"), (F.sum("ci") / 60).alias("carbon"))
+    totals = priced.groupBy("job_id").agg(F.count("*").alias("samples"), (exact_sum("ci") / 60).alias("carbon"))
     return upserted(totals, ["job_id"]).select("job_id", "samples", F.round("carbon", 6).alias("carbon"))
 
 
@@ -387,4 +505,4 @@ def foreach_listener(t):
         reported = sum(p["numInputRows"] for p in q.recentProgress)
     finally:
         spark.streams.removeListener(watch)
-    return t.region.limit(1).select(F.lit(reported).cast("long").alias("input_rows"), F.lit(not spark.streams.active or q not in spark.streams.active).alias("one_query"))
+    return t.spark.range(1).select(F.lit(reported).cast("long").alias("input_rows"), F.lit(not spark.streams.active or q not in spark.streams.active).alias("one_query"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from contextlib import contextmanager
 
@@ -60,6 +61,55 @@ def drain(df: DataFrame, label: str = "sink") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drain_until_idle(df: DataFrame, label: str = "sink", limit_s: float = 1800.0) -> DataFrame:
+    """Run an append-mode query with processing-time timers until all input is read and its state is empty.
+
+    Triggers go on without input, which is what lets timers run out. Raises when state is left after ``limit_s`` seconds."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, label)
+    with state_partitions(spark):
+        q = df.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", path + "-state").trigger(processingTime="200 milliseconds").start()
+        try:
+            end = time.monotonic() + limit_s
+            while not _idle(q):
+                if q.exception():
+                    raise q.exception()
+                if time.monotonic() > end:
+                    raise TimeoutError(f"state is left after {limit_s} seconds")
+                time.sleep(0.1)
+        finally:
+            q.stop()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drain_numbers(df: DataFrame, per_batch: int, last: int, label: str = "numbers", limit_s: float = 1800.0) -> DataFrame:
+    """Run a query on a source that counts from 0 by ``per_batch`` numbers a batch until the batch that holds ``last`` is committed."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, label)
+    needed = last // per_batch
+
+    def write(batch: DataFrame, number: int) -> None:
+        if number <= needed:
+            batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    with state_partitions(spark):
+        q = df.writeStream.foreachBatch(write).option("checkpointLocation", path + "-state").trigger(processingTime="100 milliseconds").start()
+        try:
+            end = time.monotonic() + limit_s
+            while not (q.lastProgress and q.lastProgress["batchId"] >= needed):
+                if q.exception():
+                    raise q.exception()
+                if time.monotonic() > end:
+                    raise TimeoutError(f"batch {needed} is not done after {limit_s} seconds")
+                time.sleep(0.1)
+        finally:
+            q.stop()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _idle(q) -> bool:
+    last = q.lastProgress
+    return last is not None and last["batchId"] > 0 and last["numInputRows"] == 0 and not any(s["numRowsTotal"] for s in last["stateOperators"])
+
+
 def drain_batches(df: DataFrame, mode: str, prepare: Callable[[DataFrame], DataFrame] | None = None, label: str = "batches") -> DataFrame:
     """Run a query and keep every batch in its own folder, so a repeated batch replaces itself.
 

@@ -12,12 +12,8 @@ from joulemill.operators.ordered import framed, running
 from joulemill.storage import cut, scratch
 
 
-def gap_sessions(events: DataFrame, key: str, gap_ms: int, delay: str) -> DataFrame:
-    """Sessions by inactivity with hand-kept state and event-time timeouts (append mode).
-
-    Events of a key (with ``ts``, no watermark yet) are folded into (start, end, count) intervals batch by
-    batch before the shuffle, so a hot key ships intervals; its state is its open sessions, not its events.
-    """
+def shrunk(events: DataFrame, key: str, gap_ms: int) -> DataFrame:
+    """(key, ts, start_ms, end_ms, n): events of a key folded into intervals within each input batch, so a hot key ships intervals."""
     def shrink(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if pdf.empty:
@@ -28,32 +24,73 @@ def gap_sessions(events: DataFrame, key: str, gap_ms: int, delay: str) -> DataFr
             last = np.r_[new[1:] - 1, len(ms) - 1]
             yield pd.DataFrame({key: k[new], "ts": pd.to_datetime(ms[last], unit="ms"), "start_ms": ms[new], "end_ms": ms[last], "n": last - new + 1})
 
-    def fold(parts):
-        out: list[list[int]] = []
-        for s, e, n in sorted(parts):
-            if out and s - out[-1][1] < gap_ms:
-                out[-1][1], out[-1][2] = max(out[-1][1], int(e)), out[-1][2] + int(n)
-            else:
-                out.append([int(s), int(e), int(n)])
-        return out
+    return events.select(key, F.unix_millis("ts").alias("ms")).mapInPandas(shrink, f"{key} long, ts timestamp, start_ms long, end_ms long, n long")
+
+
+HELD = "starts array<long>, ends array<long>, counts array<long>"
+
+
+def fold(held, chunks: Iterator[pd.DataFrame], gap_ms: int) -> list[list[int]]:
+    """Open sessions of a key (start, end, count) with the new intervals merged in."""
+    parts = [*map(tuple, held)]
+    for pdf in chunks:
+        parts += zip(pdf["start_ms"], pdf["end_ms"], pdf["n"])
+    out: list[list[int]] = []
+    for s, e, n in sorted(parts):
+        if out and s - out[-1][1] < gap_ms:
+            out[-1][1], out[-1][2] = max(out[-1][1], int(e)), out[-1][2] + int(n)
+        else:
+            out.append([int(s), int(e), int(n)])
+    return out
+
+
+def hold(state, sessions: list[list[int]]) -> None:
+    state.update(tuple([int(v) for v in column] for column in zip(*sessions)))
+
 
+def gap_sessions(events: DataFrame, key: str, gap_ms: int, delay: str) -> DataFrame:
+    """Sessions by inactivity with hand-kept state and event-time timeouts (append mode).
+
+    Events of a key (with ``ts``, no watermark yet) are folded before the shuffle; a key's state is its open sessions, not its events.
+    """
     def step(k, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get)) if state.exists else []
-        for pdf in chunks:
-            held = fold([*map(tuple, held), *zip(pdf["start_ms"], pdf["end_ms"], pdf["n"])])
+        held = fold(zip(*state.get) if state.exists else [], chunks, gap_ms)
         mark = state.getCurrentWatermarkMs()
         done = [h for h in held if h[1] + gap_ms <= mark]
         left = [h for h in held if h[1] + gap_ms > mark]
         if left:
-            state.update(tuple([int(v) for v in column] for column in zip(*left)))
+            hold(state, left)
             state.setTimeoutTimestamp(min(h[1] for h in left) + gap_ms)
         elif state.exists:
             state.remove()
         yield pd.DataFrame({key: [k[0]] * len(done), "start_ms": [h[0] for h in done], "end_ms": [h[1] for h in done], "n": [h[2] for h in done]})
 
-    small = events.select(key, F.unix_millis("ts").alias("ms")).mapInPandas(shrink, f"{key} long, ts timestamp, start_ms long, end_ms long, n long")
-    return small.withWatermark("ts", delay).groupBy(key).applyInPandasWithState(
-        step, f"{key} long, start_ms long, end_ms long, n long", "starts array<long>, ends array<long>, counts array<long>", "append", "EventTimeTimeout")
+    return shrunk(events, key, gap_ms).withWatermark("ts", delay).groupBy(key).applyInPandasWithState(
+        step, f"{key} long, start_ms long, end_ms long, n long", HELD, "append", "EventTimeTimeout")
+
+
+def idle_sessions(events: DataFrame, key: str, gap_ms: int, late_ms: int, idle_ms: int) -> DataFrame:
+    """Sessions by inactivity that come out when a key has been quiet for ``idle_ms`` of processing time (append mode).
+
+    A session that lies ``late_ms`` beyond the gap behind the key's newest event is final at once (``timed_out`` false). The others stay in the
+    state, and every input of the key sets its timer anew; when the timer runs out they come out without any new row, and the state is removed.
+    """
+    def step(k, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = [list(h) for h in zip(*state.get)] if state.exists else []
+        timed_out = state.hasTimedOut
+        if timed_out:
+            done = held
+            state.remove()
+        else:
+            held = fold(held, chunks, gap_ms)
+            final = held[-1][1] - gap_ms - late_ms
+            done = [h for h in held if h[1] <= final]
+            hold(state, held[len(done):])
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame({key: [k[0]] * len(done), "start_ms": [h[0] for h in done], "end_ms": [h[1] for h in done], "n": [h[2] for h in done], "timed_out": [timed_out] * len(done)})
+
+    return shrunk(events, key, gap_ms).groupBy(key).applyInPandasWithState(
+        step, f"{key} long, start_ms long, end_ms long, n long, timed_out boolean", HELD, "append", "ProcessingTimeTimeout")
 
 
 def number_sessions(events: DataFrame, gap_us: int, closing: str) -> DataFrame:

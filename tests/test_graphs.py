@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from joulemill.plans import graphs
 
@@ -88,3 +89,70 @@ def test_pagerank_settles(spark, pairs):
                 new[d] = new.get(d, 0.0) + a[s] / len(ds)
     new = {k: 0.15 + 0.85 * v for k, v in new.items()}
     assert new.keys() == a.keys() and all(abs(new[k] - a[k]) < 1e-4 for k in a)
+
+
+def test_shortest_paths_in_bands(spark):
+    """Equal to Dijkstra at several band widths, with zero weights, repeated edges, unreachable vertices and null ends."""
+    import heapq
+
+    draw = random.Random(6)
+    edges = [(draw.randrange(30), draw.randrange(30), float(draw.choice([0, 1, 2, 5, 13]))) for _ in range(90)] + [(0, 1, 4.0), (0, 1, 9.0), (70, 71, 1.0), (None, 3, 1.0), (3, None, 1.0), (3, 4, None)]
+    out = {}
+    for a, b, w in edges:
+        if None not in (a, b, w):
+            out.setdefault(a, []).append((b, w))
+    best, heap = {}, [(0.0, 0)]
+    while heap:
+        d, v = heapq.heappop(heap)
+        if v not in best:
+            best[v] = d
+            for b, w in out.get(v, []):
+                heapq.heappush(heap, (d + w, b))
+    df = spark.createDataFrame(edges, "src long, dst long, w double")
+    for delta in (None, 1000.0):
+        assert {r["id"]: r["dist"] for r in graphs.shortest_paths(df, 0, delta=delta).collect()} == best
+    with pytest.raises(ValueError):
+        graphs.shortest_paths(spark.createDataFrame([(0, 1, -1.0)], "src long, dst long, w double"), 0)
+    assert [tuple(r) for r in graphs.shortest_paths(df.limit(0), 5).collect()] == [(5, 0.0)]
+
+
+def test_rounds_of_a_long_path_write_what_they_improve(spark, monkeypatch):
+    plain = graphs.cut
+    df = spark.range(9).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("w"))
+    rounds = []
+    monkeypatch.setattr(graphs, "cut", lambda df, label="cut": rounds.append((label, x := plain(df, label), x.count())) or x)
+    found = {r["id"]: r["dist"] for r in graphs.shortest_paths(df, 0, delta=4.0).collect()}
+    assert found == {i: float(i) for i in range(10)}
+    assert all(n <= 1 for label, _, n in rounds if label == "improved")
+
+
+def test_ranks_satisfy_their_equation(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 1), (4, 3), (5, 5), (6, 7)], "src long, dst long")
+    got = {r["id"]: (r["rank"], r["residual"]) for r in graphs.pagerank_to_tolerance(edges, 1e-3).collect()}
+    out = {1: [2, 3], 2: [3], 3: [1], 4: [3], 5: [5], 6: [7]}
+    for v, (rank, residual) in got.items():
+        sent = sum(got[s][0] / len(ds) for s, ds in out.items() if v in ds)
+        assert 0 <= residual <= 1e-3 and abs(0.15 + 0.85 * sent - rank - residual) < 1e-12
+    with pytest.raises(RuntimeError):
+        graphs.pagerank_to_tolerance(edges, 1e-3, most=3)
+
+
+def test_kmeans_bounds_and_limit(spark):
+    import numpy as np
+
+    from joulemill.plans.workloads import apart, kmeans, nearest
+
+    draw = np.random.default_rng(8)
+    places = draw.normal(size=(6, 5)) * 4
+    x = places[draw.integers(0, 6, 600)] + draw.normal(size=(600, 5)) * 0.3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    centres = kmeans(df, 6, tolerance=0.0)
+    near, best, measured = nearest(x, centres, apart(x, x[:6]), apart(centres, x[:6]))
+    every = ((x[:, None] - centres[None]) ** 2).sum(2)
+    assert (near == every.argmin(1)).all() and np.allclose(best, every.min(1)) and measured < 0.6 * every.size
+    for i in range(6):
+        if (near == i).any():
+            assert np.allclose(centres[i], x[near == i].mean(axis=0))
+    with pytest.raises(RuntimeError):
+        kmeans(df, 6, tolerance=0.0, most=1)
+    assert len(kmeans(df.limit(0), 3)) == 0

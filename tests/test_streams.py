@@ -78,3 +78,105 @@ def test_significance_takes_every_batch(spark, monkeypatch):
     monkeypatch.setattr(queries, "table_stream", lambda t, name: None)
     monkeypatch.setattr(queries, "drain_batches", lambda *_: rows)
     assert queries.significance(None).first()["n"] == 300 and queries.welch(None, 0, 10).first()["n"] == 200
+
+
+def test_windows_by_inverse_equal_recomputation(spark):
+    """Several batches, gaps longer than a window, a key without new rows, sums that would drift if floats were taken back."""
+    from collections import defaultdict
+
+    from joulemill.streaming.panes import window_reduce
+
+    rng = np.random.default_rng(1)
+    rows = sorted((int(s), int(k), float(v)) for s, k, v in zip(rng.integers(0, 3000, 300), rng.integers(0, 3, 300), rng.normal(size=300) * 10.0 ** rng.integers(-3, 8, 300)))
+    rows += [(9000, 1, 0.1), (9001, 1, 0.2), (9500, 2, 1e9)]
+    batches = [[(k, s, v) for s, k, v in rows[i : i + 60]] for i in range(0, len(rows), 60)] + [[(-1, 100_000, 0.0)]]
+    s = arrivals(spark, batches, "k long, sec long, x double").withColumn("ts", F.timestamp_seconds("sec"))
+    out = drain(window_reduce(s, "0 seconds", ["k"], {"total": F.col("x")}, 300_000, 100_000)).filter("k >= 0")
+    got = {(r["k"], int(r["start"].timestamp())): (r["n"], r["total"]) for r in out.select("k", F.col("start"), "n", "total").collect()}
+    want = defaultdict(list)
+    for sec, k, v in rows:
+        for i in range(3):
+            want[k, sec // 100 * 100 - 100 * i].append(v)
+    assert {k: v[0] for k, v in got.items()} == {k: len(v) for k, v in want.items()}
+    assert all(got[k][1] == pytest.approx(math.fsum(v), rel=1e-14, abs=1e-20) for k, v in want.items())
+    with pytest.raises(ValueError):
+        window_reduce(s, "0 seconds", ["k"], {}, 250_000, 100_000)
+
+
+def test_models_go_on_and_repeat(spark):
+    """Stop, restart and replay: versions of a model depend on their batch and the version before, and on nothing that a driver held."""
+    from joulemill.streaming.models import learned, version
+    from joulemill.streaming.queries import first_centres, move_centres
+
+    rng = np.random.default_rng(2)
+    source, schema = scratch(spark, "vectors"), "vec_id long, embedding array<double>"
+    batches = [[(b * 50 + i, v.tolist()) for i, v in enumerate(rng.normal(size=(50, 3)) + 3 * b)] for b in range(4)]
+
+    def arrive(some):
+        for b in some:
+            spark.createDataFrame(batches[b], schema).coalesce(1).write.mode("append").json(f"{source}/b={b}")
+
+    def run(root):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{source}/*")
+        return learned(stream, first, move_centres, root)
+
+    def model(root, number):
+        return sorted((r["centre"], r["weight"], tuple(r["place"])) for r in version(spark, root, number, first.schema).collect())
+
+    first = first_centres(spark.createDataFrame(batches[0], schema), 2)
+    arrive([0, 1])
+    root, last = run(scratch(spark, "model"))
+    assert last == 1
+    arrive([2, 3])
+    assert run(root) == (root, 3)  # goes on with batches 2 and 3
+    centres, weights = np.array([batches[0][i][1] for i in range(2)]), np.zeros(2)
+    for b in range(4):
+        x = np.array([v for _, v in batches[b]])
+        near = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        for c in range(2):
+            held, n = weights[c] * 0.9, (near == c).sum()
+            if held + n:
+                centres[c] = (centres[c] * held + x[near == c].sum(axis=0)) / (held + n)
+            weights[c] = held + n
+        got = model(root, b)
+        assert np.allclose([g[2] for g in got], centres) and np.allclose([g[1] for g in got], weights)
+    # a batch that runs a second time, after its model was written but before it was committed
+    before = model(root, 3)
+    batch = spark.read.schema(schema).json(f"{source}/b=3")
+    move_centres(version(spark, root, 2, first.schema), batch).write.mode("overwrite").parquet(f"{root}/model/3")
+    assert model(root, 3) == before
+    other, last = run(scratch(spark, "model"))
+    assert last == 3 and model(other, 3) == before
+
+
+def test_timer_alone_closes_sessions(spark):
+    from joulemill.streaming.run import drain_until_idle
+
+    stream = events(spark, [[(1, 1, 100, "x"), (1, 2, 104, "x"), (2, 3, 100, "x")], [(1, 4, 500, "x"), (1, 5, 505, "x")]])
+    got = sorted(tuple(r) for r in drain_until_idle(sessions.idle_sessions(stream, "user_id", 10_000, 60_000, 4_000), limit_s=120).collect())
+    assert got == [(1, 100_000, 104_000, 2, False), (1, 500_000, 505_000, 2, True), (2, 100_000, 100_000, 1, True)]
+
+
+def test_full_and_semi_stream_joins(spark):
+    """Left rows without a match, right rows without one, and a left row with several matches from both directions in time."""
+    def side(batches, names):
+        s = arrivals(spark, batches, f"{names[0]} long, {names[1]} long, sec long")
+        return s.select(names[0], names[1], F.timestamp_seconds("sec").alias(f"{names[1]}_ts")).withWatermark(f"{names[1]}_ts", "1 second")
+
+    def sides():
+        left = side([[(1, 7, 100), (2, 8, 100)], [(3, 7, 300)], [(-1, -1, 9000)]], ("a", "k"))
+        right = side([[(10, 7, 95), (11, 7, 99)], [(12, 7, 100), (13, 9, 300)], [(-1, -1, 9000)]], ("b", "j"))
+        return left, right, F.expr("k = j AND j_ts BETWEEN k_ts - INTERVAL 10 SECONDS AND k_ts")
+
+    left, right, near = sides()
+    full = {(r["a"], r["b"]) for r in drain(left.join(right, near, "full_outer").select("a", "b")).collect()}
+    assert full - {(-1, -1)} == {(1, 10), (1, 11), (1, 12), (2, None), (3, None), (None, 13)}
+    left, right, near = sides()
+    assert [r["a"] for r in drain(left.join(right, near, "left_semi").select("a")).collect() if r["a"] > 0] == [1]
+
+
+def test_triggers_are_checked(spark):
+    writer = arrivals(spark, [[(1,)]], "x long").writeStream
+    for wrong in ({"processingTime": ""}, {"processingTime": 5}, {"once": False}, {"availableNow": False}, {"continuous": ""}, {}, {"once": True, "availableNow": True}):
+        with pytest.raises(Exception):
+            writer.trigger(**wrong)
