@@ -1,8 +1,9 @@
 """Phrase collocations by stripes: a prefix keys a counter of its next words.
 
 Level k reads the texts and, for every prefix of k - 1 words, counts the word that follows. A partition merges its own stripes; Spark brings those
-of a prefix together and adds them element by element. A merged stripe gives the prefix's extensions with their counts, its total (what cannot
-become a candidate, and the ends of pieces, are lumped under no word) and the most frequent extension, which subsumes the prefix.
+of a prefix together and adds them element by element. The merged stripes give all that a phrase needs: the elements are the extensions of a
+prefix with their counts, the largest of them subsumes it, and its own total is its element in the stripe one level up. The empty prefix's
+stripe holds the words of a language, and its sum is their number.
 
 A phrase that occurs often enough consists of parts that do, so level k counts only extensions of frequent prefixes by which the last k - 1 words
 are frequent too. The frequent phrases of a level reach the tasks as a bit array over hashes, of bounded size; an error of it costs a count too
@@ -121,8 +122,8 @@ def stripes(words: Words, tokens: np.ndarray, own: np.ndarray, level: int, bits:
         number = {lang: i for i, lang in enumerate(names)}
         prefixes, nexts = np.array([number[words.langs[w]] for w in keys], dtype=np.int64), keys
     else:
-        at = np.flatnonzero(own[1:] & (phrase[:-1] >= 0)) + 1
-        keys, counts = np.unique(phrase[at - 1] << 32 | np.where(phrase[at] >= 0, tokens[at], 0), return_counts=True)
+        at = np.flatnonzero(own[1:] & (phrase[:-1] >= 0) & (phrase[1:] >= 0)) + 1
+        keys, counts = np.unique(phrase[at - 1] << 32 | tokens[at], return_counts=True)
         prefixes, nexts = keys >> 32, keys & 0xFFFFFFFF
     if not len(keys):
         return
@@ -180,14 +181,13 @@ def counted(batches: Iterator[pa.RecordBatch], level: int, bits: list[np.ndarray
         yield from stripes(words, np.concatenate(run), np.concatenate(own), level, bits, hot)
 
 
-def merged(docs: DataFrame, level: int, bits: list[np.ndarray], hot: dict[tuple[str, str], int], least: int) -> DataFrame:
-    """(lang, prefix, next, f): the elements of the merged stripes; those below ``least`` are lumped under next = ''."""
+def merged(docs: DataFrame, level: int, bits: list[np.ndarray], hot: dict[tuple[str, str], int]) -> DataFrame:
+    """(lang, prefix, segment, next, f): the elements of the merged stripes."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     found = docs.mapInArrow(lambda batches: counted(batches, level, shared.value, hot), STRIPE)
     together = found.repartition("lang", "prefix", "segment").select("lang", "prefix", "segment", F.inline(F.arrays_zip(F.col("next").alias("next"), F.col("counts").alias("counts"))))
     # The exchange above already brings equal keys together, so this sum needs none of its own.
-    sums = together.groupBy("lang", "prefix", "segment", "next").agg(F.sum("counts").alias("f"))
-    return sums.groupBy("lang", "prefix", F.when(F.col("f") >= least, F.col("next")).otherwise("").alias("next")).agg(F.sum("f").alias("f"))
+    return together.groupBy("lang", "prefix", "segment", "next").agg(F.sum("counts").alias("f"))
 
 
 def bit_array(phrases: DataFrame, n: int) -> np.ndarray:
@@ -226,27 +226,30 @@ def collocations(docs: DataFrame, least: int = LEAST, first: int = FIRST) -> Dat
     covers: list[DataFrame] = []
     n, share = None, 0
     for level in range(1, LONGEST + 1):
-        elements = cut(merged(texts, level, bits, hot, least), f"stripes{level}")
-        totals = elements.groupBy("lang", "prefix").agg(F.sum("f").alias("total"), F.max(F.when(F.col("next") != "", F.col("f"))).alias("most"))
+        elements = merged(texts, level, bits, hot)
+        if level == 1:
+            # The one stripe whose rare elements count: they are lumped under no word, so that what is written stays small.
+            kept = F.when(F.col("f") >= least, F.col("next")).otherwise("")
+            elements = elements.groupBy("lang", "prefix", kept.alias("next")).agg(F.sum("f").alias("f"))
+        else:
+            elements = elements.filter(F.col("f") >= least)
+        elements = cut(elements.select("lang", "prefix", "next", "f"), f"stripes{level}")
         found = elements.filter("next <> ''")
         if level == 1:
-            n = cut(totals.select("lang", F.col("total").alias("n")), "totals")
+            n = cut(elements.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
             share = max(1, -(-(n.agg(F.sum("n")).first()[0] or 0) // SEGMENTS))
             none = F.array().cast("array<long>")
             found = found.select("lang", F.col("next").alias("phrase"), "f", F.lit("").alias("suffix"), none.alias("ls"), none.alias("rs"))
         else:
             shorter = levels[-1]
-            if level == 2:
-                totals = totals.withColumn("ls", F.array("total"))
-            else:
-                totals = totals.join(shorter.select("lang", F.col("phrase").alias("prefix"), F.col("ls").alias("before")), ["lang", "prefix"]).withColumn("ls", F.concat("before", F.array("total")))
+            begins = shorter.select("lang", F.col("phrase").alias("prefix"), F.concat("ls", F.array("f")).alias("ls"))
             suffix = F.concat_ws(" ", F.substring_index("prefix", " ", -(level - 2)), "next") if level > 2 else F.col("next")
-            found = found.withColumn("suffix", suffix).join(totals.select("lang", "prefix", "ls"), ["lang", "prefix"])
+            found = found.withColumn("suffix", suffix).join(begins, ["lang", "prefix"])
             ends = shorter.select("lang", F.col("phrase").alias("suffix"), F.concat(F.array("f"), "rs").alias("rs"))
             found = found.join(ends, ["lang", "suffix"]).select("lang", F.concat_ws(" ", "prefix", "next").alias("phrase"), "f", "suffix", "ls", "rs")
         levels.append(cut(found, f"phrases{level}"))
         if level > 2:
-            covers += [totals.filter("most IS NOT NULL").select("lang", F.col("prefix").alias("phrase"), "most"), levels[-1].select("lang", F.col("suffix").alias("phrase"), F.col("f").alias("most"))]
+            covers += [elements.groupBy("lang", F.col("prefix").alias("phrase")).agg(F.max("f").alias("most")), levels[-1].select("lang", F.col("suffix").alias("phrase"), F.col("f").alias("most"))]
         size = levels[-1].count()
         if level == LONGEST or not size:
             break
