@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -55,20 +57,22 @@ class Words:
 
     def __init__(self):
         self.names: list[bytes] = [b""]
-        self.langs: list[str] = [""]
-        self.hashes: list[int] = [0]
+        self.hashes = array("Q", [0])
+        self.langs = array("i", [0])  # of each word, its place in the next
+        self.lang_names: list[str] = []
         self.by_lang: dict[str, dict[bytes, int]] = {}
 
     def of(self, lang: str) -> dict[bytes, int]:
         if lang not in self.by_lang:
             seed = xxhash.xxh64_intdigest(lang.encode())
-            words = self
+            words, place = self, len(self.lang_names)
+            self.lang_names.append(lang)
 
             class Numbers(dict):
                 def __missing__(self, word: bytes) -> int:
                     self[word] = number = len(words.names)
                     words.names.append(word)
-                    words.langs.append(lang)
+                    words.langs.append(place)
                     words.hashes.append(xxhash.xxh64_intdigest(word, seed))
                     return number
 
@@ -102,7 +106,7 @@ def slabs(text: bytes) -> Iterator[list[bytes]]:
 
 def stripes(words: Words, tokens: np.ndarray, own: np.ndarray, level: int, bits: list[np.ndarray], hot: dict[tuple[str, str], int]) -> Iterator[pa.RecordBatch]:
     """The merged stripes of one run of tokens. ``own`` is false for those that only stand before others here and are counted elsewhere."""
-    hashes = np.array(words.hashes, dtype=np.uint64)
+    hashes, lang_of = np.array(words.hashes, dtype=np.uint64), np.array(words.langs, dtype=np.int64)
     phrase = np.where(tokens > 0, tokens, -1)  # number of the phrase of level - 1 words that ends here, -1: none
     seen = np.arange(len(hashes))  # a place where it ends; for single words their numbers
     if level > 1:
@@ -117,37 +121,40 @@ def stripes(words: Words, tokens: np.ndarray, own: np.ndarray, level: int, bits:
         seen = at[first]
     if level == 1:
         at = np.flatnonzero(own & (tokens > 0))
-        keys, counts = np.unique(tokens[at], return_counts=True)
-        names = list(dict.fromkeys(words.langs))
-        number = {lang: i for i, lang in enumerate(names)}
-        prefixes, nexts = np.array([number[words.langs[w]] for w in keys], dtype=np.int64), keys
+        nexts, counts = np.unique(tokens[at], return_counts=True)
+        keys, prefixes = nexts, lang_of[nexts]
     else:
         at = np.flatnonzero(own[1:] & (phrase[:-1] >= 0) & (phrase[1:] >= 0)) + 1
         keys, counts = np.unique(phrase[at - 1] << 32 | tokens[at], return_counts=True)
         prefixes, nexts = keys >> 32, keys & 0xFFFFFFFF
     if not len(keys):
         return
+    names = pa.array(words.names, pa.binary())
     groups, which = np.unique(prefixes, return_inverse=True)
     if level == 1:
-        langs, texts = [names[g] for g in groups], [b""] * len(groups)
+        first, texts = None, pa.array([b""] * len(groups), pa.binary())
     elif level == 2:
-        langs, texts = [words.langs[g] for g in groups], [words.names[g] for g in groups]
+        first, texts = groups, names.take(pa.array(groups))
     else:
         places = [tokens[seen[groups] - back] for back in range(level - 2, -1, -1)]
-        langs, texts = [words.langs[w] for w in places[0]], [b" ".join(words.names[w] for w in row) for row in zip(*places)]
-    parts = np.array([SEGMENTS if level == 1 else hot.get((lang, text.decode("utf-8", "surrogateescape")), 1) for lang, text in zip(langs, texts)], dtype=np.uint64) if hot or level == 1 else np.ones(len(groups), dtype=np.uint64)
+        first, texts = places[0], pc.binary_join_element_wise(*[names.take(pa.array(p)) for p in places], b" ")
+    langs = pa.array(words.lang_names, pa.string()).take(pa.array(groups if first is None else lang_of[first]))
+    parts = np.full(len(groups), SEGMENTS if level == 1 else 1, dtype=np.uint64)
+    if hot:
+        for i in np.flatnonzero(pc.is_in(texts, pa.array([phrase.encode("utf-8", "surrogatepass") for _, phrase in hot], pa.binary())).to_numpy(zero_copy_only=False)):
+            parts[i] = hot.get((langs[i].as_py(), texts[i].as_py().decode("utf-8", "replace")), 1)
     segment = (hashes[nexts] % parts[which]).astype(np.int64)
     order = np.lexsort((nexts, segment, which))
     which, segment, nexts, counts = which[order], segment[order], nexts[order], counts[order]
     starts = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (segment[1:] != segment[:-1])))
-    offsets = pa.array(np.append(starts, len(which)), pa.int32())
-    string = lambda values: pa.array(values, pa.binary()).view(pa.string())
+    offsets, owner = pa.array(np.append(starts, len(which)), pa.int32()), pa.array(which[starts])
+    string = lambda values: values.view(pa.string())
     batch = pa.RecordBatch.from_arrays(
         [
-            pa.array([langs[g] for g in which[starts]], pa.string()),
-            string([texts[g] for g in which[starts]]),
+            langs.take(owner),
+            string(texts.take(owner)),
             pa.array(segment[starts], pa.int32()),
-            pa.ListArray.from_arrays(offsets, string([words.names[w] for w in nexts])),
+            pa.ListArray.from_arrays(offsets, string(names.take(pa.array(nexts)))),
             pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64())),
         ],
         names=["lang", "prefix", "segment", "next", "counts"],
