@@ -108,14 +108,14 @@ def shortest_paths(edges: DataFrame, source: int, weight: str = "w", delta: floa
 
     Known distances are a base table and the improvements of later rounds; a round writes only what it improved, and every COMPACT tables become one
     base. Vertices of the current band are relaxed until none of them improves, and only then the next band begins, so a far vertex waits until
-    its distance has settled instead of being relaxed again and again. ``delta`` is twice the mean weight if not given; any positive width gives
+    its distance has settled instead of being relaxed again and again. ``delta`` is four times the mean weight if not given; any positive width gives
     the same result. Edges with a null end or weight are left out; a negative weight raises an error, as no band would ever settle."""
     spark = edges.sparkSession
     e = cut(edges.select("src", "dst", F.col(weight).cast("double").alias("w")).dropna().groupBy("src", "dst").agg(F.min("w").alias("w")), "weighted")
     least, mean = e.agg(F.min("w"), F.avg("w")).first()
     if least is not None and least < 0:
         raise ValueError("shortest_paths needs weights of 0 and more")
-    delta = delta or 2 * (mean or 0.0) or 1.0
+    delta = delta or 4 * (mean or 0.0) or 1.0
     if not delta > 0:
         raise ValueError("delta must be positive")
     frontier = spark.createDataFrame([(source, 0.0)], "id long, dist double")
