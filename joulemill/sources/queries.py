@@ -108,7 +108,7 @@ def partitioned(t):
 
 def bucketed(t):
     """Orders and lines, the columns in use, bucketed and sorted on the order key: their join needs no exchange."""
-    sides = {"orders": (t.orders.select("o_orderkey", "o_orderpriority"), "o_orderkey"), "lines": (t.lineitem.select("l_orderkey", "l_extendedprice"), "l_orderkey")}
+    sides = {"orders": (t.orders.select("o_orderkey", "o_orderpriority"), "o_orderkey"), "lines": (t.lineitem.select("l_orderkey", "l_partkey", "l_extendedprice"), "l_orderkey")}
     buckets = bucket_number(*[df for df, _ in sides.values()])
     out = []
     for label, (df, key) in sides.items():
