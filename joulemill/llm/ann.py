@@ -139,15 +139,17 @@ def search(ids: np.ndarray, v: np.ndarray, queries: pd.DataFrame, norm: float) -
 def nearest(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, rank, vec_id, score): the NEIGHBOURS nearest found for each row of ``queries``, its own id left out.
 
-    Both have (vec_id, embedding). Rows with a null id, a null or zero vector, null or non-finite components, or another number of components than the
-    longest, take no part. With fewer candidates all are returned; equal scores go to the smaller id; repeated ids count as rows of
+    Both have (vec_id, embedding). Rows with a null id, a null or zero vector, null or non-finite components, or another number of components than
+    most rows (of equally frequent numbers the smaller counts), take no part. With fewer candidates all are returned; equal scores go to the smaller id; repeated ids count as rows of
     their own, repeated queries are asked once; empty tables give no rows. A cell with many equal vectors is split over
     tasks by row, and so are its queries."""
     spark = vectors.sparkSession
     rows, asked = usable(vectors), usable(queries).dropDuplicates(["vec_id"])
-    width, norm, n = rows.agg(F.max(F.size("v")), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))), F.count("*")).first()
-    if not n:
+    sizes = rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("norm"))
+    usual = sizes.orderBy(F.desc("n"), "width").first()
+    if usual is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    width, n, norm = usual
     rows, asked = rows.filter(F.size("v") == width), asked.filter(F.size("v") == width)
     depth = min(max(0, int(np.ceil(np.log2(n / CELL)))), int(np.log2(MOST_CELLS)))
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas() if depth else None

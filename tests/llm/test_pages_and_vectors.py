@@ -120,3 +120,13 @@ def test_odd_vectors(spark):
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(df, df.filter("vec_id % 20 = 0")).collect())
     assert got == [(0, 1, 6, 2.0), (0, 2, 20, 0.0), (0, 3, 20, 0.0), (20, 1, 6, 3.0), (20, 2, 0, 0.0)]
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_one_longer_vector_shuts_out_none(spark):
+    draw = np.random.default_rng(6)
+    v = [x.tolist() for x in draw.normal(size=(200, 8))]
+    v[77] = [*v[77], 0.5]
+    df = spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.filter("vec_id % 20 = 0")).collect()
+    ids = np.array([i for i in range(200) if i != 77])
+    assert recall(got, brute(ids, np.array([v[i] for i in ids]), range(0, 200, 20))) >= 0.9
