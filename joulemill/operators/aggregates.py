@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, Observation, Window, functions as F
 
+from joulemill.operators.exact import exact_avg, rounded
 from joulemill.operators.ordered import one_per_key, percentiles
 from joulemill.registry import query
 from joulemill.storage import checked_broadcast, cut
@@ -104,6 +105,19 @@ def summary(t):
     return t.lineitem.select("l_quantity", "l_extendedprice").summary("count", "min", "25%", "50%", "75%", "max", "mean", "stddev")
 
 
+QUARTILES = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
+
+
+@query("agm_17_exact_summary", "AGM-17", " UNION ALL ".join(f"SELECT '{c}' AS name, count({c})::DOUBLE AS count, min({c}) AS min, max({c}) AS max, round(avg({c})::DECIMAL(38,9), 4)::DOUBLE AS mean, round(stddev_samp({c}), 4) AS stddev, " + ", ".join(f'round(quantile_cont({c}, {q})::DECIMAL(38,9), 4)::DOUBLE AS "{n}"' for n, q in QUARTILES.items()) + " FROM lineitem" for c in ("l_quantity", "l_extendedprice")))
+def exact_summary(t):
+    """The statistics of ``summary`` with exact quartiles, which stay distributed, for all columns in one pass over long rows."""
+    columns = ["l_quantity", "l_extendedprice"]
+    long = t.lineitem.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("x")) for c in columns])).alias("c")).select("c.*")
+    moments = long.groupBy("name").agg(F.count("x").cast("double").alias("count"), F.min("x").alias("min"), F.max("x").alias("max"), rounded(exact_avg("x"), 4).alias("mean"), F.round(F.stddev_samp("x"), 4).alias("stddev"))
+    quartiles = percentiles(long, ["name"], "x", {f"q{i}": q for i, q in enumerate(QUARTILES.values())})
+    return moments.join(quartiles.select("name", *[rounded(f"q{i}", 4).alias(n) for i, n in enumerate(QUARTILES)]), "name")
+
+
 @query("agm_18_observe", "AGM-18 AGM-19", "SELECT count(*) AS rows_seen, sum(CASE WHEN o_totalprice > 300000 THEN 1 ELSE 0 END)::BIGINT AS big, count(DISTINCT o_custkey) AS customers FROM orders")
 def observe(t):
     """Quality metrics taken while the job that writes its result runs: no second pass over the rows.

@@ -89,6 +89,14 @@ def selection(t):
     return t.spark.createDataFrame(rows, "selector string, feature int")
 
 
+@query("ml_04_variance", "ML-04", """
+WITH x AS (SELECT unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS feature FROM embeddings) SELECT feature::INTEGER AS feature FROM x GROUP BY 1 HAVING var_samp(v) > 0.0156""")
+def variance_selection(t):
+    """Columns whose sample variance exceeds the threshold, by the built-in selector."""
+    picked = X.VarianceThresholdSelector(featuresCol="features", outputCol="o", varianceThreshold=0.0156).fit(labelled(t)).selectedFeatures
+    return t.spark.createDataFrame([(int(i),) for i in picked], "feature int")
+
+
 def word_sets(df, key) -> DataFrame:
     """(id, items): the hashes of a text's different words, of texts of three words and more."""
     w = F.split(F.lower("text"), r"\s+")
@@ -272,18 +280,22 @@ def matrix_product(t):
 
 @query("ml_14_singular_values", "ML-14")
 def singular_values(t):
-    """Singular values of the embedding matrix from its 64 x 64 Gram matrix."""
+    """Singular values of the embedding matrix from the Gram matrix of its columns, added up once per partition."""
     import pyarrow as pa
 
     def gram(batches):
+        g = None
         for b in batches:
-            x = np.stack(b.column(0).to_numpy(zero_copy_only=False)).astype(float)
-            g = x.T @ x
+            if b.num_rows:
+                x = np.stack(b.column(0).to_numpy(zero_copy_only=False)).astype(float)
+                g = x.T @ x if g is None else g + x.T @ x
+        if g is not None:
             i, j = np.indices(g.shape).reshape(2, -1)
             yield pa.RecordBatch.from_pydict({"i": i.astype("int32"), "j": j.astype("int32"), "s": g.ravel()})
 
-    cells = t.embeddings.select("embedding").mapInArrow(gram, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()  # 64 x 64 cells
-    g = np.zeros((64, 64))
+    cells = t.embeddings.select("embedding").mapInArrow(gram, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()  # columns x columns
+    d = 1 + max((r["i"] for r in cells), default=-1)
+    g = np.zeros((d, d))
     for r in cells:
         g[r["i"], r["j"]] = r["s"]
     values = np.sqrt(np.maximum(np.linalg.eigvalsh(g)[::-1], 0))

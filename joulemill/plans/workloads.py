@@ -394,10 +394,10 @@ def record_files(t):
 SELECT 'lines' AS helper, count(*) AS n FROM region UNION ALL SELECT 'whole', count(*) FROM region UNION ALL SELECT 'binary', sum(length(r_name) + 1)::BIGINT FROM region UNION ALL SELECT 'range', count(*) FROM orders UNION ALL SELECT 'collection', count(*) FROM region""")
 def input_helpers(t):
     path = scratch(t.spark, "helpers")
-    t.region.select(F.col("r_name").alias("value")).repartition(1).write.text(path)
+    t.region.select(F.col("r_name").alias("value")).write.text(path)
     spark = t.spark
     parts = {"lines": spark.read.text(path).agg(F.count("*")), "whole": spark.read.text(path, wholetext=True).agg(F.sum(F.regexp_count("value", F.lit("\n")))), "binary": spark.read.format("binaryFile").load(path + "/*.txt").agg(F.sum("length")),
-             "range": spark.range(t.orders.count()).agg(F.count("*")), "collection": spark.createDataFrame([(r["r_name"],) for r in t.region.collect()], "name string").agg(F.count("*"))}
+             "range": spark.range(t.orders.count()).agg(F.count("*")), "collection": spark.createDataFrame([(r["r_name"],) for r in t.region.toLocalIterator()], "name string").agg(F.count("*"))}
     out = None
     for name, df in parts.items():
         part = df.toDF("n").select(F.lit(name).alias("helper"), F.col("n").cast("long").alias("n"))
