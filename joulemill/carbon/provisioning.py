@@ -35,12 +35,18 @@ def allowed_executors(c: Column, lower: Column, upper: Column, floor: Column, dr
     k = cap - floor - drivers
     low = lower * LOWER_MARGIN
     alpha = F.lit(1.0) / (F.lit(1.0) + lambert_w((low / upper - 1) / math.e))
-    growth = F.lit(1.0) + F.lit(1.0) / (alpha * k)
-    steps = F.filter(
-        F.sequence(F.lit(0), F.greatest(k, F.lit(1)) - 1),
-        lambda i: upper * (F.lit(1.0) - (F.lit(1.0) - F.lit(1.0) / alpha) * F.pow(growth, i)) < c,
-    )
-    return F.when((k <= 0) | (upper <= 0), cap).otherwise(F.coalesce(floor + F.get(steps, F.lit(0)), cap)).cast("long")
+
+    def search(a: Column) -> Column:
+        growth = F.lit(1.0) + F.lit(1.0) / (a * k)
+        steps = F.filter(
+            F.sequence(F.lit(0), F.greatest(k, F.lit(1)) - 1),
+            lambda i: upper * (F.lit(1.0) - (F.lit(1.0) - F.lit(1.0) / a) * F.pow(growth, i)) < c,
+        )
+        return F.coalesce(floor + F.get(steps, F.lit(0)), cap)
+
+    # As the element of an array the root is computed once for a row, and not again for every threshold.
+    found = F.get(F.transform(F.array(alpha), search), F.lit(0))
+    return F.when((k <= 0) | (upper <= 0), cap).otherwise(found).cast("long")
 
 
 def resource_limits(df: DataFrame, executors: str = "allowed") -> DataFrame:
