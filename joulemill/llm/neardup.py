@@ -2,8 +2,10 @@
 
 A signature has K values of b bits. It is split into M chunks; by the pigeonhole principle two signatures that differ in at most
 R = M * (E + 1) - 1 values agree in some chunk up to E of its values, and all ways to leave out E values of a chunk are enumerated as keys: every pair
-within R shares a key. Documents of one key are compared with pivots first, so that a large group of copies costs one comparison per member;
-what still lies in different groups is then compared pair by pair. Links are confirmed on full shingle sets.
+within R shares a key. Documents of one key are compared with pivots first, so that a large group of copies costs one comparison per member.
+What still lies in different groups under one key is then met pair by pair. Edited copies of one text can all be within R of each other
+without one link between them, so these pairs are met by their rarest shingles, which a linked pair must share, and not by the key itself;
+they count only within R. Links are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -81,9 +83,8 @@ def class_id() -> Column:
 
 
 def keys(classes: DataFrame) -> DataFrame:
-    """(key, cls, n, slot): for every chunk and every choice of values left out of it, one key from those that remain. The slot is
-    chunk * CHUNK + the value left out."""
-    out = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("slot", pa.int32())])
+    """(key, cls, n): for every chunk and every choice of values left out of it, one key from those that remain."""
+    out = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,30 +95,11 @@ def keys(classes: DataFrame) -> DataFrame:
                 for left_out in range(CHUNK):
                     rest = [values[:, :, j] << np.uint64(BITS * i) for i, j in enumerate(x for x in range(CHUNK) if x != left_out)]
                     found.append(mixed((rest[0] | rest[1] | rest[2]) + (np.arange(CHUNKS, dtype=np.uint64) * np.uint64(CHUNK) + np.uint64(left_out) << np.uint64(48)), 7))
-                key = np.stack(found, axis=2).reshape(rows, -1)  # in the order of the slots
+                key = np.stack(found, axis=2).reshape(rows, -1)
                 wide = [np.repeat(part.column(i).to_numpy(), key.shape[1]) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), pa.array(wide[0]), pa.array(wide[1]), pa.array(np.tile(np.arange(key.shape[1], dtype=np.int32), rows))], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), pa.array(wide[0]), pa.array(wide[1])], schema=out)
 
-    return classes.select("cls", F.col("n_shingles").alias("n"), "signature").mapInArrow(run, "key long, cls long, n long, slot int")
-
-
-def chunk_errors(chunk: int) -> Column:
-    """How many of the four 16-bit values of a chunk differ between the columns ``s`` and ``s2`` of packed chunks."""
-    x = F.get("s", F.lit(chunk)).bitwiseXOR(F.get("s2", F.lit(chunk)))
-    lanes = F.lit(0x0000FFFF0000FFFF)  # two values at a time, so that a carry has room: it is set where a value is not 0
-    carries = lambda v: F.bit_count((v.bitwiseAND(lanes) + lanes).bitwiseAND(F.lit(0x0001000000010000)))
-    return carries(x) + carries(F.shiftrightunsigned(x, 16))
-
-
-def packed(signatures: DataFrame) -> DataFrame:
-    """(cls, s array<long>): a long for each chunk."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            longs = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<i8")
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * CHUNKS), pa.array(longs))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["cls", "s"])
-
-    return signatures.select("cls", "signature").mapInArrow(run, "cls long, s array<long>")
+    return classes.select("cls", F.col("n_shingles").alias("n"), "signature").mapInArrow(run, "key long, cls long, n long")
 
 
 def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -135,9 +117,9 @@ def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, linked) with the similarity of the full sets, which are built again for the classes in question only."""
-    wanted = cut(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes.select("cls", "doc_id"), "cls"), "wanted")
+def full_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cls, shingles) for the classes ``cls`` in ``wanted``, whose sets are built again from their texts."""
+    wanted = cut(wanted.select("cls").distinct().join(classes.select("cls", "doc_id"), "cls"), "wanted")
     texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
     out = pa.schema([("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
@@ -151,12 +133,28 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
 
     # A repeated id may bring texts of other sets along: the class, made anew, tells.
     sets = texts.mapInArrow(run, "n_shingles long, set_a long, set_b long, shingles array<long>").select(class_id().alias("cls"), "shingles")
-    sets = cut(sets.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+    return cut(sets.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, linked) with the similarity of the full sets."""
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", (shared * 100 >= (F.size("x") + F.size("y") - shared) * SIMILARITY).alias("linked"))
 
 
+def rarest(sets: DataFrame) -> DataFrame:
+    """(cls, n, token, place): the shingles of a set at the places, counted from 1 and from the rarest on, where a linked pair of sets must have its first
+    one in common. Those that no other set holds come first, and only their number is needed."""
+    tokens = sets.select("cls", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("token"))
+    held = tokens.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1")
+    lists = tokens.join(held, "token").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("list"))
+    most = F.floor(F.col("n") * (100 - SIMILARITY) / 100) + 1  # against the shortest set that can be linked
+    alone = F.col("n") - F.size("list")
+    first = F.slice("list", F.lit(1), F.greatest(most - alone, F.lit(0)).cast("int"))
+    return lists.select("cls", "n", alone.alias("alone"), F.posexplode(first).alias("at", "_t")).select("cls", "n", F.col("_t.token").alias("token"), (F.col("alone") + F.col("at") + 1).alias("place"))
+
+
 def fits(x: Column, y: Column) -> Column:
     """Whether sets of these sizes can be similar enough."""
     return F.least(x, y) * 100 >= F.greatest(x, y) * SIMILARITY
@@ -179,23 +177,32 @@ def link(docs: DataFrame, classes: DataFrame) -> DataFrame:
     pivots = ranked.groupBy("key").agg(*[p.alias(f"p{i}") for i, p in enumerate(drawn)])
     met = ranked.join(pivots, "key").select("cls", "n", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("p"))
     tested = cut(ordered(met.filter((F.col("cls") != F.col("p.cls")) & fits(F.col("n"), F.col("p.n"))).select(F.col("cls").alias("x"), F.col("p.cls").alias("y"))), "pairs")
-    links = cut(confirmed(near(tested, classes), classes, docs).filter("linked"), "links")
+    close = cut(near(tested, classes), "close")
+    links = cut(confirmed(close, full_sets(close.select(F.explode(F.array("a", "b")).alias("cls")), classes, docs)).filter("linked"), "links")
     groups = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).toDF("cls", "_c")
     component = cut(members.select("cls").distinct().join(groups, "cls", "left").select("cls", F.coalesce("_c", "cls").alias("component")), "components")
 
-    # What still lies in different components under one key, pair by pair.
+    # What still lies in different components under one key, pair by pair. A linked pair has at least ``shared`` shingles in common, so the first
+    # common one has at least shared - 1 others behind it in both sets.
     left = members.join(component, "cls")
     mixed_keys = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    left = left.join(mixed_keys, "key").select("key", "slot", "cls", "n", "component")
-    left = cut(left.join(packed(classes.join(left.select("cls").distinct(), "cls", "left_semi")), "cls"), "open")
-    other = left.select("key", *[F.col(c).alias(c + "2") for c in ("cls", "n", "component", "s")])
-    # A pair comes out once, under the first key that it shares, and only if its signatures are within R.
-    errors = [chunk_errors(c) for c in range(CHUNKS)]
-    first = F.coalesce(*[F.when(e == 0, c * CHUNK).when(e == 1, F.lit(c * CHUNK) + F.pmod(F.col("slot"), F.lit(CHUNK))) for c, e in enumerate(errors)])
-    meets = (F.col("cls") < F.col("cls2")) & (F.col("component") != F.col("component2")) & fits(F.col("n"), F.col("n2")) & (F.col("slot") == first) & (reduce(Column.__add__, errors) <= R)
-    rest = left.join(other, "key").filter(meets)
-    rest = cut(ordered(rest.select(F.col("cls").alias("x"), F.col("cls2").alias("y"))).join(tested, ["a", "b"], "left_anti"), "pairs")
-    more = confirmed(rest, classes, docs).filter("linked")
+    left = cut(left.join(mixed_keys, "key", "left_semi").select("cls", "component").distinct(), "open")
+    sets = full_sets(left, classes, docs)
+    rare = rarest(sets).join(left, "cls")
+    # Members of one component need not meet: those of a shingle's largest component meet only the others, so a large family with a few strangers
+    # costs members times strangers.
+    main = rare.groupBy("token", "component").agg(F.count("*").alias("_n")).groupBy("token").agg(F.max_by("component", F.struct("_n", "component")).alias("main"), F.count("*").alias("_k"))
+    rare = cut(rare.join(main.filter("_k > 1").drop("_k"), "token").withColumn("main", F.col("component") == F.col("main")), "rarest")
+    n, n2 = F.col("n"), F.col("n2")
+    shared = F.ceil((n + n2) * SIMILARITY / (100 + SIMILARITY))
+    order = (n < n2) | ((n == n2) & (F.col("cls") < F.col("cls2")))  # the shorter set on the left, where fewer places are enough
+    meets = order & (F.col("component") != F.col("component2")) & fits(n, n2) & (F.col("place") <= n - shared + 1) & (F.col("place2") <= n2 - shared + 1)
+    short = rare.filter(F.col("place") <= n - F.ceil(2 * n * SIMILARITY / (100 + SIMILARITY)) + 1)
+    other = rare.select("token", *[F.col(c).alias(c + "2") for c in ("cls", "n", "component", "place", "main")])
+    sides = [(short.filter("not main"), other), (short.filter("main"), other.filter("not main2"))]
+    met = reduce(DataFrame.union, [x.join(y, "token").filter(meets).select("cls", "cls2") for x, y in sides])
+    rest = cut(ordered(met.toDF("x", "y")).join(tested, ["a", "b"], "left_anti"), "pairs")
+    more = confirmed(near(rest, classes), sets).filter("linked")
     name = lambda x: component.select(F.col("cls").alias(x), F.col("component").alias("_" + x))
     bridges = cut(more.join(name("a"), "a").join(name("b"), "b").select(F.col("_a").alias("src"), F.col("_b").alias("dst")).distinct(), "bridges")
     if bridges.isEmpty():

@@ -141,6 +141,26 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == brute_components(rows)
 
 
+def test_family_without_links_makes_few_pairs(spark, monkeypatch):
+    """Copies that are near an absent origin, and within the signature bound of each other, but seldom linked; a few are linked with one of them."""
+    draw = random.Random(3)
+    origin = [f"v{i}" for i in range(200)]
+    texts = []
+    for _ in range(120):
+        mine = list(origin)
+        for at in draw.sample(range(40), 7):  # 7 of 40 blocks of five words, so that about a sixth of the shingles is the copy's own
+            mine[at * 5 + 2] = f"n{draw.randrange(10**9)}"
+        texts.append(" ".join(mine))
+    texts += [t.replace(" v199", " end") for t in texts[:9]] + [" ".join([t, *(f"t{i}" for i in range(60))]) for t in texts[20:24]]
+    seen = []
+    whole = neardup.near
+    monkeypatch.setattr(neardup, "near", lambda pairs, classes: seen.append(pairs.count()) or whole(pairs, classes))
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows) and len({c for _, c in got.values()}) > 100
+    assert len(seen) == 2 and seen[1] < len(rows) ** 2 / 20
+
+
 def test_near_duplicates_of_odd_rows(odd, spark):
     got = neardup.near_duplicates(odd)
     assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
@@ -396,4 +416,4 @@ def test_words_that_share_an_id_keep_their_own_probability(spark):
 
 
 def test_every_operator_has_a_query():
-    assert {n.split("_")[0] for n in load()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in load()} == {f"op{i}" for i in range(1, 14)}
