@@ -20,7 +20,6 @@ from joulemill.llm.registry import query, table
 ORDER, LETTER_BITS = 4, 8
 DISCOUNT = 0.75
 SHARED = 1  # orders that are counted over both classes
-MIN_COUNT = 2  # sequences rarer than this in the sample are left to the shorter contexts
 TRAIN_ROWS = 20_000  # bound on the labelled rows that are learnt from
 CALIBRATE = 3  # the fold, doc_id's crc32 mod 4, that sets the curve; the counts come from folds 0 and 1
 HELD_OUT = 2
@@ -75,7 +74,7 @@ def sample(labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
 
 
 def counts(docs: DataFrame) -> pd.DataFrame:
-    """(gram, toxic, n) of the sample's texts, those with at least MIN_COUNT: bounded as the sample is."""
+    """(gram, ordinary, toxic) of the sample's texts, also of what occurs once: bounded as the sample is."""
     out = pa.schema([("gram", pa.int64()), ("toxic", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,8 +89,7 @@ def counts(docs: DataFrame) -> pd.DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), toxic, dtype=np.int32)), pa.array(n)], schema=out)
 
     rows = docs.select(F.col("text").cast("string"), F.col("toxic").cast("int")).mapInArrow(run, "gram long, toxic int, n long")
-    sums = rows.groupBy("gram").agg(*[F.sum(F.when(F.col("toxic") == t, F.col("n")).otherwise(0)).alias(name) for t, name in ((0, "ordinary"), (1, "toxic"))])
-    return sums.filter(F.col("ordinary") + F.col("toxic") >= MIN_COUNT).toPandas()
+    return rows.groupBy("gram").agg(*[F.sum(F.when(F.col("toxic") == t, F.col("n")).otherwise(0)).alias(name) for t, name in ((0, "ordinary"), (1, "toxic"))]).toPandas()
 
 
 def low(keys: np.ndarray, order: int) -> np.ndarray:
