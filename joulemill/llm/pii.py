@@ -10,17 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from joulemill.llm.registry import query, table
-from joulemill.llm.words import bind
+from joulemill.llm.words import bind, free_names
 
 DEMO_KEY = "replace with a secret"  # production runs pass their own
 ROUNDS = 8
+WALK = 64  # most steps of a cycle walk; at least a third of the walked values are valid, so fewer than 1 in 10^11 walks are longer
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 LOWER_1, UPPER_1 = "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
 TEXT = (DIGITS, LOWER, UPPER, LOWER_1, UPPER_1)
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: In order: the first that matches at a place wins. None has a capturing group.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "token": r"(?i:token|secret|password|passwd|api[_-]?key)[\x22\x27]?\s{0,3}[=:]\s{0,3}(?:\x22[^\x22\s]{6,}\x22|\x27[^\x27\s]{6,}\x27|(?=[A-Za-z_+/=-]*\d)[A-Za-z0-9_+/=-]{8,}+(?!@))",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "date": r"(?<![\d.-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/])\d{2}/\d{2}/\d{4}(?![\d/])|(?<![\d.])\d{2}\.\d{2}\.\d{4}(?!\d)",
@@ -32,8 +33,9 @@ PATTERNS = {
     "ip": rf"(?<![\d.]){OCTET}\.{OCTET}\.{OCTET}\.{OCTET}(?!\d|\.\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-DAY_0, DAYS_X, DAYS_Y = "1901-01-01", 147, 487  # 147 * 487 days: to 2096-12-31, seven times 28 years
+DAY_0, DAYS_X, DAYS_Y = "1901-01-01", 147, 487  # 147 * 487 days: to 2096-12-31, seven times 28 years; earlier and later spans are as long
 LATE, LATE_DAYS = r"^(?:1[3-9]|[23]\d)/", 147 * 295
+LATE_MONTH = 146_097 / 4_800 - 12  # such days in a month, on average over the calendar's 400 years
 FORMATS = {r"^\d{4}-": "yyyy-MM-dd", r"^\d{2}/": "MM/dd/yyyy", r"^\d{2}\.": "dd.MM.yyyy"}
 
 
@@ -42,8 +44,8 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def digest(key: str, kind: str, i: Column, half: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), half.cast("string")).cast("binary"), 256)
+def digest(key: str, kind: str | Column, i: Column, half: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(key), kind if isinstance(kind, Column) else F.lit(kind), i.cast("string"), half.cast("string")).cast("binary"), 256)
 
 
 def number(hexes: Column, at, length: int) -> Column:
@@ -83,6 +85,16 @@ def permuted(text: Column, key: str, kind: str, alphabets: tuple[str, ...]) -> C
     return F.concat(done["x"], done["y"])
 
 
+def walked(value: Column, step, valid) -> Column:
+    """Cycle walk: ``step`` is applied once and again until ``valid``, so it permutes the valid values among themselves.
+
+    Each value must be valid itself; then the walk ends there at the latest. Null after more than WALK steps."""
+    start = F.struct(value.alias("v"), F.lit(False).alias("done"))
+    once = lambda a: let(step(a["v"]), lambda v: F.struct(v.alias("v"), F.coalesce(valid(v), F.lit(False)).alias("done")))
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, lambda a, _: F.when(a["done"], a).otherwise(once(a)))
+    return let(walk, lambda a: F.when(a["done"], a["v"]))
+
+
 def luhn_digit(payload: Column) -> Column:
     """Check digit of a string of digits."""
     n = F.length(payload)
@@ -141,50 +153,76 @@ def ip(m: Column, key: str) -> Column:
     return F.concat_ws(".", *[o.cast("string") for o in octets])
 
 
+def in_calendar(days: Column) -> Column:
+    """Whether so many days from DAY_0 lie in the years 1 to 9999."""
+    day = lambda text: F.datediff(F.lit(text).cast("date"), F.lit(DAY_0).cast("date"))
+    return days.between(day("0001-01-01"), day("9999-12-31"))
+
+
+def in_span(kind: str, span: Column) -> Column:
+    """Every span of years has a permutation of its own."""
+    return F.concat(F.lit(kind), F.when(span == 0, "").otherwise(span.cast("string")))
+
+
+def spread(n: Column, key: str, kind: str, other: int, valid) -> Column:
+    """Permutes whole numbers within their span of DAYS_X * ``other`` numbers, among those that are valid."""
+    size = DAYS_X * other
+
+    def moved(n: Column) -> Column:
+        span = F.floor(n / size)
+        # The halves swap with every round, so the size that the renewed half keeps to swaps, too.
+        step = lambda i, own, rest: F.pmod(own + number(digest(key, in_span(kind, span), i, rest), F.lit(1), 8), F.when(i % 2 == 0, DAYS_X).otherwise(other).cast("long"))
+        at = F.pmod(n, F.lit(size))
+        return let(feistel(F.floor(at / other), F.pmod(at, F.lit(other)), step), lambda h: span * size + h["x"] * other + h["y"])
+
+    return walked(n, moved, valid)
+
+
 def date(m: Column, key: str) -> Column:
     out = late_day(m, key)
     for pattern, form in FORMATS.items():
         day = F.datediff(F.try_to_timestamp(m, F.lit(form)).cast("date"), F.lit(DAY_0).cast("date")).cast("long")
-        # The halves swap with every round, so the size that the renewed half keeps to swaps, too.
-        step = lambda i, own, other: F.pmod(own + number(digest(key, "date", i, other), F.lit(1), 8), F.when(i % 2 == 0, DAYS_X).otherwise(DAYS_Y).cast("long"))
-        done = feistel(F.floor(day / DAYS_Y), F.pmod(day, F.lit(DAYS_Y)), step)
-        moved = F.date_add(F.lit(DAY_0).cast("date"), (done["x"] * DAYS_Y + done["y"]).cast("int"))
-        out = F.when(m.rlike(pattern) & ~m.rlike(LATE), F.when(day.between(0, DAYS_X * DAYS_Y - 1), F.date_format(moved, form))).otherwise(out)
+        moved = let(day, lambda d: F.when(d.isNotNull(), F.date_add(F.lit(DAY_0).cast("date"), spread(d, key, "date", DAYS_Y, in_calendar).cast("int"))))
+        out = F.when(m.rlike(pattern) & ~m.rlike(LATE), F.date_format(moved, form)).otherwise(out)
     return out
 
 
 def late_day(m: Column, key: str) -> Column:
     """dd/MM/yyyy with a day from 13 on permutes among such days, so that no pseudonym can be read as MM/dd/yyyy.
 
-    Without the first twelve days of its months the span has 147 x 295 days; the month of the n-th of them is one of those around n / 18.44."""
-    start, rest = F.lit(DAY_0).cast("date"), LATE_DAYS // DAYS_X
+    Without the first twelve days of its months the span has 147 x 295 days; the month of the n-th of them is one of those around n / LATE_MONTH."""
+    start = F.lit(DAY_0).cast("date")
     month = lambda d: (F.year(d) - 1901) * 12 + F.month(d)
-    step = lambda i, own, other: F.pmod(own + number(digest(key, "late", i, other), F.lit(1), 8), F.when(i % 2 == 0, DAYS_X).otherwise(rest).cast("long"))
 
     def of(n: Column) -> Column:
-        """The n-th of the days."""
-        near = F.transform(F.sequence(F.lit(-2), F.lit(4)), lambda j: let(F.floor(n / 18.4375).cast("int") + j, lambda k: F.struct(k.alias("k"), F.date_add(start, n + 12 * k).alias("d"))))
-        return F.get(F.filter(near, lambda c: (month(c["d"]) == c["k"]) & (F.dayofmonth(c["d"]) > 12)), F.lit(0))["d"]
+        """The n-th of the days, as days from DAY_0."""
+        near = F.transform(F.sequence(F.lit(-2), F.lit(4)), lambda j: let((F.floor(n / LATE_MONTH) + j).cast("int"), lambda k: F.struct(k.alias("k"), (n + 12 * k).cast("int").alias("n"))))
+        day = lambda c: F.date_add(start, c["n"])
+        return F.get(F.filter(near, lambda c: (month(day(c)) == c["k"]) & (F.dayofmonth(day(c)) > 12)), F.lit(0))["n"]
 
     def moved(n: Column) -> Column:
-        done = let(feistel(F.floor(n / rest), F.pmod(n, F.lit(rest)), step), lambda h: (h["x"] * rest + h["y"]).cast("int"))
-        return F.when(n.between(0, LATE_DAYS - 1), F.date_format(let(done, of), "dd/MM/yyyy"))
+        return F.date_format(let(spread(n, key, "late", LATE_DAYS // DAYS_X, lambda x: in_calendar(of(x))), lambda x: F.date_add(start, of(x))), "dd/MM/yyyy")
 
     given = F.try_to_timestamp(m, F.lit("dd/MM/yyyy")).cast("date")
-    return F.when(m.rlike(LATE), let(let(given, lambda d: (F.datediff(d, start) - 12 * month(d)).cast("long")), moved))
+    return F.when(m.rlike(LATE), let(let(given, lambda d: (F.datediff(d, start) - 12 * month(d)).cast("long")), lambda n: F.when(n.isNotNull(), moved(n))))
 
 
 def ssn(m: Column, key: str) -> Column:
-    return F.when(~m.rlike(r"^(?:000|666|9)|-00-|-0000$"), permuted(m, key, "ssn", (DIGITS,)))
+    valid = lambda x: ~x.rlike(r"^(?:000|666|9)|-00-|-0000$")
+    return F.when(valid(m), walked(m, lambda x: permuted(x, key, "ssn", (DIGITS,)), valid))
 
 
 def phone(m: Column, key: str) -> Column:
-    lead = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])|^\+\d|^", 0)
-    return F.when(F.length(only(m)).between(F.when(m.startswith("0"), 9).otherwise(8), 15), F.concat(lead, permuted(F.substring(m, F.length(lead) + 1, F.length(m)), key, "phone", (DIGITS,))))
+    """What comes before the number (country, long-distance 1, area 0) stays. The rest walks among the numbers that the patterns find."""
+    lead = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])|^\+\d|^1(?=[ .-])|^\(?0|^", 0)
+    rest = F.substring(m, F.length(lead) + 1, F.length(m))
+    valid = lambda x: let(F.concat(lead, x), lambda t: t.rlike(f"^(?:{PATTERNS['phone']})$") & (t.rlike(r"^\(?0") == m.rlike(r"^\(?0")))
+    new = walked(rest, lambda x: permuted(x, key, "phone", (DIGITS,)), valid)
+    return F.when(F.length(only(m)).between(F.when(m.startswith("0"), 9).otherwise(8), 15), F.concat(lead, new))
 
 
 def email(m: Column, key: str) -> Column:
-    tail = F.regexp_extract(m, r"\.[A-Za-z]+$", 0)
+    tail = F.regexp_extract(m, r"\.\p{L}+$", 0)
     return F.concat(permuted(F.substring(m, F.lit(1), F.length(m) - F.length(tail)), key, "email", TEXT), tail)
 
 
@@ -209,17 +247,18 @@ def pseudonym(m: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """Every row of ``docs`` with its private values replaced in ``text``, and ``n_private``, how many there were.
 
-    Rows are handled one by one, without any shuffle. A null text stays null with ``n_private`` 0; values that look private but fail their
-    check stay as they are; repeated rows get equal results. Other columns pass through, a column named ``n_private`` is replaced, and
-    names that begin with ``_`` are reserved."""
+    Rows are handled one by one, without any shuffle. A null text stays null with ``n_private`` 0, an empty one empty; texts of any length are
+    read whole. Values that look private but fail their check stay as they are; repeated rows get equal results, and an empty table
+    gives an empty one. Other columns pass through, whatever their names, but for one named ``n_private``, which is replaced."""
     rest = [c for c in docs.columns if c != "n_private"]
+    found, new, done = free_names(rest, "found", "new", "done")
     text = F.when(F.col("text").rlike("[0-9@]|(?i:token|secret|passw|api[_-]?key)"), F.col("text"))
-    df = bind(docs.select(rest), _found=F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    df = bind(df, _new=F.transform("_found", lambda m: pseudonym(m, key)))
-    parts = F.transform(F.split("text", ANY), lambda part, i: F.concat(part, F.coalesce(F.get("_new", i), F.get("_found", i), F.lit(""))))
-    count = F.coalesce(F.size(F.array_compact("_new")), F.lit(0))
-    df = bind(df, _text=F.when(F.size("_found") > 0, F.array_join(parts, "")).otherwise(F.col("text")), n_private=F.greatest(count, F.lit(0)).cast("long"))
-    return df.select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in rest], "n_private")
+    df = bind(docs.select(*[F.col(f"`{c}`") for c in rest]), **{found: F.regexp_extract_all(text, F.lit(ANY), F.lit(0))})
+    df = bind(df, **{new: F.transform(found, lambda m: pseudonym(m, key))})
+    parts = F.transform(F.split("text", ANY), lambda part, i: F.concat(part, F.coalesce(F.get(new, i), F.get(found, i), F.lit(""))))
+    count = F.coalesce(F.size(F.array_compact(new)), F.lit(0))
+    df = bind(df, **{done: F.when(F.size(found) > 0, F.array_join(parts, "")).otherwise(F.col("text")), "n_private": F.greatest(count, F.lit(0)).cast("long")})
+    return df.select(*[F.col(done).alias("text") if c == "text" else F.col(f"`{c}`") for c in rest], "n_private")
 
 
 @query("op1_pii")

@@ -27,3 +27,12 @@ def bind(df: DataFrame, **columns: Column) -> DataFrame:
     A plain projection may be merged into later ones, and a later filter pushed below it; the expression is then evaluated again, inside
     a lambda even once for each element. Values that come out of a generator stay where they are."""
     return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names with so many underscores in front that no column of ``taken`` has one of them."""
+    lower = {c.lower() for c in taken}
+    front = "_"
+    while any(front + w in lower for w in wanted):
+        front += "_"
+    return [front + w for w in wanted]

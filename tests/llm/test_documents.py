@@ -1,5 +1,6 @@
 """Operators on documents: brute force, round trips, held-out accuracy, and odd rows (null, empty, long, repeated, clashing names)."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -219,6 +220,56 @@ def test_late_days_are_permuted_among_themselves(spark):
     assert len(got) == len(set(got)) == days.count() and all(int(t[:2]) > 12 and 1 <= int(t[3:5]) <= 12 and 1901 <= int(t[6:]) <= 2096 for t in got)
 
 
+def plain_feistel(text, key, kind):
+    """The digit permutation in plain Python."""
+    x, y = text[: len(text) // 2], text[len(text) // 2 :]
+    for i in range(pii.ROUNDS):
+        pad = hashlib.sha256(f"{key}|{kind}|{i}|{y}".encode()).hexdigest()
+        moved = [str((int(c) + int(pad[j % 15 * 4 : j % 15 * 4 + 4], 16)) % 10) if c.isdigit() else c for j, c in enumerate(x)]
+        x, y = y, "".join(moved)
+    return x + y
+
+
+def test_numbers_walk_within_the_valid_ones(spark):
+    """Social security numbers equal a plain Feistel cycle walk, and pseudonyms of valid numbers are valid: a second run finds each of them."""
+    draw = random.Random(8)
+    good = lambda t: not re.search("^(?:000|666|9)|-00-|-0000$", t)
+    numbers = list({t: 0 for t in (f"{draw.randrange(1000):03}-{draw.randrange(100):02}-{draw.randrange(10000):04}" for _ in range(1500)) if good(t)})
+    got = [r["text"] for r in pii.pseudonymise(documents(spark, numbers), "key").orderBy("doc_id").collect()]
+    for given, new in zip(numbers, got):
+        want = plain_feistel(given, "key", "ssn")
+        while not good(want):
+            want = plain_feistel(want, "key", "ssn")
+        assert new == want
+    assert len(set(got)) == len(numbers)
+    phones = [f"{draw.randrange(200, 1000)}-{draw.randrange(1000):03}-{draw.randrange(10000):04}" for _ in range(700)] + [f"1-{draw.randrange(200, 1000)}-555-{draw.randrange(10000):04}" for _ in range(700)]
+    phones = sorted(set(phones + [f"0{draw.randrange(10, 100)} {draw.randrange(10**6, 10**7)}" for _ in range(200)] + [f"(0{draw.randrange(100, 1000)}) 555-{draw.randrange(1000):03}" for _ in range(200)]))
+    once = pii.pseudonymise(documents(spark, phones), "key")
+    twice = pii.pseudonymise(once, "key")
+    assert once.filter("n_private <> 1").count() == twice.filter("n_private <> 1").count() == 0
+    assert once.select("text").distinct().count() == len(phones)
+
+
+def test_days_of_all_years_and_addresses_of_all_letters(spark):
+    days = spark.sql("SELECT date_format(d, f) AS text FROM (SELECT explode(sequence(date'0001-01-01', date'9999-12-31', interval 977 days)) AS d) LATERAL VIEW explode(array('yyyy-MM-dd', 'dd.MM.yyyy', 'dd/MM/yyyy')) AS f")
+    once = pii.pseudonymise(days, "key")
+    assert once.filter("n_private <> 1").count() == 0 and pii.pseudonymise(once, "key").filter("n_private <> 1").count() == 0
+    assert once.select("text").distinct().count() == days.count() and once.join(days, "text").count() < days.count() / 4
+    late = spark.sql("SELECT date_format(d, 'dd/MM/yyyy') AS text FROM (SELECT explode(sequence(date'9930-01-01', date'9999-12-31')) AS d) WHERE day(d) > 12")
+    assert pii.pseudonymise(late, "key").filter("n_private = 1 and int(left(text, 2)) > 12").select("text").distinct().count() == late.count()
+    r = pii.pseudonymise(documents(spark, ["write to ivan@b\u00fccher.example or \u0438\u0432\u0430\u043d@\u043f\u0440\u0438\u043c\u0435\u0440.\u0440\u0444 now"]), "key").first()
+    assert r["n_private"] == 2 and "ivan@b" not in r["text"]
+
+
+def test_names_of_columns_are_free(spark):
+    df = documents(spark, ["SSN 123-45-6789", None]).withColumn("_found", F.lit(1)).withColumn("__new", F.lit(2)).withColumn("_TEXT", F.lit(3)).withColumn("a.b", F.lit(4))
+    got = pii.pseudonymise(df, "key").orderBy("doc_id").collect()
+    assert got[0].asDict().keys() == {*df.columns, "n_private"} and [r["n_private"] for r in got] == [1, 0]
+    assert [(r["_found"], r["__new"], r["_TEXT"], r["a.b"]) for r in got] == [(1, 2, 3, 4)] * 2
+    empty = documents(spark, [None, "", None])
+    assert [(r["text"], r["n_private"]) for r in pii.pseudonymise(empty, "key").orderBy("doc_id").collect()] == [(None, 0), ("", 0), (None, 0)]
+
+
 def test_feistel_is_a_permutation(spark):
     """All addresses of a small block, all days of two years and all short numbers map to different values of the same form."""
     days = spark.sql("SELECT date_format(d, 'yyyy-MM-dd') AS text FROM (SELECT explode(sequence(date'1979-01-01', date'1980-12-31')) AS d)")
