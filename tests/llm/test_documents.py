@@ -63,24 +63,56 @@ def test_quality_verdict_follows_the_labels(spark):
     assert quality.judge(docs.limit(0), labels).count() == 0 and quality.judge(docs.limit(3), labels.limit(0)).count() == 3
 
 
+def test_quality_verdict_on_held_out_labels(spark):
+    """Learnt from three quarters of the good labels: the other good documents stay, the bad ones go."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    judged = quality.judge(docs, labels.filter(~held)).filter("not base_failed").join(labels.select("doc_id", "quality"), "doc_id")
+    n = {(r["quality"], r["kept"]): r["count"] for r in judged.filter((F.col("quality") == 0) | held).groupBy("quality", "kept").count().collect()}
+    assert n[1, True] >= 0.995 * (n[1, True] + n.get((1, False), 0)) and n[0, False] >= 0.995 * (n[0, False] + n.get((0, True), 0)), n
+
+
+def test_quality_of_odd_tables(spark, labels):
+    df = documents(spark, [None, "", " "]).withColumn("_w", F.lit(1)).withColumn("_found", F.lit(2)).withColumn("_ROW", F.lit(3)).withColumn("a.b", F.lit(4))
+    rows = quality.judge(df, labels).collect()
+    assert len(rows) == 3 and all((r["_w"], r["_found"], r["_ROW"], r["a.b"], r["score"], r["base_failed"], r["kept"]) == (1, 2, 3, 4, 0.0, True, False) for r in rows)
+
+
+def test_windows_with_equal_hashes_are_compared(spark, monkeypatch):
+    """With one hash for all windows, the words decide."""
+    draw = random.Random(3)
+    texts = [" ".join(draw.choice("abcde") for _ in range(n)) for n in (0, 1, 2, 3, 4, 9, 40, 300)]
+    df = documents(spark, texts).withColumn("_w", quality.words(F.col("text")))
+    monkeypatch.setattr(F, "xxhash64", lambda *columns: F.lit(7).cast("long"))
+    got = quality.statistics(df).select("text", "n_repeat_words")
+    assert [r["n_repeat_words"] for r in got.collect()] == [base(t)[4] for t in texts]
+
+
 def test_quality_scores_equal_brute_force(spark, folder):
     import xxhash
 
     docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
     good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1}
 
+    signed = lambda h: h - (1 << 64) * (h >> 63)
+
+    def pair(a, b):
+        """Spark's hash of two longs: the first with seed 42, the second seeded by it."""
+        first = xxhash.xxh64_intdigest(a.to_bytes(8, "little"), seed=42)
+        return first if b is None else xxhash.xxh64_intdigest(b.to_bytes(8, "little"), seed=first)
+
     def buckets(text):
-        ends = [w[-3:].encode() for w in WORD.findall(text or "")]
-        hashes = [xxhash.xxh64_intdigest(b, seed=xxhash.xxh64_intdigest(a, seed=42)) for a, b in zip(ends, ends[1:])] + [xxhash.xxh64_intdigest(a, seed=42) for a in ends[-1:]]
-        return [(h - (1 << 64) * (h >> 63)) % quality.BUCKETS for h in hashes]
+        h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in WORD.findall(text or "")]
+        return [signed(x) % quality.BUCKETS for x in h + [pair(a, b) for a, b in zip(h, [*h[1:], None])]]
 
     raw, target, of = Counter(), Counter(), {}
     for r in docs.collect():
         of[r["doc_id"]] = b = buckets(r["text"])
         raw.update(b)
         target.update(b if r["doc_id"] in good else [])
-    n, m = sum(raw.values()) + quality.BUCKETS, sum(target.values()) + quality.BUCKETS
-    weight = lambda b: np.log((target[b] + 1) / m) - np.log((raw[b] + 1) / n)
+    n, m = sum(raw.values()), sum(target.values())
+    weight = lambda b: np.log((target[b] + quality.SMOOTH) / (raw[b] * m / n + quality.SMOOTH))
     for r in quality.judge(docs, labels).collect():
         want = sum(map(weight, of[r["doc_id"]])) / max(1, len(of[r["doc_id"]]))
         assert r["score"] == pytest.approx(want, abs=1e-9) and r["kept"] == (not r["base_failed"] and want >= quality.THRESHOLD)
