@@ -29,12 +29,12 @@ def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
 
 
 def with_buckets(df: DataFrame) -> DataFrame:
-    """Adds ``_w`` (words) and ``_b`` (hashed n-grams) from ``text``. A word is hashed once, a pair from the hashes of its words."""
+    """Adds ``_w`` (words), ``_h`` (their hashes) and ``_b`` (hashed n-grams) from ``text``. A word is hashed once, a pair from the hashes of its words."""
     df = bind(df, _w=words(F.col("text")))
     df = bind(df, _h=F.transform("_w", lambda w: F.xxhash64(w)))
     bucket = lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int")
     pairs = F.transform("_h", lambda h, i: bucket(F.xxhash64(h, F.get("_h", i + 1))))
-    return bind(df, _b=F.concat(F.transform("_h", bucket), pairs)).drop("_h")
+    return bind(df, _b=F.concat(F.transform("_h", bucket), pairs))
 
 
 def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -62,22 +62,22 @@ def exact_repeats(w: Column) -> Column:
 
 
 def statistics(df: DataFrame) -> DataFrame:
-    """Adds the text statistics. Repeated windows are found by sorting (hash of three words, place), packed into one long with as many bits
+    """Adds the text statistics to rows with ``_w`` and ``_h``. Repeated windows are found by sorting (hash of three words, place), packed into one long with as many bits
     for the place as the text needs: a window is repeated when a neighbour in that order has the same hash. Words of neighbours with equal
     hashes are compared; a text where they differ anywhere is sorted by the words themselves. Covered words are counted over the gaps between
     repeated windows. The two cut windows at the end of the text are equal to none."""
     text = F.coalesce(F.col("text"), F.lit(""))
     shift = lambda name, x: F.call_function(name, x, F.col("_bits"))
     df = bind(df, _bits=F.length(F.bin(F.size("_w"))), _l=F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
-    window = lambda w, i: shift("shiftleft", F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2))).bitwiseOR(i.cast("long"))
-    df = bind(df, _g=F.sort_array(F.transform("_w", window)))
+    window = lambda h, i: shift("shiftleft", F.xxhash64(h, F.get("_h", i + 1), F.get("_h", i + 2))).bitwiseOR(i.cast("long"))
+    df = bind(df, _g=F.sort_array(F.transform("_h", window)))
     place = lambda x: x.bitwiseAND(shift("shiftleft", F.lit(1).cast("long")) - 1)
-    alike = lambda x, y: F.coalesce(shift("shiftrightunsigned", x.bitwiseXOR(y)) == 0, F.lit(False))
+    alike = lambda x, name, k: shift("shiftrightunsigned", x.bitwiseXOR(F.get(name, k))) == 0
+    df = bind(df, _q=F.filter("_g", lambda x, k: alike(x, "_g", k + 1) | alike(x, "_g", k - 1)))
     word = lambda x, d: F.get("_w", (place(x) + d).cast("int"))
     differ = lambda x, y: ~(word(x, 0).eqNullSafe(word(y, 0)) & word(x, 1).eqNullSafe(word(y, 1)) & word(x, 2).eqNullSafe(word(y, 2)))
-    clash = F.size(F.filter("_g", lambda x, k: alike(x, F.get("_g", k + 1)) & differ(x, F.get("_g", k + 1)))) > 0
-    hashed = F.transform(F.filter("_g", lambda x, k: alike(x, F.get("_g", k + 1)) | alike(x, F.get("_g", k - 1))), place)
-    df = bind(df, _r=F.sort_array(F.when(clash, exact_repeats(F.col("_w"))).otherwise(hashed)))
+    clash = F.size(F.filter("_q", lambda x, k: alike(x, "_q", k + 1) & differ(x, F.get("_q", k + 1)))) > 0
+    df = bind(df, _r=F.sort_array(F.when(clash, exact_repeats(F.col("_w"))).otherwise(F.transform("_q", place))))
     gaps = F.transform("_r", lambda i, k: F.least(F.lit(3).cast("long"), F.get("_r", k + 1) - i))
     covered = F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
     return df.select(
@@ -87,7 +87,7 @@ def statistics(df: DataFrame) -> DataFrame:
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
-    ).drop("_bits", "_g", "_r", "_l")
+    ).drop("_bits", "_g", "_q", "_r", "_l")
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

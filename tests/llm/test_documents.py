@@ -83,7 +83,7 @@ def test_windows_with_equal_hashes_are_compared(spark, monkeypatch):
     """With one hash for all windows, the words decide."""
     draw = random.Random(3)
     texts = [" ".join(draw.choice("abcde") for _ in range(n)) for n in (0, 1, 2, 3, 4, 9, 40, 300)]
-    df = documents(spark, texts).withColumn("_w", quality.words(F.col("text")))
+    df = documents(spark, texts).withColumn("_w", quality.words(F.col("text"))).withColumn("_h", F.transform("_w", lambda w: F.length(w).cast("long")))
     monkeypatch.setattr(F, "xxhash64", lambda *columns: F.lit(7).cast("long"))
     got = quality.statistics(df).select("text", "n_repeat_words")
     assert [r["n_repeat_words"] for r in got.collect()] == [base(t)[4] for t in texts]
