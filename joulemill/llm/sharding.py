@@ -3,7 +3,7 @@
 Rows are put in one global order, range-partitioned and written; byte totals per partition give every partition its offset, running sums
 inside the partition give every row its place, and the line of all bytes is cut at equal targets. The order is the hash of the text,
 so copies of one text lie side by side, with the large groups of copies in front; a cut that would fall inside a group of copies moves to
-the nearer edge of the group, unless the group is larger than a shard.
+the nearer edge of the group, unless that is further than a small share of a shard: equal sizes come first, and the group is split there.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from joulemill.llm.registry import query, table
 from joulemill.storage import cut
 
 SHARDS = 8
+SHIFT = 0.05  # of a shard; a cut moves no further to keep a group of copies in one piece
 LARGE = 1024  # a group with more than one LARGE-th of the bytes or rows goes in front; so there are fewer than 2 * LARGE of them
 
 
@@ -41,7 +42,7 @@ def placed(rows: DataFrame) -> DataFrame:
 
 
 def cuts(rows: DataFrame, shards: int) -> list[int]:
-    """Byte positions where shards 1, 2, ... begin: equal targets, moved to the nearer edge of a group of copies. Only the groups at a
+    """Byte positions where shards 1, 2, ... begin: equal targets, moved to the nearer edge of a group of copies where that is near. Only the groups at a
     target, at most one for each cut, reach the driver."""
     total = rows.agg(F.sum("size")).first()[0] or 0
     marks = [total * k / shards for k in range(1, shards)]
@@ -54,18 +55,18 @@ def cuts(rows: DataFrame, shards: int) -> list[int]:
     struck = rows.filter(hit).select("_g").distinct()
     spans = [tuple(r) for r in rows.join(F.broadcast(struck), "_g").groupBy("_g").agg(F.min("_at"), F.max(F.col("_at") + F.col("size"))).select("min(_at)", "max((_at + size))").collect()]
     rows_hit = [tuple(r) for r in rows.filter(hit).select("_at", F.col("_at") + F.col("size")).collect()]
+    edges = lambda pieces, m: min((e for p in pieces if p[0] < m < p[1] for e in p), key=lambda e: abs(e - m), default=m)
     found = []
     for m in marks:
-        inside = [s for s in spans if s[0] < m < s[1] and (s[1] - s[0]) * shards <= total] or [s for s in rows_hit if s[0] < m < s[1]]
-        edges = inside[0] if inside else (m, m)
-        found.append(int(min(edges, key=lambda e: abs(e - m))))
+        edge = edges(spans, m)
+        found.append(int(edge if abs(edge - m) * shards <= SHIFT * total else edges(rows_hit, m)))
     return sorted(found)
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for every row of ``docs``; ``size`` is the bytes of the text plus one.
 
-    A null text counts as empty; rows of size 1 are ordered and dealt out like others, repeated rows and ids each get a slot of their
+    A null text counts as empty; a long one is measured whole and never cut; rows of size 1 are ordered and dealt out like others, repeated rows and ids each get a slot of their
     own, and with fewer groups than shards some shards stay empty. Only ids, sizes and hashes are shuffled, never texts."""
     rows = cut(placed(ordered(docs)), "placed")
     number = F.lit(0)

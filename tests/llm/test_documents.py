@@ -404,6 +404,9 @@ def test_sharding(spark, odd):
     assert sharding.shard(odd).count() == 15 and sharding.shard(odd.limit(0)).count() == 0
     one = spark.range(800).selectExpr("id AS doc_id", "'all alike' AS text")
     assert sorted(r["count"] for r in sharding.shard(one).groupBy("shard").count().collect()) == [100] * 8
+    groups = spark.range(13 * 300).selectExpr("id AS doc_id", "repeat(concat('group ', id % 13, ' '), 20) AS text")  # each 8/13 of a shard
+    sizes = [r["b"] for r in sharding.shard(groups).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 1.11 * min(sizes)
     assert sharding.shard(texts, 1).select("shard").distinct().count() == 1
 
 
