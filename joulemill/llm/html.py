@@ -23,8 +23,10 @@ from joulemill.llm.registry import query, table
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math nobr q s samp small span strike strong sub sup time tt u var wbr".split())
+FORMULA = set("maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split())
+INLINE |= FORMULA
 NONE: frozenset[str] = frozenset()
-SILENT = set("audio button canvas datalist dialog head iframe input math noscript object option script select style svg template textarea title video".split())
+SILENT = set("annotation annotation-xml audio button canvas datalist dialog head iframe input noscript object option script select style svg template textarea title video".split())
 AROUND = set("aside footer header menu nav search".split())
 ROLES = set("banner navigation complementary contentinfo search alert dialog menu menubar".split())
 #: Words of a class or id that may name surroundings.
@@ -109,7 +111,7 @@ class Page(HTMLParser):
         return self.elements[element][1]
 
     def within(self, tags: set[str]) -> bool:
-        return any(self.elements[e][1] in tags for e in self.stack[-32:])
+        return any(self.open[t] for t in tags)
 
     def end(self, tags: set[str], scope: set[str]) -> None:
         """Ends the innermost open element of ``tags`` and all within it, unless one of ``scope`` lies between."""

@@ -38,6 +38,14 @@ def test_names_and_forms_around_the_article(wrapper):
     assert html.main_text(page) == PLAIN
 
 
+def test_formulas_and_deep_headers():
+    long = "<p>" + "A sentence of the article, with some words. " * 8 + "</p>"
+    page = f"<main><p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>E=m in words</annotation></math> holds, " + "as all of this says. " * 9 + f"</p>{long}</main>"
+    assert html.main_text(page).startswith("Energy E=m holds, as all")
+    deep = "<main>" + "<div>" * 60 + f"<header><h1>The headline</h1></header>{long}" + "</div>" * 60 + "</main>"
+    assert html.main_text(deep).startswith("The headline A sentence")
+
+
 def test_article_in_parts_and_its_header():
     parts = "".join(f'<div class="elementor-widget-container">{p}</div>' for p in re.findall("<(?:h1|p)>.*?</(?:h1|p)>", ARTICLE))
     assert html.main_text(f'<body><div class="page">{parts}</div><div class="comments"><p>Nice, thanks.</div>') == PLAIN
