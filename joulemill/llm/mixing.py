@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from joulemill.llm.registry import query, table
-from joulemill.llm.words import SQL_WORDS, word_count
+from joulemill.llm.words import free_names, SQL_WORDS, word_count
 from joulemill.storage import cut
 
 WEIGHTS = (1, 2, 3)  # dealt to the sources in order, repeating
@@ -55,13 +55,14 @@ def counted(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """The mixed corpus: rows of ``docs`` as often as their source's rate asks, all columns as they were (names that begin with ``_``
-    are reserved). The texts are not shuffled: a row is repeated where it lies, by the rate of its source."""
+    """The mixed corpus: rows of ``docs`` as often as their source's rate asks, all columns as they were, whatever their names. The texts are
+    not shuffled: a row is repeated where it lies, by the rate of its source. A null source is one of its own."""
+    s, r, n = free_names(docs.columns, "s", "rate", "n")
     sizes = docs.select("source", word_count(F.col("text")).alias("size"))
-    rates = cut(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "rates").select(F.col("source").alias("_s"), F.col("rate").alias("_rate"))
-    df = docs.join(rates, F.col("source").eqNullSafe(F.col("_s")))
-    copies = F.floor("_rate") + (draw(F.col("doc_id")) < F.col("_rate") - F.floor("_rate")).cast("long")
-    return df.withColumn("_n", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(docs.columns)
+    rates = cut(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "rates").select(F.col("source").alias(s), F.col("rate").alias(r))
+    df = docs.join(rates, F.col("source").eqNullSafe(F.col(s)))
+    copies = F.floor(r) + (draw(F.col("doc_id")) < F.col(r) - F.floor(r)).cast("long")
+    return df.withColumn(n, F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 #: Sources and rates of a table ``mix_in`` (doc_id, source, size).
