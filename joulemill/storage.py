@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BROADCAST_BYTES = 32 << 20
 FILE_BYTES = 128 << 20  # of a bucket's file, about
+TASK_BYTES = 64 << 20  # of the rows that one task of a numbered exchange gets, in memory, about
 SCRATCH: list[str] = []  # paths that this process has handed out and not yet released
 
 
@@ -61,12 +62,20 @@ def gathered(df: DataFrame, *keys: str) -> DataFrame:
     return df.hint("rebalance", *[F.col(k) for k in keys])
 
 
+def tasks_needed(df: DataFrame, target: int | None = None) -> int:
+    """Number of tasks at which each holds about ``target`` bytes (``TASK_BYTES``) of rows in memory. The rows are counted, which reads no columns of plain tables.
+
+    Files say little of it: encoded and compressed, a row may take a tenth of its place in a sort or a hash table."""
+    row = df._jdf.schema().defaultSize() + 32  # with the row's header and its entry in a sort
+    return max(1, -(-df.count() * row // (target or TASK_BYTES)))
+
+
 def bucket_number(*tables: DataFrame, target: int = FILE_BYTES) -> int:
-    """Number of buckets, a power of two, at which the largest table's buckets hold about ``target`` bytes, by the planner's estimate.
+    """Number of buckets, a power of two, at which the largest table's buckets hold about ``target`` bytes by the planner's estimate, and no more rows than a task takes.
 
     Tables that are joined take one number; with powers of two, tables bucketed at different times still match, as buckets can be joined."""
-    size = max(estimated_bytes(df) for df in tables)
-    return 1 << max(0, (-(-size // target) - 1).bit_length())
+    need = max(max(-(-estimated_bytes(df) // target), tasks_needed(df)) for df in tables)
+    return 1 << max(0, (need - 1).bit_length())
 
 
 def write_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:

@@ -59,3 +59,11 @@ def test_group_aggregates_keep_their_shapes_apart(spark, folder, tables):
         m = statistics.fmean(q)
         assert g["median"] == statistics.median(q) and g["mad"] == pytest.approx(statistics.fmean(abs(x - m) for x in q), abs=1e-6)
         assert g["mean"] == pytest.approx(m, abs=1e-6) and g["std"] == pytest.approx(statistics.stdev(q), abs=1e-6)
+
+
+def test_buckets_follow_the_rows(spark, folder, tables, monkeypatch):
+    """Rows that compress to next to nothing still take their place in memory."""
+    monkeypatch.setattr(storage, "TASK_BYTES", 100_000, raising=False)
+    at = tables(folder, orders=orders(spark, 20_000).withColumn("o_orderkey", F.lit(1).cast("long")).coalesce(1))
+    kept = spark.read.parquet(f"{at}/orders.parquet").select("o_orderkey", "o_custkey")
+    assert storage.estimated_bytes(kept) < 500_000 and bucket_number(kept) == 16
