@@ -67,3 +67,13 @@ def test_buckets_follow_the_rows(spark, folder, tables, monkeypatch):
     at = tables(folder, orders=orders(spark, 20_000).withColumn("o_orderkey", F.lit(1).cast("long")).coalesce(1))
     kept = spark.read.parquet(f"{at}/orders.parquet").select("o_orderkey", "o_custkey")
     assert storage.estimated_bytes(kept) < 500_000 and bucket_number(kept) == 16
+
+
+def test_xpath_rows_are_dealt_out(spark, folder, tables):
+    """A table of one file is parsed by several tasks."""
+    p = spark.range(25_000).select(F.col("id").alias("p_partkey"), F.lit("red bolt").alias("p_name"), (F.col("id") % 50).cast("int").alias("p_size"), (F.col("id") / 4).alias("p_retailprice"))
+    at = tables(folder, part=p.coalesce(1))
+    df = load()["xml_1_xpath"](spark, at)
+    assert df.rdd.getNumPartitions() == 3
+    got = df.agg(F.count("*"), F.sum("size"), F.sum("price"), F.bool_and("same"), F.sum(F.col("big").cast("int"))).first()
+    assert tuple(got) == (25_000, 500 * sum(range(50)), sum(round(i / 4, 2) for i in range(25_000)), True, 500 * 24)
