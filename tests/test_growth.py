@@ -67,6 +67,10 @@ def test_buckets_follow_the_rows(spark, folder, tables, monkeypatch):
     at = tables(folder, orders=orders(spark, 20_000).withColumn("o_orderkey", F.lit(1).cast("long")).coalesce(1))
     kept = spark.read.parquet(f"{at}/orders.parquet").select("o_orderkey", "o_custkey")
     assert storage.estimated_bytes(kept) < 500_000 and bucket_number(kept) == 16
+    seen = []
+    monkeypatch.setattr("joulemill.operators.layout.bucket_number", lambda *a: seen.append(bucket_number(*a)) or seen[-1])
+    load()["lay_t_partition_transforms"](spark, at)
+    assert seen == [16]
 
 
 def test_xpath_rows_are_dealt_out(spark, folder, tables):
