@@ -37,6 +37,14 @@ def orders(spark, n):
         F.col("id").cast("double").alias("o_totalprice"), day.alias("o_orderdate"), F.when(F.col("id") % 5 > 0, (F.col("id") % 3).cast("string")).alias("o_orderpriority"))
 
 
+def test_sketches_stand_beside_distinct_counts(spark, folder, tables):
+    """No aggregate that is keyed by customer carries a sketch."""
+    at = tables(folder, orders=orders(spark, 400))
+    for name in ("rd_05_approximate",):
+        lines = [x for x in plan(load()[name](spark, at)).splitlines() if "Aggregate" in x and "approx_count_distinct" in x]
+        assert lines and not any("o_custkey" in re.search(r"keys=\[(.*?)\]", x)[1] for x in lines), name
+
+
 def test_group_aggregates_keep_their_shapes_apart(spark, folder, tables):
     """Distinct parts multiply nothing else; nulls, repeated rows and a group without quantities."""
     draw = random.Random(6)
