@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Observation, Window, functions as F
 
 from joulemill.operators.exact import exact_avg, rounded
-from joulemill.operators.ordered import one_per_key, percentiles
+from joulemill.operators.ordered import attach, one_per_key, percentiles
 from joulemill.registry import query
 from joulemill.storage import checked_broadcast, cut
 from joulemill.tables import Tables
@@ -231,13 +231,16 @@ def ordered(t):
 @query("agg_2_distinct", "AGG-2", """
 SELECT o_orderpriority, count(DISTINCT o_custkey) AS d, sum(DISTINCT o_custkey)::BIGINT AS sd, count(DISTINCT (o_custkey, o_orderstatus)) AS pairs, true AS near FROM orders GROUP BY 1""")
 def distinct_aggs(t):
-    """One row per customer and status first, then per customer: a single set of distinct columns is left, which needs no copy of the rows."""
-    d = F.count_distinct("o_custkey")
+    """One row per customer and status first, then per customer: a single set of distinct columns is left, which needs no copy of the rows.
+
+    The sketches are an aggregate of their own, one for each priority: beside the distinct ones, every customer would carry a sketch."""
     pairs = t.orders.groupBy("o_orderpriority", "o_custkey", "o_orderstatus").agg(F.lit(1).alias("one"))
     customers = pairs.groupBy("o_orderpriority", "o_custkey").agg(F.count(F.when(F.col("o_custkey").isNotNull() & F.col("o_orderstatus").isNotNull(), 1)).alias("pairs"))
-    return customers.groupBy("o_orderpriority").agg(
-        F.countDistinct("o_custkey").alias("d"), F.when(F.sumDistinct("o_custkey") == F.sum_distinct("o_custkey"), F.sum_distinct("o_custkey")).alias("sd"), F.sum("pairs").alias("pairs"),
-        (F.abs(F.greatest(F.approx_count_distinct("o_custkey", 0.02), F.approxCountDistinct("o_custkey", 0.02)) - d) <= F.greatest(d * 0.1, F.lit(2))).alias("near"))
+    exact = customers.groupBy("o_orderpriority").agg(
+        F.countDistinct("o_custkey").alias("d"), F.count_distinct("o_custkey").alias("_d"), F.when(F.sumDistinct("o_custkey") == F.sum_distinct("o_custkey"), F.sum_distinct("o_custkey")).alias("sd"), F.sum("pairs").alias("pairs"))
+    sketched = t.orders.groupBy("o_orderpriority").agg(F.greatest(F.approx_count_distinct("o_custkey", 0.02), F.approxCountDistinct("o_custkey", 0.02)).alias("_a"))
+    d = F.col("_d")
+    return attach(exact, sketched, ["o_orderpriority"]).select("o_orderpriority", "d", "sd", "pairs", (F.abs(F.col("_a") - d) <= F.greatest(d * 0.1, F.lit(2))).alias("near"))
 
 
 @query("agg_3_statistics", "AGG-3", """

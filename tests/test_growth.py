@@ -38,11 +38,17 @@ def orders(spark, n):
 
 
 def test_sketches_stand_beside_distinct_counts(spark, folder, tables):
-    """No aggregate that is keyed by customer carries a sketch."""
+    """No aggregate that is keyed by customer carries a sketch; null priorities meet theirs."""
     at = tables(folder, orders=orders(spark, 400))
-    for name in ("rd_05_approximate",):
+    for name in ("agg_2_distinct", "rd_05_approximate"):
         lines = [x for x in plan(load()[name](spark, at)).splitlines() if "Aggregate" in x and "approx_count_distinct" in x]
         assert lines and not any("o_custkey" in re.search(r"keys=\[(.*?)\]", x)[1] for x in lines), name
+    got = {r["o_orderpriority"]: (r["d"], r["sd"], r["pairs"], r["near"]) for r in load()["agg_2_distinct"](spark, at).collect()}
+    rows = [(str(i % 3) if i % 5 else None, i % 37 if i % 11 else None, "F" if i % 7 else None) for i in range(400)]
+    for p in (None, "0", "1", "2"):
+        held = {(c, s) for q, c, s in rows if q == p}
+        customers = {c for c, _ in held if c is not None}
+        assert got[p] == (len(customers), sum(customers), sum(c is not None and s is not None for c, s in held), True)
 
 
 def test_group_aggregates_keep_their_shapes_apart(spark, folder, tables):
