@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from joulemill.registry import query
+from joulemill.storage import spread
 
 
 def day(text: str) -> Column:
@@ -274,9 +275,12 @@ WITH x AS (SELECT l_orderkey, l_suppkey, max(CASE WHEN l_shipdate > o_orderdate
 y AS (SELECT l_orderkey FROM x GROUP BY 1 HAVING count(*) > 1 AND sum(late) = 1)
 SELECT s_name, count(*) AS n FROM x JOIN y USING (l_orderkey) JOIN supplier ON s_suppkey = l_suppkey WHERE late = 1 GROUP BY 1""")
 def q21(t):
-    """Exists / not exists per order become one aggregate: several suppliers, exactly one of them late."""
+    """Exists / not exists per order become one aggregate: several suppliers, exactly one of them late.
+
+    The join and both aggregates run in the tasks that the lines are dealt to, so their number follows the lines."""
     o = t.orders.filter("o_orderstatus = 'F'").select("o_orderkey", "o_orderdate")
-    last = t.lineitem.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").groupBy("l_orderkey", "l_suppkey").agg(F.max("l_shipdate").alias("l_shipdate"))
+    lines = spread(t.lineitem.select("l_orderkey", "l_suppkey", "l_shipdate"), "l_orderkey")
+    last = lines.groupBy("l_orderkey", "l_suppkey").agg(F.max("l_shipdate").alias("l_shipdate"))
     x = last.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_suppkey", late().cast("int").alias("late"))
     y = x.groupBy("l_orderkey").agg(F.count("*").alias("suppliers"), F.sum("late").alias("lates"), F.max_by("l_suppkey", "late").alias("l_suppkey")).filter("suppliers > 1 AND lates = 1")
     return y.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("s_name").agg(F.count("*").alias("n"))

@@ -70,6 +70,12 @@ def tasks_needed(df: DataFrame, target: int | None = None) -> int:
     return max(1, -(-df.count() * row // (target or TASK_BYTES)))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` over as many tasks as their size in memory asks for, at least as many as there are cores: what a task then sorts, joins or groups
+    stays the same as tables grow. Adaptive execution leaves a numbered exchange as it is."""
+    return df.repartition(max(tasks_needed(df), df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def bucket_number(*tables: DataFrame, target: int = FILE_BYTES) -> int:
     """Number of buckets, a power of two, at which the largest table's buckets hold about ``target`` bytes by the planner's estimate, and no more rows than a task takes.
 

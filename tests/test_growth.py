@@ -95,3 +95,9 @@ def test_xpath_rows_are_dealt_out(spark, folder, tables):
     assert df.rdd.getNumPartitions() == 3
     got = df.agg(F.count("*"), F.sum("size"), F.sum("price"), F.bool_and("same"), F.sum(F.col("big").cast("int"))).first()
     assert tuple(got) == (25_000, 500 * sum(range(50)), sum(round(i / 4, 2) for i in range(25_000)), True, 500 * 24)
+
+
+def test_waiting_suppliers_are_dealt_by_size(spark, folder, monkeypatch):
+    monkeypatch.setattr(storage, "TASK_BYTES", 10_000, raising=False)
+    parts = re.findall(r"hashpartitioning\(l_orderkey#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan(load()["tpch_21_waiting_suppliers"](spark, folder)))
+    assert parts and int(parts[0]) > 20
