@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 STEP = 40
@@ -38,6 +39,14 @@ def joined(sums: list[Column]) -> Column:
     return total + F.coalesce(sums[4], F.lit(0.0))
 
 
+def piece_sums(x: np.ndarray) -> list[int | float]:
+    """Sums over an array of what ``parts`` makes of each value: what a task hands on where it has many rows for few totals."""
+    inside = np.abs(x) < MOST
+    value, low = np.where(inside, x, 0.0), (1 << 30) - 1
+    whole = [(value / WEIGHT).astype(np.int64), *[np.fmod(value * WEIGHT**i, WEIGHT).astype(np.int64) for i in range(3)]]
+    return [*[(int((w >> 30).sum()) << 30) + int((w & low).sum()) for w in whole], float(x[~inside].sum())]
+
+
 def exact_sum(x: Column | str) -> Column:
     """Aggregate: the order-independent sum; null if all are."""
     return joined([F.sum(p) for p in parts(F.col(x) if isinstance(x, str) else x)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import decimal
 import math
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from joulemill.carbon import accounting as acc
-from joulemill.operators.exact import exact_sum
+from joulemill.operators.exact import exact_sum, joined, piece_sums
 from joulemill.registry import query
 from joulemill.storage import cut, gathered, scratch
 from joulemill.streaming import sessions
@@ -311,6 +312,29 @@ w0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c, 0.0::DOUBLE
 any_value(c) - {RATES[1]} * sum(1 / (1 + exp(-(c + d * x))) - z) / count(*) AS c, any_value(d) - {RATES[1]} * sum((1 / (1 + exp(-(c + d * x))) - z) * x) / count(*) AS d FROM p CROSS JOIN w{i})""" for i in range(STEPS)]])
 
 
+PIECES = "value int, rows long, top decimal(38,0), units decimal(38,0), low decimal(38,0), lowest decimal(38,0), beyond double"
+
+
+def gradient_sums(points, w):
+    """Number of points and the sums of both models' misses, plain and by x: one row of exact partial sums per value and task, so any partitioning gives the same bits."""
+    (a, b), (c, d) = w["linear"], w["logistic"]
+
+    def added(batches):
+        rows, sums = 0, [[0, 0, 0, 0, 0.0] for _ in range(4)]
+        for batch in batches:
+            x, y, z = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            with np.errstate(over="ignore", invalid="ignore"):
+                miss, off = a + b * x - y, 1 / (1 + np.exp(-(c + d * x))) - z
+                found = [piece_sums(v) for v in (miss, miss * x, off, off * x)]
+            rows, sums = rows + batch.num_rows, [[p + q for p, q in zip(old, new)] for old, new in zip(sums, found)]
+        whole = [pa.array([decimal.Decimal(s[i]) for s in sums], pa.decimal128(38, 0)) for i in range(4)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(4), pa.int32()), pa.array([rows] * 4, pa.int64()), *whole, pa.array([s[4] for s in sums])], ["value", "rows", "top", "units", "low", "lowest", "beyond"])
+
+    pieces = points.select("x", "y", "z").mapInArrow(added, PIECES).groupBy("value").agg(F.sum("rows").alias("n"), joined([F.sum(p) for p in ("top", "units", "low", "lowest", "beyond")]).alias("s"))
+    rows = sorted(pieces.collect())  # four rows, none if there is no point
+    return [rows[0]["n"], *[r["s"] for r in rows]] if rows else [0]
+
+
 def descend(model, batch, steps=STEPS):
     """Gradient steps of a linear and a logistic model on the batch; each step is one small exact aggregate."""
     spark = batch.sparkSession
@@ -319,9 +343,7 @@ def descend(model, batch, steps=STEPS):
     w = {r["model"]: (r["intercept"], r["slope"]) for r in model.collect()}  # two rows
     for _ in range(steps):
         (a, b), (c, d) = w["linear"], w["logistic"]
-        miss = F.lit(a) + F.lit(b) * F.col("x") - F.col("y")
-        off = 1 / (1 + F.exp(-(F.lit(c) + F.lit(d) * F.col("x")))) - F.col("z")
-        g = points.agg(F.count("*"), *[exact_sum(m) for m in (miss, miss * F.col("x"), off, off * F.col("x"))]).first()
+        g = gradient_sums(points, w)
         if not g[0]:
             break
         w = {"linear": (a - RATES[0] * g[1] / g[0], b - RATES[0] * g[2] / g[0]), "logistic": (c - RATES[1] * g[3] / g[0], d - RATES[1] * g[4] / g[0])}

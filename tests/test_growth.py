@@ -1,16 +1,21 @@
 """What a task holds and what is shuffled follows the input: one test for every query that a review named, on rows of its own."""
 
+import math
 import random
 import re
 import statistics
+from fractions import Fraction
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from joulemill import storage
+from joulemill.operators.exact import parts, piece_sums
 from joulemill.registry import load
 from joulemill.storage import bucket_number
+from joulemill.streaming.queries import gradient_sums
 
 
 @pytest.fixture
@@ -101,3 +106,23 @@ def test_waiting_suppliers_are_dealt_by_size(spark, folder, monkeypatch):
     monkeypatch.setattr(storage, "TASK_BYTES", 10_000, raising=False)
     parts = re.findall(r"hashpartitioning\(l_orderkey#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan(load()["tpch_21_waiting_suppliers"](spark, folder)))
     assert parts and int(parts[0]) > 20
+
+
+def test_gradient_sums_are_exact_at_any_partitioning(spark):
+    draw = random.Random(7)
+    rows = [(draw.uniform(-2, 2), draw.uniform(-1, 1) * 10.0 ** draw.randint(-9, 9), float(draw.random() < 0.5)) for _ in range(3000)]
+    df, w = spark.createDataFrame(rows, "x double, y double, z double"), {"linear": (0.3, -1.7), "logistic": (0.1, 0.9)}
+    seen = {tuple(gradient_sums(df.repartition(n), w)) for n in (1, 3, 17)}
+    assert len(seen) == 1
+    got = seen.pop()
+    miss = [Fraction(0.3 + -1.7 * x - y) for x, y, _ in rows]
+    assert got[0] == 3000 and got[1] == pytest.approx(float(sum(miss)), rel=1e-15)
+    assert got[2] == pytest.approx(float(sum(Fraction(float(m) * x) for m, (x, _, _) in zip(miss, rows))), rel=1e-15)
+    assert got[3] == pytest.approx(sum(1 / (1 + math.exp(-(0.1 + 0.9 * x))) - z for x, _, z in rows), abs=1e-9)
+    assert gradient_sums(df.limit(0), w) == [0]
+
+
+def test_pieces_of_arrays_are_those_of_columns(spark):
+    values = [0.1, -0.0, 1e29, -1e29, 5e-324, -3.75, 2.0**62, -(2.0**40) - 0.5, 1e300, float("inf")]
+    sums = spark.createDataFrame([(v,) for v in values], "x double").agg(*[F.sum(p) for p in parts(F.col("x"))]).first()
+    assert piece_sums(np.array(values)) == [*map(int, sums[:4]), sums[4]]
