@@ -9,10 +9,12 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.ml import feature as X, stat as S
 from pyspark.sql import functions as F
 
 from joulemill import storage
 from joulemill.operators.exact import parts, piece_sums
+from joulemill.plans.learning import spearman
 from joulemill.registry import load
 from joulemill.storage import bucket_number
 from joulemill.streaming.queries import gradient_sums
@@ -126,3 +128,12 @@ def test_pieces_of_arrays_are_those_of_columns(spark):
     values = [0.1, -0.0, 1e29, -1e29, 5e-324, -3.75, 2.0**62, -(2.0**40) - 0.5, 1e300, float("inf")]
     sums = spark.createDataFrame([(v,) for v in values], "x double").agg(*[F.sum(p) for p in parts(F.col("x"))]).first()
     assert piece_sums(np.array(values)) == [*map(int, sums[:4]), sums[4]]
+
+
+def test_rank_correlation_is_the_built_in_one(spark):
+    """Ties at their mean rank, repeated rows, one value for all in a column beside."""
+    draw = random.Random(8)
+    df = spark.createDataFrame([(float(draw.randrange(6)), draw.choice([-1.0, 0.5]) * draw.randrange(40)) for _ in range(500)], "a double, b double")
+    want = S.Correlation.corr(X.VectorAssembler(inputCols=["a", "b"], outputCol="v").transform(df), "v", "spearman").first()[0].toArray()[0, 1]
+    assert spearman(df, "a", "b") == pytest.approx(want, abs=1e-12)
+    assert spearman(df.select("a", (-F.col("a")).alias("b")), "a", "b") == pytest.approx(-1)
