@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from joulemill.storage import cut
 
 COMPACT = 10  # rounds kept as separate tables before they are written as one
+FAN = 1024  # receivers in one row of a vertex's edges, about
 
 
 def transitive_closure(edges: DataFrame) -> DataFrame:
@@ -150,21 +151,30 @@ def pagerank_to_tolerance(edges: DataFrame, tolerance: float, damping: float = 0
     """(id, rank, residual) with rank = 1 - damping + damping * (the shares sent to it), up to ``tolerance``, by pushing residuals.
 
     A vertex holds a rank and a residual, what it has received and not passed on. Each round the vertices whose residual exceeds the tolerance add
-    it to their rank and push ``damping`` of it along their edges; the others rest. ``every`` rounds are one job, written at its end. At the end rank and residual satisfy the equation exactly
+    it to their rank and push ``damping`` of it along their edges; the others rest. A round is one join and one aggregate that read the state once, as every
+    vertex also sends what it keeps to itself; ``every`` rounds are written together. At the end rank and residual satisfy the equation exactly
     (up to rounding) with every residual at or below the tolerance. The residuals shrink by ``damping`` a round in total, so ``most`` rounds are
-    enough for any tolerance above 1e-60; should they not be, an error is raised rather than an unfinished result returned."""
+    enough for any tolerance above 1e-60; should they not be, an error is raised rather than an unfinished result returned. Edges from null are left
+    out; those to null count as edges, and null is a vertex that receives nothing."""
     links = edges.select("src", "dst").distinct()
     links = cut(links.join(links.groupBy("src").agg(F.count("*").alias("out")), "src"), "links")
     ids = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
-    state = cut(ids.select("id", F.lit(0.0).alias("rank"), F.lit(1 - damping).alias("residual")), "ranks")
+    # Rows of at most about FAN receivers, however many edges a vertex has. The one with out = 0 is the vertex's own.
+    fan = F.pmod(F.xxhash64("dst"), F.ceil(F.col("out") / FAN)).alias("_fan")
+    sends = links.filter("dst IS NOT NULL").groupBy(F.col("src").alias("id"), "out", fan).agg(F.collect_list("dst").alias("to")).drop("_fan")
+    sends = cut(sends.unionByName(ids.dropna().select("id", F.lit(0).cast("long").alias("out"), F.array("id").alias("to"))), "sends")
+    start = ids.select("id", F.lit(0.0).alias("rank"), F.lit(1 - damping).alias("residual"))
+    own, pushes, residual = F.col("out") == 0, F.col("residual") > tolerance, F.col("residual")
+    state = cut(start.dropna(), "ranks")
     for i in range(most):
-        active = state.filter(F.col("residual") > tolerance)
-        if i % every == 0 and active.isEmpty():
-            return state
-        pushed = active.join(links, active.id == links.src).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("residual") * damping / F.col("out")).alias("_in"))
-        kept = F.when(F.col("residual") > tolerance, 0.0).otherwise(F.col("residual"))
-        gone = F.when(F.col("residual") > tolerance, F.col("residual")).otherwise(0.0)
-        state = state.join(pushed, "id", "left").select("id", (F.col("rank") + gone).alias("rank"), (kept + F.coalesce("_in", F.lit(0.0))).alias("residual"))
+        if i % every == 0 and state.filter(pushes).isEmpty():
+            alone = start.filter("id IS NULL")
+            return state.union(alone.select("id", F.when(pushes, residual).otherwise(F.col("rank")), F.when(pushes, 0.0).otherwise(residual)))
+        sent = state.join(sends, "id").filter(own | pushes).select(
+            F.explode("to").alias("id"),
+            F.when(own, F.col("rank") + F.when(pushes, residual).otherwise(0.0)).otherwise(0.0).alias("rank"),
+            F.when(own, F.when(pushes, 0.0).otherwise(residual)).otherwise(residual * damping / F.col("out")).alias("residual"))
+        state = sent.groupBy("id").agg(F.sum("rank").alias("rank"), F.sum("residual").alias("residual"))
         if (i + 1) % every == 0:
             state = cut(state, "ranks")
     raise RuntimeError(f"residuals above {tolerance} are left after {most} rounds")

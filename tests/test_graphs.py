@@ -137,6 +137,34 @@ def test_ranks_satisfy_their_equation(spark):
         graphs.pagerank_to_tolerance(edges, 1e-3, most=3)
 
 
+def test_rounds_read_their_state_once(spark, monkeypatch):
+    """What is written at once grows with its rounds, not with the power of two; a vertex may have more receivers than a row, and null is a vertex."""
+    plain, joins = graphs.cut, {}
+
+    def counted(df, label="cut"):
+        joins.setdefault(label, []).append(sum("Join" in x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+        return plain(df, label)
+
+    monkeypatch.setattr(graphs, "cut", counted)
+    monkeypatch.setattr(graphs, "FAN", 4, raising=False)
+    pairs = [(0, i) for i in range(1, 31)] * 2 + [(i, 0) for i in range(1, 31, 2)] + [(3, None), (None, 4), (2, 2)]
+    got = {r["id"]: (r["rank"], r["residual"]) for r in graphs.pagerank_to_tolerance(spark.createDataFrame(pairs, "src long, dst long"), 1e-3).collect()}
+    assert max(joins["ranks"]) == 5
+    out = {}
+    for s, d in set(pairs):
+        if s is not None:
+            out.setdefault(s, []).append(d)
+    want = {v: (0.0, 0.15) for v in [*range(31), None]}
+    while any(r > 1e-3 for _, r in want.values()):
+        due = {v: r for v, (_, r) in want.items() if r > 1e-3}
+        want = {v: (p + due.get(v, 0.0), 0.0 if v in due else r) for v, (p, r) in want.items()}
+        for v, r in due.items():
+            for d in out.get(v, []):
+                if d is not None:
+                    want[d] = want[d][0], want[d][1] + r * 0.85 / len(out[v])
+    assert got.keys() == want.keys() and all(got[v] == pytest.approx(want[v], abs=1e-12) for v in want)
+
+
 def test_kmeans_bounds_and_limit(spark):
     import numpy as np
 
