@@ -197,21 +197,30 @@ def merged(docs: DataFrame, level: int, bits: list[np.ndarray], hot: dict[tuple[
     return together.groupBy("lang", "prefix", "segment", "next").agg(F.sum("counts").alias("f"))
 
 
+def bits_for(n: int) -> int:
+    """Size of the bit array of ``n`` hashes, a power of two: 16 bits for each, MOST_BITS at most."""
+    return min(MOST_BITS, max(1 << 16, 1 << (16 * max(n, 1) - 1).bit_length()))
+
+
+def set_bits(found: DataFrame, size: int) -> np.ndarray:
+    """The bit array of these places, which count from 1."""
+    rows = found.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    out = np.zeros(size // 8, dtype=np.uint8)
+    for row in rows.collect():  # size / 32768 rows of 4 KB
+        out[(row["bucket"] - 1) * 4096 : row["bucket"] * 4096] = np.frombuffer(row["bits"], dtype=np.uint8)[: len(out)]
+    return out
+
+
 def bit_array(phrases: DataFrame, n: int) -> np.ndarray:
     """A bit for the hash of every (lang, phrase), MOST_BITS at most."""
-    size = min(MOST_BITS, max(1 << 16, 1 << (16 * max(n, 1) - 1).bit_length()))
+    size = bits_for(n)
     shift = 64 - (size.bit_length() - 1)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([(phrase_hash(a, b) >> shift) + 1 for a, b in zip(*(c.to_pylist() for c in batch.columns))], pa.int64())], names=["place"])
 
-    found = phrases.select("lang", "phrase").mapInArrow(places, "place long")
-    rows = found.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-    out = np.zeros(size // 8, dtype=np.uint8)
-    for row in rows.collect():  # size / 32768 rows of 4 KB
-        out[(row["bucket"] - 1) * 4096 : row["bucket"] * 4096] = np.frombuffer(row["bits"], dtype=np.uint8)[: len(out)]
-    return out
+    return set_bits(phrases.select("lang", "phrase").mapInArrow(places, "place long"), size)
 
 
 def exact(value) -> F.Column:

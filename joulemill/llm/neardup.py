@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from joulemill.llm.collocations import bits_for, has, set_bits
 from joulemill.llm.registry import query, table
 from joulemill.llm.textbytes import Words, mixed, slices
 from joulemill.plans.graphs import connected_components
@@ -117,21 +118,41 @@ def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def id_hashes(ids: pa.Int64Array) -> np.ndarray:
+    return mixed(ids.to_numpy().astype(np.uint64), 11)
+
+
+def among(wanted: DataFrame) -> np.ndarray:
+    """A bit for the hash of every ``doc_id`` in ``wanted``. Its size is bounded, so that other ids may have theirs."""
+    size = bits_for(wanted.count())
+    shift = np.uint64(64 - (size.bit_length() - 1))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array((id_hashes(batch.column(0)) >> shift).astype(np.int64) + 1)], names=["place"])
+
+    return set_bits(wanted.select("doc_id").mapInArrow(places, "place long"), size)
+
+
 def full_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(cls, shingles) for the classes ``cls`` in ``wanted``, whose sets are built again from their texts."""
+    """(cls, shingles) for the classes ``cls`` in ``wanted``, whose sets are built again from their texts.
+
+    The ids reach the tasks as a bit array, so that no text is shuffled to meet them."""
     wanted = cut(wanted.select("cls").distinct().join(classes.select("cls", "doc_id"), "cls"), "wanted")
-    texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    bits = docs.sparkSession.sparkContext.broadcast(among(wanted))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).filter("doc_id is not null")
     out = pa.schema([("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, len(batch), 256)):
-                sets = list(shingle_sets(part.column(0), words))
+            mine = batch.column(1).filter(pa.array(has(bits.value, id_hashes(batch.column(0)))))
+            for part in (mine.slice(i, 256) for i in range(0, len(mine), 256)):
+                sets = list(shingle_sets(part, words))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*map(set_hash, sets))), lists], schema=out)
 
-    # A repeated id may bring texts of other sets along: the class, made anew, tells.
+    # An error of a bit or a repeated id may bring texts of other sets along: the class, made anew, tells.
     sets = texts.mapInArrow(run, "n_shingles long, set_a long, set_b long, shingles array<long>").select(class_id().alias("cls"), "shingles")
     return cut(sets.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 

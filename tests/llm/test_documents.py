@@ -194,6 +194,31 @@ def test_family_without_links_makes_few_pairs(spark, monkeypatch):
     assert len(seen) == 2 and seen[1] < len(rows) ** 2 / 20
 
 
+def test_texts_of_wanted_sets_are_not_shuffled(spark, monkeypatch):
+    """Their ids are a bit array; where it is far too small, other texts are read as well, with the same sets. Ids are negative, null, repeated and large."""
+    draw = random.Random(12)
+    texts = [*family(draw, 12, 60, 1), *family(draw, 12, 30, 1), "", None, "one"]
+    rows = [(draw.choice([-1, 1]) * (i + 1) * 10**15, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, (None, texts[0]), (rows[1][0], "other text of this id")], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sets = neardup.signed(docs)
+        classes = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("doc_id")).withColumn("cls", neardup.class_id())
+        some = classes.join(spark.createDataFrame([(i,) for i, _ in rows[:9]], "doc_id long"), "doc_id", "left_semi")
+        want = {r["cls"]: r["n_shingles"] for r in some.collect()}
+        plans, plain = [], neardup.cut
+        monkeypatch.setattr(neardup, "cut", lambda df, label="cut": plans.append((label, df._jdf.queryExecution().executedPlan().toString())) or plain(df, label))
+        for most in (1 << 26, 1 << 16):
+            monkeypatch.setattr(neardup, "bits_for", lambda n, most=most: most, raising=False)
+            if most == 1 << 16:
+                monkeypatch.setattr(neardup, "has", lambda bits, hashes: hashes == hashes, raising=False)
+            got = {r["cls"]: len(set(r["shingles"])) for r in neardup.full_sets(some, classes, docs).collect()}
+            assert got == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert all(not re.search(r"Exchange hashpartitioning\(doc_id", p) for label, p in plans if label == "sets")
+
+
 def test_near_duplicates_of_odd_rows(odd, spark):
     got = neardup.near_duplicates(odd)
     assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
