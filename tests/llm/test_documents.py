@@ -526,5 +526,56 @@ def test_words_that_share_an_id_keep_their_own_probability(spark):
     assert plain[5] == plain[6] and full[5] > full[6] + 1
 
 
+def test_common_words_that_share_an_id_are_not_joined(spark, monkeypatch):
+    """Tasks look the commonest up, only the others meet their counts by a join; where the line is drawn doesn't show in any digit."""
+    draw = random.Random(6)
+    docs = documents(spark, [" ".join([f"w{i}" for i in range(768)] * 99)] + [" ".join(f"r{min(draw.randrange(400), draw.randrange(400))}" for _ in range(70)) for _ in range(30)] + ["", None])
+    counts = masked_lm.counted(docs)
+    top, net, cut, joined, got = masked_lm.most_frequent(counts), masked_lm.initial(), masked_lm.cut, [], []
+
+    def kept(df, label):
+        df = cut(df, label)
+        joined.append(df.agg(F.sum(F.size("rare"))).first()[0])
+        return df
+
+    monkeypatch.setattr(masked_lm, "cut", kept)
+    for most in (1 << 17, 50, 0):
+        monkeypatch.setattr(masked_lm, "LOOKED_UP", most, raising=False)
+        got.append({r["doc_id"]: r["log_likelihood"] for r in masked_lm.score(docs, top, net, counts).collect()})
+    assert joined[0] == 0 < joined[1] < joined[2] == 30 * 70
+    assert got[0] == got[1] == got[2] and len(got[0]) == 33
+
+
+def test_training_takes_the_plain_steps(spark):
+    """Batches laid out at once, with biases beside their weights and only repeated contexts summed, give the weights of steps taken one by one."""
+    m, draw, net = masked_lm, np.random.default_rng(5), masked_lm.initial()
+    parts = [draw.integers(0, m.VOCABULARY, (n, 5)) // draw.integers(1, 200, (n, 5)) for n in (700, 0, 256, 1)]
+    want, shuffle = {k: v.astype(float) for k, v in net.items()}, np.random.default_rng(3)
+    speed = {k: np.full(v.shape, 1e-6) for k, v in net.items()}
+    for part in parts[:1] + parts[2:]:
+        order = shuffle.permutation(len(part))
+        for rows in (part[order[i : i + m.BATCH]] for i in range(0, len(part), m.BATCH)):
+            grad = {k: np.zeros(v.shape) for k, v in net.items()}
+            for row in rows:
+                g, k = divmod(row[4], m.MEMBERS)
+                h = np.tanh(sum(want["context"][p][row[p]] for p in range(4)) + want["bias"])
+                up, up_m = (np.exp(x) / np.exp(x).sum() for x in (h @ want["classes"] + want["class_bias"], h @ want["members"][g] + want["member_bias"][g]))
+                up[g] -= 1
+                up_m[k] -= 1
+                back = (want["classes"] @ up + want["members"][g] @ up_m) * (1 - h * h)
+                grad["classes"] += np.outer(h, up)
+                grad["class_bias"] += up
+                grad["members"][g] += np.outer(h, up_m)
+                grad["member_bias"][g] += up_m
+                grad["bias"] += back
+                for p in range(4):
+                    grad["context"][p][row[p]] += back
+            for k in net:
+                speed[k] += (grad[k] / len(rows)) ** 2
+                want[k] -= 0.1 * grad[k] / len(rows) / np.sqrt(speed[k])
+    got = m.train(net, [p.astype(np.int16) for p in parts], 0.1, 3)
+    assert all(got[k].shape == want[k].shape and np.abs(got[k] - want[k]).max() < 1e-4 for k in want)
+
+
 def test_every_operator_has_a_query():
     assert {n.split("_")[0] for n in load()} == {f"op{i}" for i in range(1, 14)}
