@@ -9,14 +9,14 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from pyspark.ml import feature as X, stat as S
+from pyspark.ml import feature as X, regression as R, stat as S
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from joulemill import storage
 from joulemill.operators.exact import parts, piece_sums
 from joulemill.plans import learning
-from joulemill.plans.learning import spearman
+from joulemill.plans.learning import pooled, spearman
 from joulemill.registry import load
 from joulemill.storage import bucket_number
 from joulemill.streaming.queries import gradient_sums
@@ -156,3 +156,18 @@ def test_entries_of_vectors_are_counted_as_stored(spark):
     vectors = [Vectors.sparse(1 << 30, {1: 0.0, 7: 2.0, 9: -1.0}), Vectors.sparse(4, {}), Vectors.dense([0.0, 1.0, float("nan")]), Vectors.dense([])]
     df = spark.createDataFrame(list(enumerate(vectors)), ["i", "v"])
     assert [r["n"] for r in df.orderBy("i").select(learning.size("v").alias("n")).collect()] == [2, 0, 2, 0]
+
+
+def test_isotonic_fit_takes_a_row_for_each_value(spark, folder, monkeypatch):
+    draw = random.Random(4)
+    rows = [(float(x), draw.random(), x * 3.0 + draw.gauss(0, 20)) for x in (draw.choice([0, 1, 1, 1, 5, 8, 13, 40]) for _ in range(400))] + [(-draw.random(), 0.0, draw.random()) for _ in range(30)]
+    d = X.VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.createDataFrame(rows, "a double, b double, label double"))
+    plain, got = R.IsotonicRegression(featureIndex=0).fit(d), R.IsotonicRegression(featureIndex=0, weightCol="weight").fit(pooled(d))
+    assert pooled(d).count() == len({a for a, _, _ in rows})
+    assert list(got.boundaries) == list(plain.boundaries) and list(got.predictions) == pytest.approx(list(plain.predictions), rel=1e-12)
+
+    taken, fit = [], R.IsotonicRegression.fit
+    monkeypatch.setattr(R.IsotonicRegression, "fit", lambda self, df: taken.append((df.count(), df.agg(F.sum("weight")).first()[0])) or fit(self, df))
+    assert load()["ml_07_regression"](spark, folder).count() == 8
+    items = spark.read.parquet(f"{folder}/lineitem.parquet")
+    assert taken == [(items.select("l_quantity").distinct().count(), items.count())]
