@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -178,49 +181,127 @@ def degree_histogram(t):
     return d.groupBy("degree").agg(F.count("*").alias("vertices")).crossJoin(F.broadcast(sizes))
 
 
-def kmeans(points, k, tolerance=1e-3, most=1000):
-    """Centres of plain k-means, from the k points with the smallest ids, until they move by no more than ``tolerance`` in all (squared); an error if
-    they still do after ``most`` rounds.
+EDGE_BYTES = 16 << 20  # of the points near the border of two centres that the driver goes on with between two passes, at most
+
 
-    Distances to the k starting centres are written once beside every point. In a round the difference between them and a centre's own distances to
-    the starting centres is a lower bound of the distance (triangle inequality); centres whose bound exceeds the best distance are not measured.
-    A partition returns one sum per centre, and these are added exactly, so the rounds are the same at any layout of the same partitions."""
+def kmeans(points, k, tolerance=1e-3, most=None):
+    """Centres of plain k-means, from the k points with the smallest ids, until they move by no more than ``tolerance`` in all (squared). Large tables of
+    scattered points take thousands of rounds, so there is no limit unless ``most`` is given; centres that come back to a former place, or leave the
+    numbers, are an error, and so are centres that still move after ``most`` rounds.
+
+    Points are written once, as blocks of numbers. A pass over them is one stage: a partition returns a sum per centre, and these are added exactly, and the
+    points with the smallest margins, the difference of the distances to the second nearest and the nearest centre. No other point can get another centre
+    while no two centres have moved by more in all than the smallest margin left out (triangle inequality); so long, the driver finishes rounds with the
+    returned points alone. Only when that would save nothing are they not returned."""
     first = [r["v"] for r in points.orderBy("id").limit(k).select(F.col("v").cast("array<double>").alias("v")).collect()]
-    starts = centres = np.array(first, dtype=float)
-    if not len(starts):
+    centres = np.array(first, dtype=float)
+    if not len(centres):
         return centres
 
-    def measure(batches):
+    def pack(batches):
         for b in batches:
             if b.num_rows:
-                x = rows_of(b.column(0))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(apart(x, starts)), pa.list_(pa.float64()))], names=["v", "far"])
-
-    table = cut(points.select(F.col("v").cast("array<double>").alias("v")).mapInArrow(measure, "v array<double>, far array<double>"), "points")
-    for _ in range(most):
-        def assign(batches, c=centres):
-            total, count = np.zeros_like(c), np.zeros(len(c), dtype=int)
-            for b in batches:
-                if b.num_rows:
-                    x = rows_of(b.column(0))
-                    near = nearest(x, c, rows_of(b.column(1)), apart(c, starts))[0]
-                    np.add.at(total, near, x)
-                    np.add.at(count, near, 1)
-            for i in np.flatnonzero(count):
-                yield pa.RecordBatch.from_pydict({"c": pa.array([int(i)] * c.shape[1], pa.int32()), "d": pa.array(range(c.shape[1]), pa.int32()), "s": total[i], "n": pa.array([count[i]] * c.shape[1], pa.int64())})
-
-        sums = table.mapInArrow(assign, "c int, d int, s double, n long").groupBy("c", "d").agg((exact_sum("s") / F.sum("n")).alias("m")).collect()  # k rows per dimension
-        new = centres.copy()
-        for r in sums:
-            new[r["c"], r["d"]] = r["m"]
-        moved = float(((new - centres) ** 2).sum())
-        centres = new
-        if moved <= tolerance:
-            return centres
-    raise RuntimeError(f"centres still move after {most} rounds")
+                yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int32()), "x": pa.array([packed(rows_of(b.column(0)))], pa.binary())})
+
+    table = cut(points.select(F.col("v").cast("array<double>").alias("v")).mapInArrow(pack, "n int, x binary"), "points")
+    share = min(1.0, EDGE_BYTES / (8 * centres.shape[1] * (table.agg(F.sum("n")).first()[0] or 1)))
+    drift, least, rounds, seen = np.inf, np.inf if share == 1 else 0.0, 0, set()
+    while True:
+        def visit(batches, c=centres, keep=2 * drift < least or share == 1):
+            yield edges((unpacked(x, n, c.shape[1]) for b in batches for n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())), c, share, keep)
+
+        found = table.mapInArrow(visit, "sums binary, counts binary, least double, x binary, near binary").collect()  # k sums a partition, and EDGE_BYTES
+        total, count = added([np.frombuffer(r["sums"]).reshape(centres.shape) for r in found]), sum(np.frombuffer(r["counts"], np.int64) for r in found)
+        least = min(r["least"] for r in found)
+        edge, near = np.concatenate([np.frombuffer(r["x"]) for r in found]).reshape(-1, centres.shape[1]), np.concatenate([np.frombuffer(r["near"], np.int64) for r in found])
+        at, sums, counts, kept = centres, total, count, len(edge) or share == 1
+        while True:
+            new = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
+            rounds, moved = rounds + 1, float(((new - centres) ** 2).sum())
+            step, centres = np.sort(np.sqrt(((new - centres) ** 2).sum(1)))[-2:].sum(), new
+            if moved <= tolerance:
+                return centres
+            if most and rounds >= most:
+                raise RuntimeError(f"centres still move after {most} rounds")
+            if not np.isfinite(moved) or (place := hashlib.sha256(centres.tobytes()).digest()) in seen:
+                raise RuntimeError(f"centres do not settle: after {rounds} rounds they {'are back at a former place' if np.isfinite(moved) else 'are no numbers'}")
+            seen.add(place)
+            if not kept or np.sort(np.sqrt(((centres - at) ** 2).sum(1)))[-2:].sum() >= least:
+                break
+            now = assigned(edge, centres)[0]
+            other = np.flatnonzero(now != near)
+            sums, counts = total.copy(), count.copy()
+            for sign, of in ((1, now[other]), (-1, near[other])):
+                np.add.at(sums, of, sign * edge[other])
+                np.add.at(counts, of, sign)
+        drift = step
+
+
+def edges(blocks, c, share, keep):
+    """One record of a partition: sums and numbers of the points by nearest centre, the smallest margin outside the ``share`` of the points with the smallest
+    margins, and, if asked for, these points and their centres."""
+    total, count, margins, held, n = np.zeros_like(c), np.zeros(len(c), dtype=np.int64), [np.zeros(0)], [], 0
+    for x in blocks:
+        near, margin = assigned(x, c)
+        mine = np.zeros((len(x), len(c)))
+        mine[np.arange(len(x)), near] = 1
+        total, count, n = total + mine.T @ x, count + mine.sum(0).astype(np.int64), n + len(x)
+        margins.append(margin)
+        if keep:  # a bounded number of them at any time
+            held.append((margin, near, x))
+            most = max(1, int(EDGE_BYTES / (8 * c.shape[1])))
+            if sum(len(m) for m, _, _ in held) > 2 * most:
+                held = [smallest(held, most)]
+    margins, number = np.concatenate(margins), n if share == 1 else int(share * n)
+    least = np.inf if number >= n else float(np.partition(margins, number)[number])
+    _, near, x = smallest(held, number) if held else (None, np.zeros(0, np.int64), np.zeros(0))
+    values = {"sums": total.tobytes(), "counts": count.tobytes(), "least": least, "x": x.tobytes(), "near": near.astype(np.int64).tobytes()}
+    return pa.RecordBatch.from_pydict({name: pa.array([v], pa.float64() if name == "least" else pa.binary()) for name, v in values.items()})
+
+
+def smallest(held, number):
+    """(margins, centres, points) of the ``number`` points with the smallest margins."""
+    margin, near, x = (np.concatenate(part) for part in zip(*held, strict=True))
+    rows = np.argsort(margin, kind="stable")[:number]
+    return margin[rows], near[rows], x[rows]
+
+
+def assigned(x, c):
+    """(numbers of the nearest centres, ties to the smaller number, lower bounds of the margins).
+
+    Squared distances come from one product; where its rounding could matter, they are formed from the differences."""
+    far = (x * x).sum(1)
+    d = far[:, None] - 2 * (x @ c.T) + (c * c).sum(1)
+    scale = far + (c * c).sum(1).max()
+    near, two = d.argmin(1), np.partition(d, 1, axis=1)[:, :2] if len(c) > 1 else np.stack([d[:, 0], np.full(len(x), np.inf)], 1)
+    close = np.flatnonzero(~(two[:, 1] - two[:, 0] > 1e-12 * scale))
+    near[close] = ((x[close][:, None] - c[None]) ** 2).sum(2).argmin(1)
+    low, high = np.maximum(two[:, 1] - 1e-12 * scale, 0), np.maximum(two[:, 0] + 1e-12 * scale, 0)
+    return near, np.sqrt(low) - np.sqrt(high) - 1e-9 * np.sqrt(scale)
+
+
+def added(arrays):
+    """Their sum, correctly rounded in any order."""
+    flat = np.stack([a.ravel() for a in arrays])
+    if not np.isfinite(flat).all():
+        return flat.sum(0).reshape(arrays[0].shape)
+    return np.array([math.fsum(v) for v in flat.T]).reshape(arrays[0].shape)
+
+
+def packed(x):
+    """The numbers as bytes, in single precision if that loses nothing."""
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+    return (short if (short == x).all() else x).tobytes()
+
+
+def unpacked(data, n, d):
+    return np.frombuffer(data, np.float32 if len(data) == 4 * n * d else np.float64).reshape(n, d).astype(float)
 
 
 def rows_of(column):
+    if not column.null_count and not (flat := column.flatten()).null_count and len(flat) % len(column) == 0 and len(set(np.diff(column.offsets.to_numpy()))) == 1:
+        return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(float)
     return np.stack(column.to_numpy(zero_copy_only=False)).astype(float)
 
 

@@ -8,6 +8,7 @@ from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import feature as X, regression as R, stat as S
 from pyspark.ml.linalg import Vectors
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from joulemill import storage
 from joulemill.operators.exact import parts, piece_sums
-from joulemill.plans import learning
+from joulemill.plans import learning, workloads
 from joulemill.plans.learning import pooled, spearman
 from joulemill.registry import load
 from joulemill.storage import bucket_number
@@ -171,3 +172,52 @@ def test_isotonic_fit_takes_a_row_for_each_value(spark, folder, monkeypatch):
     assert load()["ml_07_regression"](spark, folder).count() == 8
     items = spark.read.parquet(f"{folder}/lineitem.parquet")
     assert taken == [(items.select("l_quantity").distinct().count(), items.count())]
+
+
+def lloyd(x, k):
+    """(centres, rounds) of k-means by the book."""
+    c, rounds = x[:k].copy(), 0
+    while True:
+        near = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        new = np.stack([x[near == i].mean(axis=0) if (near == i).any() else c[i] for i in range(k)])
+        c, was, rounds = new, c, rounds + 1
+        if np.allclose(c, was, rtol=0, atol=1e-12):
+            return c, rounds
+
+
+def test_centres_settle_after_any_number_of_rounds(spark):
+    x = np.arange(4000, dtype=float)[:, None]
+    want, rounds = lloyd(x, 40)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    assert rounds > 1000 and np.allclose(workloads.kmeans(df, 40, tolerance=0.0), want, atol=1e-9)
+    with pytest.raises(RuntimeError, match="still move"):
+        workloads.kmeans(df, 40, tolerance=0.0, most=1000)
+    with pytest.raises(RuntimeError, match="no numbers"):
+        workloads.kmeans(df.limit(5).union(spark.createDataFrame([(9, [float("nan")])], df.schema)), 2, tolerance=0.0)
+
+
+@pytest.mark.parametrize("points_at_the_edge, odd", ((0, True), (60, True), (60, False), (10**6, True)))
+def test_centres_are_the_same_with_few_points_at_the_edge(spark, monkeypatch, points_at_the_edge, odd):
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(1000, 3))
+    if odd:
+        x = np.concatenate([x[:700], np.round(x[700:]), draw.normal(size=(20, 3)) * 1e30 ** (draw.random((20, 1)) < 0.1)])
+        x[3] = x[1]  # two starts in one place: one of them keeps no point
+    monkeypatch.setattr(workloads, "EDGE_BYTES", 8 * 3 * points_at_the_edge)
+    passes, added = [], workloads.added
+    monkeypatch.setattr(workloads, "added", lambda a: passes.append(1) or added(a))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(5)
+    want, rounds = lloyd(x, 6)
+    assert np.allclose(workloads.kmeans(df, 6, tolerance=0.0), want, rtol=1e-9)
+    assert len(passes) <= rounds and (odd or len(passes) < rounds) and (len(passes) == 1 or points_at_the_edge < 10**6)
+
+
+def test_rows_of_lists(spark):
+    for rows in ([[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]], [[1.0, None], [3.0, 4.0]]):
+        column = pa.array([[0.0]] + rows, pa.list_(pa.float32()))[1:]
+        assert np.array_equal(workloads.rows_of(column), np.array(rows, dtype=float), equal_nan=True)
+    for rows in ([[1.0], [1.0, 2.0]], [[1.0], None]):
+        with pytest.raises(Exception):
+            workloads.rows_of(pa.array(rows, pa.list_(pa.float64())))
+    for x in (np.array([[0.1, 2.0]]), np.array([[0.5, 1e300]]), np.array([[0.25, -3.0]])):
+        assert (workloads.unpacked(workloads.packed(x), 1, 2) == x).all()
